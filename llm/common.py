@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,12 +35,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fold(column: str, n: int) -> F.Column:
+def fold(column: str, n: int) -> Column:
     """crc32 of an id as text modulo ``n``: the fold that the contracts name. A null id is in no fold (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def in_fraction(column: F.Column, fraction: float) -> F.Column:
+def in_fraction(column: Column, fraction: float) -> Column:
     """A deterministic sample of about ``fraction`` of the rows by a hash of ``column``."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int(min(1.0, fraction) * (1 << 30)))
 

@@ -10,15 +10,47 @@ from llm import sql
 from llm.common import table
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.warc import round_trip
+
+    found = round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.merkle import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.mixing import mix, quality_weights
+
+    return mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_index": op3_warc_index,
+    "op5_merkle_fingerprints": op5_merkle_fingerprints,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_url_filter": op10_url_filter,
 }
 SQL: dict[str, str] = {
+    "op3_warc_index": sql.OP3,
+    "op5_merkle_fingerprints": sql.OP5,
     "op7_ngram_jaccard_join": sql.OP7,
+    "op8_mix_sources": sql.OP8,
 }

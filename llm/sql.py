@@ -19,3 +19,62 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), m AS (SELECT hex, max(page_id) AS original FROM p GROUP BY hex)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * i + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT, 1) for j in range(4)], '') for i in range(8)], '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p JOIN m USING (hex)
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS nxt FROM documents
+), e AS (
+  SELECT doc_id, text, nxt, length(text) AS n, substr(text, 1, length(text) - length(text) // 3) || substr(nxt, 1, length(text) // 3) AS edited FROM d
+), t AS (
+  SELECT *, list_transform(string_split_regex(text, '\n\n+'), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,48}'), lambda x: substr(md5(x), 1, 8)))) AS a,
+    list_transform(string_split_regex(edited, '\n\n+'), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,48}'), lambda x: substr(md5(x), 1, 8)))) AS b,
+    list_transform(string_split_regex(nxt, '\n\n+'), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\n]{1,48}'), lambda x: substr(md5(x), 1, 8)))) AS c FROM e
+), f AS (
+  SELECT *, list_distinct(flatten(flatten(a))) AS la, list_distinct(flatten(flatten(b))) AS lb, list_distinct(flatten(flatten(c))) AS lc FROM t
+)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  sha256(array_to_string(list_transform(a, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':' ||
+    array_to_string(list_transform(a, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), ';') AS fingerprint,
+  sha256(array_to_string(list_transform(b, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':' ||
+    array_to_string(list_transform(b, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), ';') AS edited_fingerprint,
+  CASE WHEN len(la) + len(lb) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(la, lb))::DOUBLE / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
+  CASE WHEN len(la) + len(lc) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc))::DOUBLE / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next
+FROM f
+"""
+
+OP8 = r"""
+WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id
+), b AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (CASE q WHEN 1 THEN 4.0::DOUBLE WHEN 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END) AS key
+  FROM documents LEFT JOIN l USING (doc_id)
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS share, 3 * source_size::DOUBLE AS cap FROM s
+), v AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / share, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+    sum(share) OVER (ORDER BY cap / share, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, CASE WHEN cap / share <= level THEN cap ELSE
+    share * ((sum(source_size) OVER () - coalesce(sum(cap) FILTER (cap / share <= level) OVER (), 0)) / sum(share) FILTER (cap / share > level) OVER ()) END AS target FROM v
+), r AS (
+  SELECT doc_id, b.source, size, source_size, target, sum(size) OVER (PARTITION BY b.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + greatest(0, least(floor(target)::BIGINT - epochs * source_size - before, size)))::BIGINT AS taken, source
+FROM r
+"""
