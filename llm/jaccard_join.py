@@ -12,7 +12,8 @@ A document is the set of its distinct 5-word shingles; documents link when 100 *
 3. *Signature trees.* Inside a component sets are sorted by size into leaves; every node holds the OR of its sets'
    token bitmaps and its size range.  A dual traversal drops a node pair when the largest possible overlap is below
    the smallest overlap a link needs, leaf pairs are verified exactly, and pairs that are already connected are
-   skipped.  A component of more than ``BLOCK`` sets is dealt as pairs of blocks to many tasks.
+   skipped.  A component of more than ``BLOCK`` sets or ``BLOCK_BYTES`` is cut into classes of size (links stay within
+   a class or between neighbours) and these into blocks, and pairs of blocks are dealt to many tasks.
 
 Hashes have 64 bits.  Only sets of components travel; no task or driver holds an unbounded group.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import kernel
@@ -35,9 +36,9 @@ from llm.common import components, in_fraction, stored
 
 THRESHOLD = 75
 #: Documents sampled to find frequent shingles, the count in the sample that makes one frequent, and how many are kept.
-SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_KEEP = 16_384, 4, 200_000
-#: Keys a task gathers before it sends them on, keys of a bucket, and sets of a block.
-FLUSH, BUCKET_KEYS, BLOCK = 1_000_000, 1_000_000, 512
+SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_KEEP = 16_384, 2, 200_000
+#: Keys a task gathers before it sends them on, keys of a bucket, sets and bytes of a block.
+FLUSH, BUCKET_KEYS, BLOCK, BLOCK_BYTES = 1_000_000, 1_000_000, 4096, 16 << 20
 #: Sets that share one key within a flush from which on they are joined where they are.
 HOT = 256
 
@@ -109,7 +110,7 @@ def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[: n - int(_needed(n)) + 1 + n // 8]
 
 
-def _guaranteed(n: F.Column) -> F.Column:
+def _guaranteed(n: Column) -> Column:
     """Shingles of the prefix of a set of ``n`` that any partner's prefix also holds.
 
     The partner B of A shares o >= needed(max(|A|, |B|)) shingles and o >= 3/7 (|A| + |B|).  The first |A| - o + 1 + s
@@ -264,44 +265,64 @@ def _links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     cells = stored(shared.join(viable, "digest").select("key", "rep"), "cells")
     stars = cells.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
     groups = stored(components(cells.join(stars, "key").select("a", F.col("rep").alias("b"))), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     n_groups = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    member = groups.join(viable, groups["node"] == viable["rep"]).select(F.col("node").alias("doc_id"), "component", "n_shingles")
+    # linked sets are in the same or in neighbouring classes of size
+    member = member.distinct().withColumn("class", F.floor(F.log("n_shingles") / F.log(F.lit(100 / THRESHOLD))).cast("int"))
+    classes = member.groupBy("component", "class").agg(F.count(F.lit(1)).alias("members"), (8 * F.sum("n_shingles")).alias("bytes"))
+    whole, near = Window.partitionBy("component"), Window.partitionBy("component").orderBy("class")
+    large = (F.sum("members").over(whole) > BLOCK) | (F.sum("bytes").over(whole) > BLOCK_BYTES)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    classes = classes.select("component", "class", large.alias("large"), blocks.alias("blocks"))
+    classes = stored(
+        classes.withColumn("below", F.when(F.lag("class").over(near) == F.col("class") - 1, F.lag("blocks").over(near)).otherwise(0))
+        .withColumn("above", F.when(F.lead("class").over(near) == F.col("class") + 1, F.lead("blocks").over(near)).otherwise(0)),
+        "classes",
+    )
+
+    def slots(of_class: Column, n: Column) -> Column:
+        """Slots of ``n`` blocks of a class."""
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: of_class.cast("long") * (1 << 40) + i)).otherwise(F.array().cast("array<bigint>"))
+
     member = (
-        groups.join(sizes, "component")
-        .withColumn("blocks", F.when(F.col("members") > 2 * BLOCK, F.ceil(F.col("members") / BLOCK)).otherwise(1).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select(F.col("node").alias("doc_id"), "component", "blocks", "block")
+        member.join(classes, ["component", "class"])
+        .withColumn("slot", F.col("class").cast("long") * (1 << 40) + F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0))
+        .withColumn(
+            "others",
+            F.when(F.col("large"), F.concat(slots(F.col("class") - 1, F.col("below")), slots(F.col("class"), F.col("blocks")), slots(F.col("class") + 1, F.col("above")))).otherwise(F.array(F.lit(-1).cast("long"))),
+        )
+        .select("doc_id", "component", "slot", "others")
     )
 
     def hashed(batches):
         for b in batches:
             blobs = [s.tobytes() for _, s in _sets(b)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "component", "blocks", "block")), pa.array(blobs, pa.binary())], ["doc_id", "component", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "component", "slot", "others")), pa.array(blobs, pa.binary())], ["doc_id", "component", "slot", "others", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one = (  # repeated rows of an id: any of the texts with the representative's set
-        texts.join(member, "doc_id").mapInArrow(hashed, "doc_id long, component long, blocks int, block int, shingles binary")
-    )
+    one = texts.join(member, "doc_id").mapInArrow(hashed, "doc_id long, component long, slot long, others array<long>, shingles binary")
     dealt = (
-        one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("x", F.least("block", "other"))
-        .withColumn("y", F.greatest("block", "other"))
-        .withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "x", "y")))
+        one.withColumn("other", F.explode("others"))
+        .withColumn("x", F.least("slot", "other"))
+        .withColumn("y", F.greatest("slot", "other"))
+        .withColumn("x", F.when(F.col("other") >= 0, F.col("x")).otherwise(-1))
+        .withColumn("y", F.when(F.col("other") >= 0, F.col("y")).otherwise(-1))
+        .withColumn("part", F.when(F.col("other") < 0, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "x", "y")))
     )
 
     def join(t: pa.Table) -> pa.Table:
         out = []
         where = {}
-        cols = [t.column(c).to_pylist() for c in ("component", "doc_id", "block", "x", "y")]
-        for i, (c, d, block, x, y) in enumerate(zip(*cols, strict=True)):
-            where.setdefault((c, x, y), []).append((d, block, i))
+        cols = [t.column(c).to_pylist() for c in ("component", "doc_id", "slot", "x", "y")]
+        for i, (c, d, slot, x, y) in enumerate(zip(*cols, strict=True)):
+            where.setdefault((c, x, y), []).append((d, slot, i))
         blobs = t.column("shingles")
         for (_, x, y), rows in where.items():
             s = [np.frombuffer(blobs[i].as_buffer(), np.uint64) for _, _, i in rows]
             out += tree_links([r[0] for r in rows], s, [r[1] for r in rows] if x != y else None)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.select("part", "component", "doc_id", "block", "x", "y", "shingles").groupBy("part").applyInArrow(join, "a long, b long")
+    return dealt.select("part", "component", "doc_id", "slot", "x", "y", "shingles").groupBy("part").applyInArrow(join, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
