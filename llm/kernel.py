@@ -137,6 +137,18 @@ def hash_words(texts: list[bytes]) -> np.ndarray:
     return np.concatenate([w.hashes for w in parts]) if parts else np.zeros(0, np.uint64)
 
 
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, whatever document they are in."""
+    total = len(h)
+    with np.errstate(over="ignore"):
+        out = np.zeros(max(0, total - size + 1), np.uint64)
+        factor = np.uint64(1)
+        for j in range(size):
+            out += h[j : total - size + 1 + j] * factor
+            factor = factor * _STEP
+        return mix(out)
+
+
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes in text order with bounds for each document.
 
@@ -145,15 +157,9 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     h, counts = w.hashes, np.diff(w.bounds)
     total = len(h)
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, total - size + 1), np.uint64)
-        factor = np.uint64(1)
-        for j in range(size):
-            rolled += h[j : total - size + 1 + j] * factor
-            factor = factor * _STEP
-        rolled = mix(rolled)
         doc = w.doc_of_word()
         inside = doc[: total - size + 1] == doc[size - 1 :] if total >= size else np.zeros(0, bool)
-        out = rolled[inside]
+        out = rolled(h, size)[inside]
         n_out = np.maximum(counts - size + 1, 0)
         short = np.flatnonzero((counts > 0) & (counts < size))
         if len(short):
