@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm import sql
 from llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).withColumn("keep", F.col("score") >= 0.5)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.language_id import identify, train
+
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold == 1)
+    return identify(docs, train(docs.where("not held_out")))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.warc import round_trip
 
@@ -17,12 +34,26 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.toxicity import fold, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~fold()), table(spark, sf_dir, "labels").where(~fold()))
+    return score(docs, model).select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.merkle import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.jaccard_join import jaccard_components
 
@@ -35,18 +66,36 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
 
 
+def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_language_id": op2_language_id,
     "op3_warc_index": op3_warc_index,
+    "op4_toxicity": op4_toxicity,
     "op5_merkle_fingerprints": op5_merkle_fingerprints,
+    "op6_decontaminate": op6_decontaminate,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
+    "op9_gru_scores": op9_gru_scores,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op3_warc_index": sql.OP3,
