@@ -73,8 +73,8 @@ class Words:
     sums: np.ndarray  # prefix sums of the rolling hash
 
     def prefix_hashes(self, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first ``n_bytes`` bytes of each word that is longer, and these words' positions."""
-        at = np.flatnonzero(self.ends - self.starts > n_bytes)
+        """Hashes of the first ``n_bytes`` bytes of each word that has as many, and these words' positions."""
+        at = np.flatnonzero(self.ends - self.starts >= n_bytes)
         s = self.starts[at]
         down = _powers.down
         with np.errstate(over="ignore"):

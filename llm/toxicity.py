@@ -6,8 +6,8 @@
 2. *Label model.* For a latent label, each voter's firing rates (its accuracy) are estimated by
    expectation-maximisation on a bounded sample of labelled and unlabelled rows, without looking at labels. Residual
    correlations between voters, given the label, shrink the votes of voters that repeat each other.
-3. *Classifier.* A logistic regression on the mined features and the patterns is trained on the posterior labels, and
-   scores every whole text.
+3. *Classifier.* A logistic regression on the mined features is trained on the posterior labels, and scores every
+   whole text.
 
 Edge cases: a null or blank text has no features and gets the intercept's score; if nothing can be mined (no labelled
 row, or labels of one kind) every text scores the prior, at most 0.49 unless all labels are toxic; repeated labels of
@@ -29,11 +29,10 @@ from llm.common import in_fraction
 from llm.linear import fit_sparse, sigmoid
 
 FOLDS = 5
-LABELLED, UNLABELLED = 8000, 4000
+LABELLED, UNLABELLED = 20_000, 4000
 #: Word beginnings in bytes, features kept, least toxic documents of one, least log-likelihood ratio, least share.
-BEGINNINGS, KEEP, LEAST, RATIO, SHARE = (3, 4, 5, 6, 7), 2048, 5, 13.0, 0.8
-LEXICONS, ROUNDS = 6, 25
-PATTERNS = 6
+BEGINNINGS, KEEP, LEAST, RATIO, SHARE = (3, 4, 5, 6, 7, 8, 9, 10), 2048, 5, 14.0, 0.9
+LEXICONS, ROUNDS, SILENT = 6, 25, 0.75
 
 
 def _features(w: kernel.Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -42,7 +41,7 @@ def _features(w: kernel.Words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _patterns(w: kernel.Words) -> np.ndarray:
-    """Shares of capitals, exclamation marks, symbols, digits and repeated words, and log of the length."""
+    """Shares of capitals, exclamation marks, symbols, digits and repeated words."""
     sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.byte_bounds])
     size = np.maximum(1, np.diff(w.byte_bounds))
     n = np.diff(w.bounds)
@@ -57,7 +56,6 @@ def _patterns(w: kernel.Words) -> np.ndarray:
             sums(np.isin(raw, np.frombuffer(b"#$%&*@|", np.uint8))) / size,
             sums((raw >= 48) & (raw <= 57)) / size,
             np.maximum(0, again[w.bounds[1:]] - again[np.minimum(w.bounds[:-1] + 1, w.bounds[1:])]) / np.maximum(1, n),
-            np.log1p(n) / 10,
         ],
         1,
     )
@@ -122,11 +120,14 @@ def votes(lexicon: Lexicon, w: kernel.Words) -> np.ndarray:
     """Firing voters of each document: lexicons at one hit, the same lexicons at three, patterns at their limits."""
     doc, feat = lexicon.hits(w)
     count = np.bincount(doc * LEXICONS + lexicon.voter[feat], minlength=w.n_docs * LEXICONS).reshape(w.n_docs, LEXICONS)
-    return np.concatenate([count >= 1, count >= 3, _patterns(w)[:, : len(PATTERN_LIMITS)] > np.array(PATTERN_LIMITS)], 1)
+    return np.concatenate([count >= 1, count >= 3, _patterns(w) > np.array(PATTERN_LIMITS)], 1)
 
 
 def label_model(v: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, firing rates (2 x voters) and weights (one over summed correlations) of the voters."""
+    """Posterior labels, firing rates (2 x voters) and weights (one over summed correlations) of the voters.
+
+    A toxic text need not hold words of every lexicon, so a lexicon that doesn't fire counts ``SILENT`` of a vote.
+    """
     v = v.astype(float)
     n_lexicon = 2 * LEXICONS
     p = np.where(v[:, :n_lexicon].sum(1) > 0, 0.9, 0.02) if len(v) else np.zeros(0)
@@ -142,7 +143,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[np.n
         weight = 1 / (1 + np.clip(c, 0, 1).sum(1))
         one = np.log(rates[1] / rates[0])
         none = np.log((1 - rates[1]) / (1 - rates[0]))
-        z = np.log(prior / (1 - prior)) + (v * one + (1 - v) * none) @ weight
+        z = np.log(prior / (1 - prior)) + (v * one + (1 - v) * np.where(np.arange(v.shape[1]) < n_lexicon, SILENT, 1) * none) @ weight
         p = sigmoid(z)
     return p, rates, weight
 
@@ -158,7 +159,7 @@ class Model:
         hit = np.unique(doc * max(1, len(self.lexicon.hashes)) + feat)
         doc, feat = np.divmod(hit, max(1, len(self.lexicon.hashes)))
         z = np.bincount(doc, self.weights[feat], w.n_docs) if len(hit) else np.zeros(w.n_docs)
-        return sigmoid(z + _patterns(w) @ self.weights[len(self.lexicon.hashes) :] + self.intercept)
+        return sigmoid(z + self.intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -167,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_labels, n_docs = truth.count(), docs.count()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     picked = truth.where(in_fraction(F.col("doc_id"), LABELLED / max(1, n_labels)))
-    labelled = docs.join(picked, "doc_id").select(text, "toxic")
+    labelled = docs.join(picked, "doc_id").select("doc_id", text, "toxic")
     # held-out rows and their labels are never used; unlabelled rows give texts only
-    rest = docs.where(in_fraction(F.xxhash64("doc_id", F.lit(1)), UNLABELLED / max(1, n_docs))).select(text, F.lit(-1).alias("toxic"))
+    rest = docs.where(in_fraction(F.xxhash64("doc_id", F.lit(1)), UNLABELLED / max(1, n_docs))).select("doc_id", text, F.lit(-1).alias("toxic"))
     lexicon = mine(labelled)
 
     def run(batches):
@@ -181,23 +182,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 cuts = np.searchsorted(doc, np.arange(w.n_docs + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feat, pa.int64()))
                 seen = pa.array(votes(lexicon, w).astype(np.int8).tolist(), pa.list_(pa.int8()))
-                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(w.first, w.n_docs), lists, seen, pa.array(_patterns(w).tolist(), pa.list_(pa.float64()))], ["toxic", "feats", "votes", "patterns"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.first, w.n_docs), b.column("toxic").slice(w.first, w.n_docs), lists, seen], ["doc_id", "toxic", "feats", "votes"])
 
-    t = labelled.unionByName(rest).mapInArrow(run, "toxic int, feats array<long>, votes array<tinyint>, patterns array<double>").toPandas()
-    t = t.iloc[np.lexsort((t["patterns"].map(lambda x: tuple(x)).map(hash).to_numpy(), t["feats"].map(len).to_numpy()))] if len(t) else t
+    t = labelled.unionByName(rest).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, feats array<long>, votes array<tinyint>").toPandas()
+    t = t.sort_values(["doc_id", "toxic"], kind="stable")  # the sum over rows in one order, so that reruns agree
     y = t["toxic"].to_numpy()
     share = float((y[y >= 0].sum() + 0.5) / ((y >= 0).sum() + 1)) if len(y) else 0.1
     n_lex = len(lexicon.hashes)
     if not n_lex:
         b = np.log(share / (1 - share)) if (y == 1).any() and not (y == 0).any() else min(np.log(share / (1 - share)), -0.04)
-        return Model(lexicon, np.zeros(PATTERNS), float(b))
+        return Model(lexicon, np.zeros(0), float(b))
     p, _, _ = label_model(np.stack(t["votes"].to_list()), share)
-    patterns = np.stack(t["patterns"].to_list())
     length = t["feats"].map(len).to_numpy()
-    rows = np.concatenate([np.repeat(np.arange(len(t)), length), np.repeat(np.arange(len(t)), PATTERNS)])
-    cols = np.concatenate([np.concatenate(t["feats"].to_list()).astype(np.int64), np.tile(np.arange(n_lex, n_lex + PATTERNS), len(t))])
-    vals = np.concatenate([np.ones(length.sum()), patterns.ravel()])
-    w, b = fit_sparse(rows, cols, vals, p, np.ones(len(t)), n_lex + PATTERNS, l2=1e-4, rounds=200)
+    rows, cols = np.repeat(np.arange(len(t)), length), np.concatenate(t["feats"].to_list()).astype(np.int64)
+    w, b = fit_sparse(rows, cols, np.ones(len(cols)), p, np.ones(len(t)), n_lex, l2=1e-4, rounds=200)
     return Model(lexicon, w, b)
 
 
