@@ -5,6 +5,7 @@ Undefined figures are null unless ``vacuous`` gives another value.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,8 +207,6 @@ def rank_eval(truth: DataFrame, ranking: DataFrame, k: int = 10) -> DataFrame:
 
 def register_extractor(find) -> object:
     """UDF-2: a citation extractor ``Series of texts -> Series of lists of canonical strings`` as an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def extractor(texts: pd.Series) -> pd.Series:
         return find(texts)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +116,6 @@ def detect_pii(docs: DataFrame, detectors: dict | None = None, plugins: tuple[Ca
 
 def register_detector(find: Callable) -> Callable[[Column], Column]:
     """UDF-1: a name detector ``Series of texts -> Series of lists of (s, e, entity_type, score)`` as an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf(f"array<{SPAN}>")
     def detector(texts: pd.Series) -> pd.Series:
         return find(texts).map(lambda spans: [dict(zip(("s", "e", "entity_type", "score"), x, strict=True)) for x in spans])
