@@ -195,7 +195,7 @@ def learn(texts: list[str], segmenter: Segmenter, n_pieces: int, rounds: int = R
 def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and piece probabilities (pieces x languages) from labelled training documents."""
     pieces = vocabulary(path)
-    seen = docs.where("lang is not null and text is not null")
+    seen = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     sizes = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     bound = F.least(F.lit(1.0), TRAIN_DOCS / F.col("n")) * (1 << 30)
     picked = seen.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= bound)  # a row for each language

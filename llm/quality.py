@@ -172,6 +172,7 @@ def _featured(docs: DataFrame, more: tuple[str, ...]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     n_labels, n_docs = truth.count(), docs.count()
     picked = truth.where(in_fraction(F.col("doc_id"), LABELLED / max(1, n_labels)))

@@ -164,6 +164,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, which holds training rows only."""
+    docs = docs.select("doc_id", "text")
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n_labels, n_docs = truth.count(), docs.count()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
