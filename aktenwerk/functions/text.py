@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +23,25 @@ def group(text: Column, pattern: str, number: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, number), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of a text that matches as a whole, as an array; a missing group is an empty string."""
+    mark = "\u0001"
+    return F.split(F.regexp_replace(text, pattern, mark.join(f"${i + 1}" for i in range(n))), mark, -1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches in order as ``array<struct<text, s, e>>`` with 0-based half-open code-point positions.
 
     The gaps between matches come from splitting at the pattern, so a position is the sum of the lengths before it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+    # the last gap is followed by no match
+    steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("text")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,s:int,e:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -36,13 +49,12 @@ def matches(text: Column, pattern: str) -> Column:
         end = start + x["size"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), start.alias("s"), end.alias("e")))).alias("out"))
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.filter(steps, lambda x: x["text"].isNotNull()), zero, step, lambda acc: acc["out"])
 
 
 def occurrences(text: Column, word: Column) -> Column:
     """All occurrences of a literal as a whole word, as in ``matches``; ``word`` may differ by row."""
     quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
-    gaps = F.split(text, quoted, -1)
     size = F.length(word)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
@@ -50,8 +62,8 @@ def occurrences(text: Column, word: Column) -> Column:
         start = acc["at"] + F.length(gap)
         return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), (start + size).alias("e")))).alias("out"))
 
-    # the last gap is followed by no match
-    return F.aggregate(F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
+    before = let(F.split(text, quoted, -1), lambda gaps: F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))))
+    return F.aggregate(before, zero, step, lambda acc: acc["out"])
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

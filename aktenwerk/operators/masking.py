@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aktenwerk.functions.fixed import CLOSINGS, NAME_PREFIXES, NAME_STOPWORDS, ORGANISATIONS, PHONE, PLACEHOLDERS, REPRESENTATIVE, SIGNATURE_BLOCK, SIGNATURE_TAIL, SUBMITTER
-from aktenwerk.functions.text import cut, last_index, matches, occurrences, stripped
+from aktenwerk.functions.text import cut, last_index, let, matches, occurrences, stripped
 
 SPAN = "struct<s:int,e:int,entity_type:string,score:double>"
 # a prefix is a whole word: no letter, digit or hyphen follows
@@ -27,29 +27,28 @@ def _segments(text: Column, anchor: str) -> Column:
     """What follows each anchor up to a comma, line end or parenthesis, with the span of both."""
 
     def follow(m: Column) -> Column:
-        rest = cut(text, m["e"], F.length(text))
-        segment = F.regexp_extract(rest, r"^[^,\n(]*", 0)
-        return F.struct(stripped(segment).alias("segment"), m["s"].alias("s"), (m["e"] + F.length(segment)).alias("e"))
+        segment = F.regexp_extract(cut(text, m["e"], F.length(text)), r"^[^,\n(]*", 0)
+        return let(segment, lambda x: F.struct(stripped(x).alias("segment"), m["s"].alias("s"), (m["e"] + F.length(x)).alias("e")))
 
     return F.transform(matches(text, anchor), follow)
 
 
 def _signature(text: Column) -> Column:
     """The last closing formula to the end, else the trailing short blocks, else null."""
-    low = F.lower(text)
-    marker = F.greatest(*(last_index(low, c) for c in CLOSINGS))
-    body = F.regexp_replace(text, r"(?U)\s+$", "")
-    blocks = F.reverse(F.split(body, "\n\n", -1))
-    zero = F.struct(F.length(body).alias("end"), F.lit(None).cast("int").alias("zone"), F.lit(False).alias("done"))
+    marker = let(F.lower(text), lambda low: F.greatest(*(last_index(low, c) for c in CLOSINGS)))
 
-    def climb(acc: Column, block: Column) -> Column:
-        start = acc["end"] - F.length(block)
-        stop = acc["done"] | (F.length(stripped(block)) > SIGNATURE_BLOCK) | (acc["zone"].isNotNull() & (F.length(body) - start > SIGNATURE_TAIL))
-        return F.struct((start - 2).alias("end"), F.when(stop, acc["zone"]).otherwise(start).alias("zone"), stop.alias("done"))
+    def tail(body: Column) -> Column:
+        zero = F.struct(F.length(body).alias("end"), F.lit(None).cast("int").alias("zone"), F.lit(False).alias("done"))
 
-    tail = F.when(body != "", F.aggregate(blocks, zero, climb, lambda acc: acc["zone"]))
-    start = F.when(marker >= 0, marker).otherwise(tail)
-    return F.when(start.isNotNull(), F.struct(start.cast("int").alias("s"), F.length(text).alias("e")))
+        def climb(acc: Column, block: Column) -> Column:
+            start = acc["end"] - F.length(block)
+            stop = acc["done"] | (F.length(stripped(block)) > SIGNATURE_BLOCK) | (acc["zone"].isNotNull() & (F.length(body) - start > SIGNATURE_TAIL))
+            return F.struct((start - 2).alias("end"), F.when(stop, acc["zone"]).otherwise(start).alias("zone"), stop.alias("done"))
+
+        return F.when(body != "", F.aggregate(F.reverse(F.split(body, "\n\n", -1)), zero, climb, lambda acc: acc["zone"]))
+
+    start = let(marker, lambda m: F.when(m >= 0, m).otherwise(let(F.regexp_replace(text, r"(?U)\s+$", ""), tail)))
+    return let(start, lambda x: F.when(x.isNotNull(), F.struct(x.cast("int").alias("s"), F.length(text).alias("e"))))
 
 
 def extract_zones(docs: DataFrame) -> DataFrame:
@@ -179,10 +178,13 @@ def rendered(text: Column, regions: Column, start: Column, end: Column) -> Colum
 
 def mask(merged: DataFrame) -> DataFrame:
     """TXT-6, AGG-1: adds ``clean_text`` and ``entity_counts`` (regions by placeholder label)."""
-    labels = F.transform("regions", lambda r: F.regexp_replace(placeholder(r["entity_type"]), r"[\[\]]", ""))
-    kinds = F.array_sort(F.array_distinct(F.filter(labels, lambda x: x != "")))
-    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(labels, lambda x: x == k))))
-    return merged.withColumn("clean_text", rendered(F.col("text"), F.col("regions"), F.lit(0), F.length("text"))).withColumn("entity_counts", counts)
+    names = F.filter(F.transform("regions", lambda r: F.regexp_replace(placeholder(r["entity_type"]), r"[\[\]]", "")), lambda x: x != "")
+
+    def counted(labels: Column) -> Column:
+        kinds = F.array_sort(F.array_distinct(labels))
+        return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(labels, lambda x: x == k))))
+
+    return merged.withColumn("clean_text", rendered(F.col("text"), F.col("regions"), F.lit(0), F.length("text"))).withColumn("entity_counts", let(names, counted))
 
 
 def entity_counts(merged: DataFrame) -> DataFrame:

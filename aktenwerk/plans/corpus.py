@@ -43,7 +43,9 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).join(body, "document_id", "left")
     name = F.concat(F.lit("Erika Muster"), F.col("c_custkey"))
     head = F.concat(F.lit("Einreicher: Dr. "), name, F.lit(", "), F.col("n_name"), F.lit("\nTelefon: 0171 "), F.col("c_custkey") + 1_000_000, F.lit("\nE-Mail: k"), F.col("c_custkey"), F.lit("@example.org\n\n"))
-    return o.select("document_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n\nMit freundlichen Grüßen\n"), name).alias("text"))
+    # texts cost more time than their bytes say: a fixed number of partitions, which jobs on documents share
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return o.repartition(n, "document_id").select("document_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n\nMit freundlichen Grüßen\n"), name).alias("text"))
 
 
 def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
