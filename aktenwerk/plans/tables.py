@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aktenwerk.operators.ranking import FUSION
@@ -437,3 +437,57 @@ def str4_distinct_events(s: SparkSession, d: str) -> DataFrame:
     out = new_path(s, "distinct")
     jobs.run_available(jobs.distinct_events(_stream_of(s, e.unionByName(e))), out, new_path(s, "state"))
     return s.read.parquet(out).select("event_id")
+
+
+# --- plug-ins, raw store, sinks -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_LETTERS}, w AS (SELECT document_id, unnest([16, length(text) - length(name)]) AS place FROM letters) SELECT document_id, place::INT AS s, (place + 5)::INT AS e FROM w""")
+def udf1_register_detector(s: SparkSession, d: str) -> DataFrame:
+    """A plug-in name detector, batch-wise over Arrow."""
+    import re
+
+    find = masking.register_detector(lambda texts: texts.map(lambda t: [(m.start(), m.end(), "PERSON", 0.9) for m in re.finditer("Erika", t or "")]))
+    return masking.detect_pii(corpus.letters(s, d), {}, (find,)).select("document_id", "s", "e")
+
+
+@query(f"""WITH {SQL_LETTERS}, n AS (SELECT document_id, sum(CASE WHEN sec2 IS NULL THEN 1 ELSE 2 END)::INT AS n FROM lines GROUP BY 1) SELECT document_id, coalesce(n, 0) AS n FROM letters LEFT JOIN n USING (document_id)""")
+def udf2_register_extractor(s: SparkSession, d: str) -> DataFrame:
+    """A plug-in citation extractor, batch-wise over Arrow."""
+    from aktenwerk.operators.evaluation import register_extractor
+
+    find = register_extractor(lambda texts: texts.str.findall(r"§ \d+"))
+    return corpus.letters(s, d).select("document_id", F.size(find("text")).alias("n"))
+
+
+def _uuid(c: Column) -> Column:
+    h = F.md5(c.cast("string").cast("binary"))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+@query("""WITH h AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h, text FROM documents), u AS (SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, text FROM h)
+SELECT id AS document_id, sha256(text) AS text, NULL AS reason FROM u WHERE doc_id % 20 = 0 UNION ALL SELECT 'x' || doc_id, NULL, 'not_a_uuid' FROM documents WHERE doc_id % 20 = 1""")
+def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
+    """All documents stored raw; every twentieth is read with its access event, every other twentieth is asked for by a wrong id."""
+    docs = table(s, d, "documents").select("doc_id", _uuid(F.col("doc_id")).alias("document_id"), "text")
+    store = new_path(s, "raw")
+    letter_source.write_raw(docs.drop("doc_id"), store)
+    wrong = docs.where("doc_id % 20 = 1").select(F.concat(F.lit("x"), "doc_id").alias("document_id"))
+    got, rejected = letter_source.read_raw(s, docs.where("doc_id % 20 = 0").select("document_id").unionByName(wrong), store, new_path(s, "trail"), F.lit("2024-01-01").cast("timestamp"))
+    none = F.lit(None).cast("string")
+    return got.select("document_id", F.sha2("text", 256).alias("text"), none.alias("reason")).unionByName(rejected.select("document_id", none.alias("text"), "reason"))
+
+
+@query(f"""WITH {SQL_LETTERS}, k AS (SELECT document_id, count(*) AS n, max(typ) AS typ FROM lines GROUP BY 1) SELECT document_id, coalesce(typ, 'TYP_1') AS typ, coalesce(n, 0)::INT AS entries FROM letters LEFT JOIN k USING (document_id)""")
+def src8_write_briefings(s: SparkSession, d: str) -> DataFrame:
+    """Nested briefings written as JSON and read back."""
+    b = briefing.assemble(corpus.letters(s, d), _verified(s, d), _resolutions(s, d), statute_source.corpus_id(corpus.statutes(s, d)))
+    path = new_path(s, "briefings")
+    letter_source.write_briefings(b, path)
+    return s.read.schema(b.schema).json(path).select("document_id", "typ", F.size("entries").alias("entries"))
+
+
+@query(f"WITH {SQL_BREAKS}, last AS (SELECT user_id, max(idx) AS top FROM numbered GROUP BY 1) SELECT DISTINCT user_id::VARCHAR AS chain_id FROM (SELECT user_id, idx FROM broken UNION ALL SELECT user_id, idx FROM w WHERE before = 7) JOIN last USING (user_id) WHERE idx > top - 40")
+def chn4_refused_chains(s: SparkSession, d: str) -> DataFrame:
+    """Chains that an append would refuse: the last 40 events don't verify."""
+    return custody.verify_tail(_tampered(s, d), 40).select("chain_id").distinct()
