@@ -38,7 +38,7 @@ THRESHOLD = 75
 #: Documents sampled to find frequent shingles, the count in the sample that makes one frequent, and how many are kept.
 SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_KEEP = 16_384, 2, 200_000
 #: Keys a task gathers before it sends them on, keys of a bucket, sets and bytes of a block.
-FLUSH, BUCKET_KEYS, BLOCK, BLOCK_BYTES = 1_000_000, 1_000_000, 4096, 16 << 20
+FLUSH, BUCKET_KEYS, BLOCK, BLOCK_BYTES = 500_000, 1_000_000, 2048, 12 << 20
 #: Sets that share one key within a flush from which on they are joined where they are.
 HOT = 256
 
@@ -81,18 +81,29 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     """Shingles that are frequent in a bounded sample of documents, sorted; they come last in the global order."""
 
     def run(batches):
+        def counted(parts):
+            h, c = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+        parts, held = [], 0
         for b in batches:
-            parts = [s for _, s in _sets(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+            for _, s in _sets(b):
+                parts.append(s)
+                held += len(s)
+                if held > FLUSH:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
     picked = docs.where(in_fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), SAMPLE_DOCS / max(1, n_docs)))
     rows = (
         picked.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(run, "h long")
+        .mapInArrow(run, "h long, c long")
         .groupBy("h")
-        .count()
-        .where(F.col("count") >= SAMPLE_MIN)
-        .orderBy(F.desc("count"), "h")
+        .agg(F.sum("c").alias("c"))
+        .where(F.col("c") >= SAMPLE_MIN)
+        .orderBy(F.desc("c"), "h")
         .limit(SAMPLE_KEEP)
         .select("h")
         .toPandas()
