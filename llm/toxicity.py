@@ -33,6 +33,8 @@ LABELLED, UNLABELLED = 20_000, 4000
 #: Word beginnings in bytes, features kept, least toxic documents of one, least log-likelihood ratio, least share.
 BEGINNINGS, KEEP, LEAST, RATIO, SHARE = (3, 4, 5, 6, 7, 8, 9, 10), 2048, 5, 14.0, 0.9
 LEXICONS, ROUNDS, SILENT = 6, 25, 0.75
+#: Features that a task gathers before it counts them.
+FLUSH = 2_000_000
 
 
 def _features(w: kernel.Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,9 +86,14 @@ def mine(labelled: DataFrame) -> Lexicon:
     """Features of toxic texts from ``labelled(text, toxic)``, a bounded sample."""
 
     def run(batches):
+        def counted(found):
+            h, y = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+            u, at = np.unique(h, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, y, len(u)).astype(np.int64)), pa.array(np.bincount(at, 1 - y, len(u)).astype(np.int64))], ["h", "a", "b"])
+
         for b in batches:
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-            found = []
+            found, held = [], 0
             for w in kernel.words(b.column("text")):
                 doc = w.doc_of_word()
                 for h, at in _features(w):
@@ -94,10 +101,12 @@ def mine(labelled: DataFrame) -> Lexicon:
                     h, d = h[order], d[order]
                     first = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
                     found.append((h[first], toxic[w.first + d[first]]))
-            h = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
-            y = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
-            u, at = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, y, len(u)).astype(np.int64)), pa.array(np.bincount(at, 1 - y, len(u)).astype(np.int64))], ["h", "a", "b"])
+                    held += int(first.sum())
+                if held > FLUSH:
+                    yield counted(found)
+                    found, held = [], 0
+            if found:
+                yield counted(found)
 
     total = labelled.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     share = (total["t"] or 0) / max(1, total["n"])
