@@ -491,3 +491,17 @@ def src8_write_briefings(s: SparkSession, d: str) -> DataFrame:
 def chn4_refused_chains(s: SparkSession, d: str) -> DataFrame:
     """Chains that an append would refuse: the last 40 events don't verify."""
     return custody.verify_tail(_tampered(s, d), 40).select("chain_id").distinct()
+
+
+@query(f"""WITH {SQL_LINES} SELECT document_id::VARCHAR AS document_id, prim AS norm, CASE WHEN part % 4 = 0 THEN 'gesetz_erwaehnung' ELSE 'paragraph_norm' END AS kind FROM lines UNION ALL SELECT o_orderkey::VARCHAR, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def src9_read_gt_citations(s: SparkSession, d: str) -> DataFrame:
+    """Ground truth of all letters written as files of JSON arrays (about a thousand letters each) and read back as rows."""
+    entry = F.struct(F.col("primary").alias("norm"), F.when(F.col("part") % 4 == 0, "gesetz_erwaehnung").otherwise("paragraph_norm").alias("type"))
+    per = corpus.lines(s, d).groupBy("document_id").agg(F.collect_list(entry).alias("explizit_zitierte_normen"))
+    docs = table(s, d, "orders").select(F.col("o_orderkey").alias("document_id")).join(per, "document_id", "left")
+    none = F.array().cast("array<struct<norm:string,type:string>>")
+    row = F.struct(F.col("document_id").cast("string").alias("dokument"), F.coalesce("explizit_zitierte_normen", none).alias("explizit_zitierte_normen"))
+    files = docs.groupBy(F.floor(F.col("document_id") / 1000).alias("file")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    path = new_path(s, "truth")
+    files.write.partitionBy("file").text(path)
+    return letter_source.read_gt_citations(s, path + "/*/*")
