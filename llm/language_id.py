@@ -6,7 +6,7 @@ Words are runs of letters, lower-cased, with the vocabulary's mark in front; lon
 cut. A letter that is no piece costs ``UNKNOWN`` in every language.
 
 Piece probabilities are learned per language by expectation-maximisation on a bounded, documented sample
-(``TRAIN_DOCS`` documents a language). Vocabulary and model are bounded by the vocabulary's size.
+(``TRAIN_DOCS`` documents a language, of texts up to ``TRAIN_BYTES``). Vocabulary and model are bounded by the vocabulary's size.
 
 Edge cases: a null text or one without letters is ``und`` with score 0, as is every text if nothing could be learned;
 rows with a null ``lang`` teach nothing; ties go to the smallest language; repeated rows get equal results; a null
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from llm import kernel
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS, ROUNDS, SMOOTH = 400, 4, 0.01
+TRAIN_DOCS, TRAIN_BYTES, ROUNDS, SMOOTH = 400, 200_000, 4, 0.01
 MAX_PIECE, MAX_WORD, UNKNOWN = 8, 32, 1e-6
 MARK = "▁"
 CACHE, CHUNK_CHARS = 400_000, 400_000
@@ -195,7 +195,7 @@ def learn(texts: list[str], segmenter: Segmenter, n_pieces: int, rounds: int = R
 def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and piece probabilities (pieces x languages) from labelled training documents."""
     pieces = vocabulary(path)
-    seen = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    seen = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
     sizes = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     bound = F.least(F.lit(1.0), TRAIN_DOCS / F.col("n")) * (1 << 30)
     picked = seen.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= bound)  # a row for each language
