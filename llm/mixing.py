@@ -21,7 +21,7 @@ from llm.common import WORD
 SHARES, MOST = (5, 2, 1), 3
 #: Weights by quality label: good, unlabelled, poor.
 GOOD, UNKNOWN, POOR = 4.0, 2.0, 1.0
-BUCKET_ROWS, LEAST_BUCKETS = 65_536, 16
+BUCKET_ROWS, LEAST_BUCKETS = 65_536, 128
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
