@@ -7,7 +7,11 @@ an unchanged occurrence meets its item at Hamming distance 0 wherever it starts.
 found by four 16-bit blocks: two fingerprints at distance at most 11 differ in at most 2 bits in one block, and all
 values within 2 bits of an item's block are in that block's index, so none is missed. Candidates are verified exactly:
 the share of the item's 5-word shingles, weighted by their rarity among the items, that occur where the item would
-lie, must reach ``SIMILARITY``.
+lie, must reach ``SIMILARITY``; a copy may be longer than its item by twice ``slack_of`` its length.
+
+Edits inside an item's window move its fingerprint out of the radius. The windows of the smallest size, one shingle, are
+therefore looked up at every position of items and documents, at distance 0: a copy that reaches ``SIMILARITY`` has an
+equal shingle, so with the best place among all equal shingles (``aligned``) the result is that of brute force.
 
 The items are the stated query set; they are applied in blocks of ``ITEM_BLOCK``, each a bounded broadcast, against
 all rows.
@@ -31,6 +35,8 @@ from llm import kernel
 WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024)
 RADIUS, BLOCK_BITS, BLOCK_ERRORS = 11, 16, 2
 SIMILARITY, SLACK, ITEM_BLOCK = 0.75, 2, 1000
+SLACK_PART, SEED_BITS = 4, 20
+ENOUGH = SIMILARITY - 1e-9  # sums of weights are rounded
 
 
 def width_of(n_words: int) -> tuple[int, int]:
@@ -40,6 +46,11 @@ def width_of(n_words: int) -> tuple[int, int]:
     return max(w for w in WIDTHS if w <= n_words - 1), 2
 
 
+def slack_of(n_words: int) -> int:
+    """Words by which a copy may begin earlier or end later: a quarter of the item, none for items of one shingle."""
+    return max(SLACK, n_words // SLACK_PART) if n_words > kernel.SHINGLE else SLACK if n_words == kernel.SHINGLE else 0
+
+
 def simhashes(h: np.ndarray, widths: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
     """Fingerprints of the windows of each (width, stride) at positions 0, stride, 2 * stride, ..."""
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
@@ -67,6 +78,7 @@ class Items:
     shingles: list = field(default_factory=list)
     weights: list = field(default_factory=list)
     index: dict = field(default_factory=dict)  # (width, stride) -> fingerprints, their items and offsets, block tables
+    seeds: dict = field(default_factory=dict)  # size -> filter, hashes, starts of their entries, items and shingle numbers
 
 
 def _near_values() -> np.ndarray:
@@ -94,6 +106,16 @@ def build_items(rows: list[tuple[object, str | None]]) -> Items:
     values, counts = np.unique(np.concatenate(items.shingles or [np.zeros(0, np.uint64)]), return_counts=True)
     rarity = np.log1p(len(items.ids) / np.maximum(1, counts))
     items.weights = [rarity[np.searchsorted(values, s)] for s in items.shingles]
+    for size in set(items.sizes):
+        of = [i for i, n in enumerate(items.sizes) if n == size]
+        hashes = np.concatenate([items.shingles[i] for i in of])
+        order = np.argsort(hashes, kind="stable")
+        distinct, starts = np.unique(hashes[order], return_index=True)
+        seen = np.zeros(1 << SEED_BITS, bool)
+        seen[distinct >> np.uint64(64 - SEED_BITS)] = True
+        item = np.repeat(of, [len(items.shingles[i]) for i in of])
+        number = np.concatenate([np.arange(len(items.shingles[i])) for i in of])
+        items.seeds[size] = (seen, distinct, np.append(starts, len(order)), item[order], number[order])
     near = _near_values()
     for key, entries in found.items():
         fp = np.array([e[0] for e in entries], np.uint64)
@@ -127,6 +149,54 @@ def candidates(fingerprints: np.ndarray, index: tuple) -> tuple[np.ndarray, np.n
     return np.concatenate(at), np.concatenate(entry)
 
 
+def aligned(at: np.ndarray, number: np.ndarray, weights: np.ndarray, span: int) -> float:
+    """The largest share of ``weights`` whose shingles ``number`` begin at places ``at`` (sorted) of ``span`` in a row."""
+    held, now, most, best, first = np.zeros(len(weights), np.int64), 0.0, -1.0, (0, 0), 0
+    for last in range(len(at)):
+        while at[last] - at[first] >= span:
+            k = number[first]
+            held[k] -= 1
+            now -= weights[k] if not held[k] else 0.0
+            first += 1
+        k = number[last]
+        held[k] += 1
+        now += weights[k] if held[k] == 1 else 0.0
+        if now > most + 1e-9:
+            most, best = now, (first, last + 1)
+    inside = np.zeros(len(weights), bool)
+    inside[number[slice(*best)]] = True
+    return float(weights[inside].sum() / weights.sum())
+
+
+def seeded(runs: np.ndarray, size: int, bounds: np.ndarray, items: Items) -> list[tuple[int, int, float]]:
+    """Documents, items and similarities of all matches among items of ``size``-word shingles; ``runs`` are the hashes
+    of all runs of ``size`` words."""
+    seen, distinct, starts, owner, numbers = items.seeds[size]
+    at = np.flatnonzero(seen[runs >> np.uint64(64 - SEED_BITS)])
+    v = np.minimum(np.searchsorted(distinct, runs[at]), len(distinct) - 1)
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    good = (distinct[v] == runs[at]) & (at + size <= bounds[doc + 1])
+    at, v, doc = at[good], v[good], doc[good]
+    if not len(at):
+        return []
+    n = starts[v + 1] - starts[v]
+    e = np.repeat(starts[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    at, doc, item, number = np.repeat(at, n), np.repeat(doc, n), owner[e], numbers[e]
+    order = np.lexsort((at, item, doc))
+    at, doc, item, number = at[order], doc[order], item[order], number[order]
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    out = []
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist(), strict=True):
+        i = int(item[a])
+        weights = items.weights[i]
+        need = ENOUGH * weights.sum()
+        if (b - a) * weights.max() < need or weights[np.unique(number[a:b])].sum() < need:
+            continue
+        span = items.lengths[i] + 2 * slack_of(items.lengths[i]) - size + 1
+        out.append((int(doc[a]), i, aligned(at[a:b], number[a:b], weights, span)))
+    return out
+
+
 def matches(column: pa.Array, items: Items) -> dict[int, dict[int, float]]:
     """For each row with a match: item number to similarity."""
     out: dict[int, dict[int, float]] = {}
@@ -143,17 +213,25 @@ def matches(column: pa.Array, items: Items) -> dict[int, dict[int, float]]:
             doc = np.searchsorted(w.bounds, position, side="right") - 1
             start = position - items.index[key][2][entry]
             pairs.update(zip(doc.tolist(), items.index[key][1][entry].tolist(), start.tolist(), strict=True))
+        found: list[tuple[int, int, float]] = []
         for doc, item, start in pairs:
             length, size = items.lengths[item], items.sizes[item]
-            slack = SLACK if size == kernel.SHINGLE else 0
+            slack = slack_of(length)
             lo, hi = max(w.bounds[doc], start - slack), min(w.bounds[doc + 1], start + length + slack)
             if hi - lo < size:
                 continue
             if size not in runs:
                 runs[size] = kernel.rolled(h, size)
             inside = np.isin(items.shingles[item], runs[size][lo : hi - size + 1])
-            similarity = float(items.weights[item][inside].sum() / items.weights[item].sum())
-            if similarity >= SIMILARITY:
+            found.append((doc, item, float(items.weights[item][inside].sum() / items.weights[item].sum())))
+        for size in items.seeds:
+            if len(h) < size:
+                continue
+            if size not in runs:
+                runs[size] = kernel.rolled(h, size)
+            found += seeded(runs[size], size, w.bounds, items)
+        for doc, item, similarity in found:
+            if similarity >= ENOUGH:
                 best = out.setdefault(w.first + doc, {})
                 best[item] = max(similarity, best.get(item, 0.0))
     return out

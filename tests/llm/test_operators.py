@@ -361,6 +361,48 @@ def test_decontamination(spark, monkeypatch):
     assert dc.contamination(d.limit(0), bench).count() == 0
 
 
+def brute_similarity(item, doc, weights, size, span):
+    """The largest weighted share of the item's shingles in ``span`` words of the document in a row."""
+    shingle = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+    own = shingle(item)
+    best = max(sum(weights[s] for s in own & shingle(doc[a : a + span])) for a in range(max(1, len(doc) - span + 1)))
+    return best / sum(weights[s] for s in own)
+
+
+def test_edited_copies_equal_brute_force():
+    """Copies cut in front or at the end, with a replaced or an inserted block, or with scattered changes."""
+    from llm import decontaminate as dc
+
+    r = random.Random(21)
+    v = vocabulary(2000, 21)
+    text = lambda n: [r.choice(v) for _ in range(n)]
+    items = [text(n) for n in (15, 16, 40, 40, 60, 60, 100, 100, 150)]
+    items[3][:12] = items[2][:12]  # common to two items: less weight
+    docs = []
+    for w in items:
+        for part in (0.1, 0.2, 0.24, 0.3):
+            k, a = int(part * len(w)), r.randint(1, len(w) // 2)
+            scattered = [r.choice(v) if i % 23 == 11 else x for i, x in enumerate(w)]
+            copies = (w[k:], w[: len(w) - k], w[:a] + text(k) + w[a + k :], w[:a] + text(k) + w[a:], text(1) + w[1:k] + text(2) + w[k:], scattered)
+            docs += [text(r.randint(0, 40)) + c + text(r.randint(0, 40)) for c in copies]
+    docs.append(items[2] * 3 + text(9) + items[3])
+    index = dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)])
+    got = dc.matches(pa.array([" ".join(d) for d in docs]), index)
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items]
+    counts = Counter(s for own in shingles for s in own)
+    weights = {s: math.log1p(len(items) / c) for s, c in counts.items()}
+    n = 0
+    for j, d in enumerate(docs):
+        for i, w in enumerate(items):
+            want = brute_similarity(w, d, weights, 5, len(w) + 2 * max(2, len(w) // 4))
+            hit = want >= 0.75 - 1e-9
+            n += hit
+            assert (i in got.get(j, {})) == hit, (i, j, want)
+            if hit:
+                assert got[j][i] == pytest.approx(want)
+    assert n > 100
+
+
 def test_hamming_index_misses_nothing():
     from llm import decontaminate as dc
 
