@@ -449,6 +449,24 @@ def test_lm_scores(spark):
     assert scores(d.limit(0)).count() == 0
 
 
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    """A habit of texts that are longer than the start's, and outside its sample, shows in the scores."""
+    from llm import lm_score
+
+    r = random.Random(8)
+    long = " ".join(r.choice(("a b c d", "e f g h")) for _ in range(4000))
+    texts = [long] * 8 + ["a c e g b d f h"] * 4
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    d = docs_frame(spark, texts, ids=ids)
+    monkeypatch.setattr(lm_score, "MODEL_BYTES", 1000)
+    monkeypatch.setattr(lm_score, "RATE", 2e-2)
+    learnt, real = [], lm_score.learn_all
+    monkeypatch.setattr(lm_score, "learn_all", lambda *a: learnt.append(real(*a)))
+    got = {x["doc_id"]: x for x in lm_score.scores(d).collect()}
+    assert learnt == [sum(len(t.split()) + 1 for t in texts)]
+    assert got[ids[0]]["score"] > 0.8 * got[ids[0]]["base_score"]
+
+
 def test_gru_scores_are_a_distribution_and_carry_state():
     from llm.gru import Gru
 
