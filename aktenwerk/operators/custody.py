@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from aktenwerk.functions.fixed import GENESIS
 
@@ -62,25 +67,31 @@ def number_events(events: DataFrame, heads: DataFrame | None = None) -> DataFram
 def append_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """CHN-1: numbers events and adds ``event_hash``, each over its predecessor's, from the stored head or genesis.
 
-    A chain is sequential; the chains run in parallel. Only canonical texts and ids travel into the fold.
+    A chain is sequential; the chains run in parallel. Rows are sorted by chain and number, and only the last hash goes
+    from row to row, so a task holds a batch of rows however long its chains are. Events without a chain are left out.
     """
-    numbered = number_events(events, heads)
-    numbered = numbered.withColumn("_c", canonical_text(numbered))
-    rows = F.array_sort(F.collect_list(F.struct("sequence_number", "event_id", F.sha2(F.col("_c").cast("binary"), 256).alias("_d"), "_c")))
-    chains = numbered.groupBy("chain_id").agg(rows.alias("_rows"))
+    numbered = number_events(events.where("chain_id is not null"), heads)
+    rows = numbered.withColumn("_c", canonical_text(numbered))
     if heads is not None:
-        chains = chains.join(heads.select("chain_id", F.col("event_hash").alias("_head")), "chain_id", "left")
+        rows = rows.join(heads.select("chain_id", F.col("event_hash").alias("_head")), "chain_id", "left")
     else:
-        chains = chains.withColumn("_head", F.lit(None).cast("string"))
-    zero = F.struct(F.coalesce("_head", F.lit(GENESIS)).alias("h"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = link(x["_c"], acc["h"])
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(h)).alias("out"))
-
-    hashed = chains.withColumn("_h", F.aggregate("_rows", zero, step, lambda acc: acc["out"]))
-    pairs = hashed.select("chain_id", F.explode(F.arrays_zip("_rows", "_h")).alias("x")).select("chain_id", F.col("x._rows.sequence_number").alias("sequence_number"), F.col("x._h").alias("event_hash"))
-    return numbered.drop("_c").join(pairs, ["chain_id", "sequence_number"])
+        rows = rows.withColumn("_head", F.lit(None).cast("string"))
+    rows = rows.withColumn("_chain", F.col("chain_id").cast("string"))
+    names = numbered.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = head = None
+        for b in batches:
+            hashes = []
+            for key, text, start in zip(*(b.column(c).to_pylist() for c in ("_chain", "_c", "_head")), strict=True):
+                if key != chain:
+                    chain, head = key, start or GENESIS
+                head = None if text is None or head is None else hashlib.sha256((text + head).encode()).hexdigest()
+                hashes.append(head)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(hashes, pa.string())], [*names, "event_hash"])
+
+    schema = StructType([*numbered.schema.fields, StructField("event_hash", StringType())])
+    return rows.repartition("chain_id").sortWithinPartitions("chain_id", "sequence_number").mapInArrow(fold, schema)
 
 
 def with_predecessor(events: DataFrame) -> DataFrame:

@@ -33,29 +33,37 @@ def ingest(docs: DataFrame, clean=None) -> DataFrame:
 CHAINED = "chain_id string, event_id string, sequence_number long, event_hash string"
 
 
-def chain(events: DataFrame) -> DataFrame:
+def chain(events: DataFrame, step: int = 10_000) -> DataFrame:
     """STR-2: events as they arrive, numbered and hashed; state per chain is its last hash and number.
 
     The sequence number is part of the canonical text; it is put in where the text holds a mark for it.
+    A chain's events of one trigger are sorted on disk and hashed ``step`` at a time, so none has to fit in memory.
     """
     mark = "#sequence#"
     marked = events.withColumn("sequence_number", F.lit(mark))
     texts = marked.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("event_id").cast("string").alias("event_id"), "ts", canonical_text(marked).alias("text"))
 
     def append(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import sqlite3
+
         import pandas as pd
 
         head, number = state.get if state.exists else (GENESIS, -1)
-        for f in [pd.concat(list(frames))]:  # the events of one chain in one trigger
-            f = f.sort_values(["ts", "event_id"])
-            hashes, numbers = [], []
-            for text in f["text"]:
+        scratch = sqlite3.connect("")  # a temporary file of this task: the events of one chain in one trigger, sorted on disk
+        scratch.execute("create table e (ts integer, event_id text, text text)")
+        for f in frames:
+            times = (None if t is pd.NaT else t.value for t in f["ts"])
+            scratch.executemany("insert into e values (?, ?, ?)", zip(times, f["event_id"], f["text"], strict=True))
+        found = scratch.execute("select event_id, text from e order by ts, event_id")
+        while rows := found.fetchmany(step):
+            out = []
+            for event_id, text in rows:
                 number += 1
                 head = hashlib.sha256((text.replace(mark, str(number), 1) + head).encode()).hexdigest()
-                hashes.append(head)
-                numbers.append(number)
+                out.append((key[0], event_id, number, head))
             state.update((head, number))
-            yield pd.DataFrame({"chain_id": key[0], "event_id": f["event_id"], "sequence_number": numbers, "event_hash": hashes})
+            yield pd.DataFrame(out, columns=["chain_id", "event_id", "sequence_number", "event_hash"])
+        scratch.close()
 
     return texts.groupBy("chain_id").applyInPandasWithState(append, CHAINED, "event_hash string, sequence_number long", "append", GroupStateTimeout.NoTimeout)
 

@@ -46,6 +46,18 @@ def test_continue_from_head(spark):
     assert {r["event_id"]: r["event_hash"] for r in first.unionByName(rest).collect()} == whole
 
 
+def test_append_collects_no_chain(spark):
+    """One long chain beside short ones: rows go one by one, no group of a chain is collected in a row."""
+    e = events(spark, 12_000).unionByName(events(spark, 3, "b"))
+    chained = c.append_chain(e)
+    plan = chained._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
+    for chain in "ab":
+        own = e.where(F.col("chain_id") == chain)
+        got = [r["event_hash"] for r in chained.where(F.col("chain_id") == chain).orderBy("sequence_number").collect()]
+        assert got == expected_hashes(own.orderBy("ts").collect())
+
+
 def first_break(df):
     r = c.verify_chain(df).first()
     return r["idx"], r["reason"]

@@ -25,6 +25,18 @@ def test_chain_goes_on_over_triggers(spark, tmp_path):
     assert got == {(r["chain_id"], r["event_id"]): (r["sequence_number"], r["event_hash"]) for r in want}
 
 
+def test_long_chain_leaves_in_steps(spark, tmp_path):
+    """A trigger's events of one chain leave in steps, in order, and the state goes on after them."""
+    src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
+    rows = [(f"a{i:03d}", "triage", "a", "a", T + timedelta(seconds=i * 37 % 50), "{}", 1) for i in range(50)]
+    for part in ([r for r in rows if r[4] < T + timedelta(seconds=30)], [r for r in rows if r[4] >= T + timedelta(seconds=30)]):
+        batch(spark, src, part, EVENTS)
+        jobs.run_available(jobs.chain(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), step=7), out, state)
+    got = {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in spark.read.parquet(out).collect()}
+    want = custody.append_chain(spark.createDataFrame(rows, EVENTS)).collect()
+    assert got == {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in want}
+
+
 def test_alerts_drop_late_rows(spark, tmp_path):
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
     schema = "ts timestamp, unresolved long, citations long, failures long, arguments long, failed_writes long"
