@@ -468,12 +468,15 @@ def _uuid(c: Column) -> Column:
 @query("""WITH h AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h, text FROM documents), u AS (SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, text FROM h)
 SELECT id AS document_id, sha256(text) AS text, NULL AS reason FROM u WHERE doc_id % 20 = 0 UNION ALL SELECT 'x' || doc_id, NULL, 'not_a_uuid' FROM documents WHERE doc_id % 20 = 1""")
 def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
-    """All documents stored raw; every twentieth is read with its access event, every other twentieth is asked for by a wrong id."""
+    """All documents stored raw and asked for, with their access events, and by a wrong id each; the rows of the SQL are returned."""
     docs = table(s, d, "documents").select("doc_id", _uuid(F.col("doc_id")).alias("document_id"), "text")
     store = new_path(s, "raw")
     letter_source.write_raw(docs.drop("doc_id"), store)
-    wrong = docs.where("doc_id % 20 = 1").select(F.concat(F.lit("x"), "doc_id").alias("document_id"))
-    got, rejected = letter_source.read_raw(s, docs.where("doc_id % 20 = 0").select("document_id").unionByName(wrong), store, new_path(s, "trail"), F.lit("2024-01-01").cast("timestamp"))
+    wrong = docs.select("doc_id", F.concat(F.lit("x"), "doc_id").alias("document_id"))
+    asked = docs.select("document_id").unionByName(wrong.select("document_id"))
+    got, rejected = letter_source.read_raw(s, asked, store, new_path(s, "trail"), F.lit("2024-01-01").cast("timestamp"))
+    got = got.join(docs.where("doc_id % 20 = 0").select("document_id"), "document_id", "left_semi")
+    rejected = rejected.join(wrong.where("doc_id % 20 = 1").select("document_id"), "document_id", "left_semi")
     none = F.lit(None).cast("string")
     return got.select("document_id", F.sha2("text", 256).alias("text"), none.alias("reason")).unionByName(rejected.select("document_id", none.alias("text"), "reason"))
 

@@ -119,3 +119,19 @@ def test_dense_ties_and_zero_vectors(spark):
     assert [r["item_id"] for r in ranking.top_in_label(v, q, 3).orderBy("rank").collect()] == [0, 2, 4]
     fused = ranking.rrf([ranking.dense_scores(v, q, 3), ranking.top_in_label(v, q, 3)]).orderBy("rank").collect()
     assert fused[0]["item_id"] == 0 and fused[0]["score"] == pytest.approx(2 / 61)
+
+
+def test_raw_query_asks_for_every_document(spark, tmp_path, monkeypatch):
+    from aktenwerk.plans import tables
+
+    spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(f"file://{tmp_path}/documents.parquet")
+    calls, real = [], tables.letter_source.read_raw
+
+    def read_raw(s, ids, store, log, at):
+        found = real(s, ids, store, log, at)
+        calls.append((ids.count(), s.read.parquet(log).count(), found[0].count(), found[1].count()))
+        return found
+
+    monkeypatch.setattr(tables.letter_source, "read_raw", read_raw)
+    assert tables.src6_read_raw(spark, f"file://{tmp_path}").count() == 4
+    assert calls == [(80, 40, 40, 40)]
