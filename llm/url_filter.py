@@ -74,8 +74,9 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> D
     rule, verdict = rule_columns(rules)
     parts = with_parts(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("verdict", verdict).drop("url")
     if labelled is None:
-        ruled = parts.where("verdict is not null")
-        sample = ruled.where(in_fraction(F.concat_ws("\n", "host", "path"), TRAIN_URLS / max(1, ruled.count())))
+        url = F.concat_ws("\n", "host", "path")
+        ruled = parts.where("verdict is not null").select("host", "path", "verdict").distinct()  # a URL has one verdict
+        sample = ruled.where(in_fraction(url, 1.25 * TRAIN_URLS / max(1, ruled.count()))).orderBy(F.xxhash64(url), "host", "path").limit(TRAIN_URLS)
         labelled = sample.select("host", "path", (F.col("verdict") == "allow").cast("double").alias("allowed")).orderBy("host", "path")
     w, b = train(labelled)
     model = pages.sparkSession.sparkContext.broadcast((w.astype(np.float32), b))  # DIMS numbers

@@ -285,6 +285,23 @@ def test_url_filter(spark):
     assert judge(d.limit(0)).count() == 0 and judge(d.limit(1)).first()["verdict"] in ("allow", "block")
 
 
+def test_url_filter_learns_from_repeated_urls(spark, monkeypatch):
+    """Many rows of few URLs teach the model what the distinct URLs do, and the sample has a bound."""
+    from llm import url_filter
+
+    urls = [f"http://s{i}.example.com/{p}/{i}" for i in range(30) for p in ("fr", "de")]
+    new = ["http://q.example.com/fr/x", "http://q.example.com/de/x"]
+    frame = lambda u: spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
+    rules = [("allow", f"s{i}.example.com", "/fr") for i in range(30)] + [("block", f"s{i}.example.com", "/de") for i in range(30)]
+    monkeypatch.setattr(url_filter, "TRAIN_URLS", 60)
+    sizes, real = [], url_filter.train
+    monkeypatch.setattr(url_filter, "train", lambda t: sizes.append(t.count()) or real(t))
+    once = {r["page_id"]: r["score"] for r in url_filter.judge(frame(new + urls), rules).collect()}
+    often = {r["page_id"]: r["score"] for r in url_filter.judge(frame(new + urls * 200), rules).collect()}
+    assert sizes == [60, 60]
+    assert [often[k] for k in (0, 1)] == pytest.approx([once[k] for k in (0, 1)]) and once[0] > 0.5 > once[1]
+
+
 # --- 3: WARC --------------------------------------------------------------------------------------------------------
 
 
