@@ -6,8 +6,9 @@ the documents are taken in key order: complete epochs first, then documents unti
 windows run inside (source, bucket) only, so that a hot source is spread over many tasks.
 
 Edge cases: a null or blank text has size 0 and nothing is taken of it; a null source is a source of its own, sorted
-last; a null id gets the key of the empty text; repeated rows are separate documents with equal keys; no documents or
-only empty ones give targets of 0; other columns are ignored.
+last; a null id gets the key of the empty text; repeated rows are separate documents with equal keys, and rows that
+repeat an id with other texts are taken by rising size, then in an order by content, so that reruns agree on them too; no
+documents or only empty ones give targets of 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, source, *keep)`` for every row of ``docs``."""
-    base = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    # rows that repeat an id come in the order of their size and content; rows that agree in all of it are alike
+    base = docs.select("doc_id", "source", *keep, size.alias("size"), F.xxhash64("text", *(c for c in keep if c != "text")).alias("content"))
     base = base.join(weights, "doc_id", "left")
     # 52 bits of a hash of the id, in (0, 1)
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
@@ -66,7 +69,7 @@ def mix(docs: DataFrame, weights: DataFrame, keep: tuple[str, ...] = ()) -> Data
     aimed = targets(per_source.select(F.when(F.col("named"), F.col("name")).alias("source"), "source_size"))
     aimed = aimed.select(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
     place = offsets.join(aimed, ["named", "name"]).drop("bucket_size")
-    inside = Window.partitionBy("named", "name", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("named", "name", "bucket").orderBy("key", "doc_id", "size", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = base.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(place, ["named", "name", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - epochs * F.col("source_size") - F.col("offset") - F.col("run")
