@@ -32,7 +32,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of the n-gram Jaccard join."""
     first = jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # of rows that repeat the id, the least by text and the other columns stays, whatever the order of the rows
+    kept = docs.join(first, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
