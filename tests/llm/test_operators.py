@@ -540,7 +540,7 @@ def brute_forward(word, prob, pieces):
     w = li.MARK + word
     alpha = [1.0] + [0.0] * len(w)
     for j in range(1, len(w) + 1):
-        for k in range(1, min(j, li.MAX_PIECE) + 1):
+        for k in range(1, j + 1):
             p = pieces.get(w[j - k : j])
             if p is not None:
                 alpha[j] += alpha[j - k] * prob[p]
@@ -557,14 +557,35 @@ def test_language_model_sums_segmentations(spark):
     place = {p: i for i, p in enumerate(pieces)}
     prob = li.learn(["the cat sat on the mat", "the thing there"], seg, len(pieces))
     assert prob.sum() == pytest.approx(1)
-    texts = ["the THE zq", "mat—cat", None, "", "12 !!", "größe " * 3, "x" * 100, "日本語 the"]
+    assert max(map(len, pieces)) > 8
+    texts = ["the THE zq", "mat—cat", None, "", "12 !!", "größe " * 3, "x" * 100, "日本語 the", "thethingthere" * 5 + " " + "thing" * 11]
     scorer = li.Scorer(pieces, prob[:, None])
     for _ in range(2):  # the second time from memory
         logs, n = scorer.scores(texts)
         for t, got, k in zip(texts, logs[:, 0], n, strict=True):
-            runs = [r[i : i + li.MAX_WORD] for r in re.findall(r"[^\W\d_]+", (t or "").lower()) for i in range(0, len(r), li.MAX_WORD)]
+            runs = re.findall(r"[^\W\d_]+", (t or "").lower())
             assert k == len(runs)
-            assert got == pytest.approx(sum(math.log(max(1e-300, brute_forward(r, prob, place))) for r in runs), rel=1e-6)
+            assert got == pytest.approx(sum(math.log(brute_forward(r, prob, place)) for r in runs), rel=1e-6)
+    # a word too unlikely for numbers without logarithms, and one longer than any chunk
+    rare = np.full(len(pieces), 1e-30)
+    one, other = (li.Scorer(pieces, rare[:, None]).scores([t])[0][0, 0] for t in ("q" * 31, "q" * 310))
+    assert -2000 < one < math.log(li.LEAST) and other == pytest.approx(10 * one, rel=0.1)
+    assert np.isfinite(scorer.scores(["ab" * 30_000, "word " * 3])[0]).all()
+
+
+def test_language_model_learns_from_long_words():
+    """Expectation-maximisation over a long word gives what it gives in the matrix of short ones."""
+    from llm import language_id as li
+
+    pieces = li.vocabulary()
+    texts = ["donaudampfschiff fahrt und donaudampf", "schifffahrt gesellschaft"]
+    want = li.learn(texts, li.Segmenter(pieces), len(pieces))
+    old, li.SHORT_WORD = li.SHORT_WORD, 3
+    try:
+        got = li.learn(texts, li.Segmenter(pieces), len(pieces))
+    finally:
+        li.SHORT_WORD = old
+    assert np.allclose(got, want, rtol=1e-6)
 
 
 def test_language_id(spark):
