@@ -1,18 +1,20 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. *Voters.* From a bounded sample of labelled training rows, words and word beginnings that are far more frequent in
-   toxic texts are mined (by likelihood ratio against chance) and dealt into lexicon voters; pattern voters look at
-   capitals, exclamation marks, symbols, repeated words and digits. A voter fires or doesn't.
-2. *Label model.* For a latent label, each voter's firing rates (its accuracy) are estimated by
-   expectation-maximisation on a bounded sample of labelled and unlabelled rows, without looking at labels. Residual
-   correlations between voters, given the label, shrink the votes of voters that repeat each other.
-3. *Classifier.* A logistic regression on the mined features is trained on the posterior labels, and scores every
-   whole text.
+1. *Voters.* From a bounded sample of labelled training rows (``LABELLED``), words and word beginnings that are far more
+   frequent in toxic texts are mined (by likelihood ratio against chance) and dealt into lexicon voters; pattern voters
+   look at capitals, exclamation marks, symbols, repeated words and digits. A voter fires or doesn't.
+2. *Label model.* All training rows vote; rows are counted by the pattern of their votes, of which there are at most
+   2 ** voters however many rows there are. For a latent label, expectation-maximisation over these counts estimates
+   each voter's firing rates (its accuracy) and the covariances of all voters given the label; both make up the log
+   odds of the posterior, so voters that repeat each other share one vote. True labels enter by the mined lexicons and
+   as the share of toxic rows (the prior), not row by row.
+3. *Classifier.* A logistic regression on the mined features is trained on the posterior labels of the sample, and
+   scores every whole text.
 
 Edge cases: a null or blank text has no features and gets the intercept's score; if nothing can be mined (no labelled
 row, or labels of one kind) every text scores the prior, at most 0.49 unless all labels are toxic; repeated labels of
-an id: toxic if any is; repeated rows get equal scores; a null id counts as the empty text, which is held out; other
-columns are ignored; an empty table gives no rows.
+an id: toxic if any is; equal rows of an id are one row of the sample and repeated rows get equal scores; a null id
+counts as the empty text, which is held out; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import in_fraction
+from llm.common import in_fraction, stored
 from llm.linear import fit_sparse, sigmoid
 
 FOLDS = 5
-LABELLED, UNLABELLED = 20_000, 4000
+LABELLED = 20_000
 #: Word beginnings in bytes, features kept, least toxic documents of one, least log-likelihood ratio, least share.
 BEGINNINGS, KEEP, LEAST, RATIO, SHARE = (3, 4, 5, 6, 7, 8, 9, 10), 2048, 5, 14.0, 0.9
-LEXICONS, ROUNDS, SILENT = 6, 25, 0.75
+LEXICONS, ROUNDS, RIDGE = 6, 25, 1e-3
 #: Features that a task gathers before it counts them.
 FLUSH = 2_000_000
 
@@ -125,6 +127,10 @@ def mine(labelled: DataFrame) -> Lexicon:
 PATTERN_LIMITS = (0.2, 0.02, 0.03, 0.05, 0.1)
 
 
+#: Lexicon voters, the same at more hits, pattern voters.
+N_VOTERS = 2 * LEXICONS + len(PATTERN_LIMITS)
+
+
 def votes(lexicon: Lexicon, w: kernel.Words) -> np.ndarray:
     """Firing voters of each document: lexicons at one hit, the same lexicons at three, patterns at their limits."""
     doc, feat = lexicon.hits(w)
@@ -132,28 +138,27 @@ def votes(lexicon: Lexicon, w: kernel.Words) -> np.ndarray:
     return np.concatenate([count >= 1, count >= 3, _patterns(w) > np.array(PATTERN_LIMITS)], 1)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, firing rates (2 x voters) and weights (one over summed correlations) of the voters.
+def label_model(v: np.ndarray, prior: float, rounds: int = ROUNDS, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior labels, firing rates (2 x voters) and weights of the voters from votes (rows x voters, ``count`` times).
 
-    A toxic text need not hold words of every lexicon, so a lexicon that doesn't fire counts ``SILENT`` of a vote.
+    A voter's weight is its coefficient in the log odds against the one it would have if it were correlated with none.
     """
     v = v.astype(float)
-    n_lexicon = 2 * LEXICONS
-    p = np.where(v[:, :n_lexicon].sum(1) > 0, 0.9, 0.02) if len(v) else np.zeros(0)
-    weight = np.ones(v.shape[1])
-    rates = np.full((2, v.shape[1]), 0.5)
+    n = np.ones(len(v)) if count is None else count.astype(float)
+    p = np.where(v[:, : 2 * LEXICONS].sum(1) > 0, 0.9, 0.02) if len(v) else np.zeros(0)
+    weight, rates = np.ones(v.shape[1]), np.full((2, v.shape[1]), 0.5)
     for _ in range(rounds):
-        rates = np.stack([((1 - p) @ v + 0.5) / ((1 - p).sum() + 1), (p @ v + 0.5) / (p.sum() + 1)])
-        # correlations of what the label leaves unexplained
-        left = v - (p[:, None] * rates[1] + (1 - p)[:, None] * rates[0])
-        norm = np.sqrt((left * left).sum(0)) + 1e-9
-        c = (left.T @ left) / norm[:, None] / norm[None]
-        np.fill_diagonal(c, 0)
-        weight = 1 / (1 + np.clip(c, 0, 1).sum(1))
-        one = np.log(rates[1] / rates[0])
-        none = np.log((1 - rates[1]) / (1 - rates[0]))
-        z = np.log(prior / (1 - prior)) + (v * one + (1 - v) * np.where(np.arange(v.shape[1]) < n_lexicon, SILENT, 1) * none) @ weight
-        p = sigmoid(z)
+        no, yes = n * (1 - p), n * p
+        rates = np.stack([(no @ v + 0.5) / (no.sum() + 1), (yes @ v + 0.5) / (yes.sum() + 1)])
+        # covariance of what the label leaves unexplained, shared by both labels
+        left = [v - r for r in rates]
+        within = sum((x * w[:, None]).T @ x for x, w in zip(left, (no, yes), strict=True)) / max(1.0, n.sum())
+        within[np.diag_indices_from(within)] += RIDGE
+        apart = rates[1] - rates[0]
+        slope = np.linalg.solve(within, apart)
+        slope[: 2 * LEXICONS] = np.maximum(0, slope[: 2 * LEXICONS])  # a lexicon's hit never speaks against the label
+        weight = slope / np.where(apart == 0, 1, apart / np.diag(within))
+        p = sigmoid(np.log(prior / (1 - prior)) + (v - rates.mean(0)) @ slope)
     return p, rates, weight
 
 
@@ -171,41 +176,61 @@ class Model:
         return sigmoid(z + self.intercept)
 
 
+def patterns(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (patterns x voters) of all rows of ``docs(text)`` and the rows that vote so, counted in the tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most KEEP features
+    bits = 1 << np.arange(N_VOTERS)
+
+    def run(batches):
+        counts = np.zeros(1 << N_VOTERS, np.int64)
+        for b in batches:
+            for w in kernel.words(b.column("text")):
+                np.add.at(counts, votes(shared.value, w) @ bits, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pattern", "n"])
+
+    found = docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** N_VOTERS
+    shared.destroy()
+    at, n = (found.column(c).to_numpy() for c in ("pattern", "n"))
+    order = np.argsort(at)
+    return (at[order, None] >> np.arange(N_VOTERS)) & 1, n[order]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, which holds training rows only."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n_labels, n_docs = truth.count(), docs.count()
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    picked = truth.where(in_fraction(F.col("doc_id"), LABELLED / max(1, n_labels)))
-    labelled = docs.join(picked, "doc_id").select("doc_id", text, "toxic")
-    # held-out rows and their labels are never used; unlabelled rows give texts only
-    rest = docs.where(in_fraction(F.xxhash64("doc_id", F.lit(1)), UNLABELLED / max(1, n_docs))).select("doc_id", text, F.lit(-1).alias("toxic"))
+    drawn = in_fraction(F.col("doc_id"), 1.25 * LABELLED / max(1, truth.count()))
+    # equal rows of an id are one; a bound in rows however often an id is repeated
+    known = docs.where(drawn).join(truth.where(drawn), "doc_id").withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"])
+    labelled = stored(known.orderBy("row").limit(LABELLED), "labelled")
     lexicon = mine(labelled)
+    total = labelled.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    bad, n = total[0] or 0, total[1]
+    share = float((bad + 0.5) / (n + 1)) if n else 0.1
+    n_lex = len(lexicon.hashes)
+    if not n_lex:
+        b = np.log(share / (1 - share)) if 0 < bad == n else min(np.log(share / (1 - share)), -0.04)
+        return Model(lexicon, np.zeros(0), float(b))
+    seen, count = patterns(docs, lexicon)
+    p, _, _ = label_model(seen, share, count=count)
+    posterior = np.full(1 << N_VOTERS, share)
+    posterior[seen @ (1 << np.arange(N_VOTERS))] = p
 
     def run(batches):
         for b in batches:
             for w in kernel.words(b.column("text")):
                 doc, feat = lexicon.hits(w)
-                hit = np.unique(doc * max(1, len(lexicon.hashes)) + feat)
-                doc, feat = np.divmod(hit, max(1, len(lexicon.hashes)))
-                cuts = np.searchsorted(doc, np.arange(w.n_docs + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feat, pa.int64()))
-                seen = pa.array(votes(lexicon, w).astype(np.int8).tolist(), pa.list_(pa.int8()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.first, w.n_docs), b.column("toxic").slice(w.first, w.n_docs), lists, seen], ["doc_id", "toxic", "feats", "votes"])
-
-    t = labelled.unionByName(rest).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, feats array<long>, votes array<tinyint>").toPandas()
-    t = t.sort_values(["doc_id", "toxic"], kind="stable")  # the sum over rows in one order, so that reruns agree
-    y = t["toxic"].to_numpy()
-    share = float((y[y >= 0].sum() + 0.5) / ((y >= 0).sum() + 1)) if len(y) else 0.1
-    n_lex = len(lexicon.hashes)
-    if not n_lex:
-        b = np.log(share / (1 - share)) if (y == 1).any() and not (y == 0).any() else min(np.log(share / (1 - share)), -0.04)
-        return Model(lexicon, np.zeros(0), float(b))
-    p, _, _ = label_model(np.stack(t["votes"].to_list()), share)
-    length = t["feats"].map(len).to_numpy()
-    rows, cols = np.repeat(np.arange(len(t)), length), np.concatenate(t["feats"].to_list()).astype(np.int64)
-    w, b = fit_sparse(rows, cols, np.ones(len(cols)), p, np.ones(len(t)), n_lex, l2=1e-4, rounds=200)
+                hit = np.unique(doc * n_lex + feat)
+                doc, feat = np.divmod(hit, n_lex)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(w.n_docs + 1)), pa.int32()), pa.array(feat, pa.int64()))
+                soft = pa.array(posterior[votes(lexicon, w) @ (1 << np.arange(N_VOTERS))])
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(w.first, w.n_docs), soft, lists], ["row", "soft", "feats"])
+
+    t = labelled.select("row", "text").mapInArrow(run, "row long, soft double, feats array<long>").orderBy("row").toArrow()  # at most LABELLED
+    feats = t.column("feats").combine_chunks()
+    rows = np.repeat(np.arange(len(t)), feats.value_lengths().to_numpy())
+    w, b = fit_sparse(rows, feats.flatten().to_numpy(), np.ones(len(rows)), t.column("soft").to_numpy(), np.ones(len(t)), n_lex, l2=1e-4, rounds=200)
     return Model(lexicon, w, b)
 
 
