@@ -3,15 +3,19 @@
 The text view sees shares of character and word kinds, the metadata view hashed source and language and the recorded
 length. Both are logistic regressions. In every round each view labels the pool rows that it is most sure of for the
 other view. Then each view is calibrated on labelled rows kept aside, and a regression on the two calibrated log odds
-scores all documents. Labelled rows and pool are bounded samples (``LABELLED``, ``POOL``).
+scores all documents. Only the labelled rows are a bounded sample (``LABELLED``); the pool is every other document:
+tasks score it and keep their surest rows, of which the surest of all tasks are taken.
 
 Edge cases: a null text counts as empty; null source, language or length are values of their own; repeated labels of an
-id: good only if all are; without labels, or with labels of one kind, all documents score 0.5 or that label's side;
-repeated rows get equal scores; other columns are kept as they are; an empty table gives no rows.
+id: good only if all are; any labels of two kinds train the model (where those kept aside are of one kind, all labelled
+rows calibrate it); without labels, or with labels of one kind, all documents score 0.5 or that label's side (0.88,
+0.12); equal rows are one row of sample and pool, and repeated rows get equal scores; other columns are kept as they
+are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import in_fraction
+from llm.common import in_fraction, stored
 from llm.linear import fit_dense, sigmoid
 
-LABELLED, POOL, ROUNDS, SURE, GAIN = 6000, 6000, 5, 0.95, 300
+LABELLED, ROUNDS, SURE, GAIN = 6000, 5, 0.95, 300
+#: Tasks that bring together the surest rows of all tasks.
+MERGES = 32
 BUCKETS = 32
 TEXT_FEATURES = 16
 
@@ -122,33 +128,59 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.mix[0] * a + self.mix[1] * b + self.intercept)
 
 
+#: Rows picked for a view: their names, features of both views, and labels.
+Picks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def surest(views: tuple[View, View], names: np.ndarray, xt: np.ndarray, xm: np.ndarray, share: float, taken: tuple[set, set]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(teacher, label, positions, certainty)`` of the rows that each view is surest of, rows of the same name once.
+
+    The text view (0) teaches the metadata view and the other way round; ``taken`` are the names that each has taught.
+    """
+    out = []
+    _, first = np.unique(names, return_index=True)
+    for teacher, view in enumerate(views):
+        p = sigmoid(view.logit((xt, xm)[teacher]))
+        fresh = first[~np.isin(names[first], np.fromiter(taken[teacher], np.int64, len(taken[teacher])))]
+        for label, sure, n in ((1, p, int(GAIN * share)), (0, 1 - p, int(GAIN * (1 - share)))):
+            able = fresh[sure[fresh] >= SURE]
+            able = able[np.lexsort((names[able], -sure[able]))][:n]
+            out.append((teacher, label, able, sure[able]))
+    return out
+
+
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Views from labelled rows (``xt``, ``xm``, ``y``) and an unlabelled pool."""
-    if len(y) < 20 or y.min() == y.max():
+    """Views from labelled rows (``xt``, ``xm``, ``y``) and an unlabelled pool in memory."""
+    names = np.arange(len(ut))
+
+    def pick(views, share, taken):
+        found = surest(views, names, ut, um, share, taken)
+        return [tuple(np.concatenate(x) for x in zip(*((names[at], ut[at], um[at], np.full(len(at), float(label))) for t, label, at, _ in found if t == teacher), strict=True)) for teacher in (0, 1)]
+
+    return _co_train(xt, xm, y, pick, rounds)
+
+
+def _co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pick: Callable[..., list[Picks]], rounds: int = ROUNDS) -> Model:
+    """Views from labelled rows and rows that ``pick(views, share of good rows, names taken)`` finds for each round."""
+    if not len(y) or y.min() == y.max():
         return Model(None, None, np.zeros(2), 0.0 if not len(y) else float(2 * np.sign(y.mean() - 0.5)))
     aside = np.arange(len(y)) % 4 == 0
-    lt, lm, ly = xt[~aside], xm[~aside], y[~aside]
-    added = {"t": (np.zeros(0, np.int64), np.zeros(0)), "m": (np.zeros(0, np.int64), np.zeros(0))}
-    share = ly.mean()
-    text = meta = None
+    if any(len(np.unique(y[x])) < 2 for x in (aside, ~aside)):
+        aside = np.ones(len(y), bool)
+        lt, lm, ly = xt, xm, y
+    else:
+        lt, lm, ly = xt[~aside], xm[~aside], y[~aside]
+    none = (np.zeros(0, np.int64), xt[:0], xm[:0], np.zeros(0))
+    added: list[Picks] = [none, none]  # by teacher
     for r in range(rounds + 1):
-        at, got = added["t"]
-        text = _fit(np.concatenate([lt, ut[at]]), np.concatenate([ly, got]))
-        at, got = added["m"]
-        meta = _fit(np.concatenate([lm, um[at]]), np.concatenate([ly, got]))
-        if r == rounds or not len(ut):
+        text = _fit(np.concatenate([lt, added[1][1]]), np.concatenate([ly, added[1][3]]))
+        meta = _fit(np.concatenate([lm, added[0][2]]), np.concatenate([ly, added[0][3]]))
+        if r == rounds:
             break
-        for view, x, other in ((text, ut, "m"), (meta, um, "t")):
-            p = sigmoid(view.logit(x))
-            fresh = np.ones(len(p), bool)
-            fresh[added[other][0]] = False
-            picks, labels = [added[other][0]], [added[other][1]]
-            for label, sure, n in ((1.0, p, int(GAIN * share)), (0.0, 1 - p, int(GAIN * (1 - share)))):
-                able = np.flatnonzero(fresh & (sure >= SURE))
-                able = able[np.argsort(-sure[able], kind="stable")][:n]
-                picks.append(able)
-                labels.append(np.full(len(able), label))
-            added[other] = (np.concatenate(picks), np.concatenate(labels))
+        got = pick((text, meta), float(ly.mean()), tuple(set(x[0].tolist()) for x in added))
+        if not sum(len(x[0]) for x in got):
+            break
+        added = [tuple(np.concatenate(x) for x in zip(old, new, strict=True)) for old, new in zip(added, got, strict=True)]
     at, am, ay = xt[aside], xm[aside], y[aside]
     for view, x in ((text, at), (meta, am)):  # calibration on rows that no view has seen
         w, b = fit_dense(view.logit(x)[:, None], ay, np.ones(len(ay)), l2=1e-4)
@@ -171,18 +203,73 @@ def _featured(docs: DataFrame, more: tuple[str, ...]) -> DataFrame:
     return d.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in more), "m_source int, m_lang int, m_length double, x array<double>"]))
 
 
+_META = ("m_source", "m_lang", "m_length")
+
+
+def _matrices(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the text view and of the metadata view."""
+    x = t.column("x")
+    x = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy()
+    return x.reshape(-1, TEXT_FEATURES), _meta_matrix(*(t.column(c).to_numpy() if isinstance(t, pa.Table) else t.column(c).to_numpy(zero_copy_only=False) for c in _META))
+
+
+def _picker(pool: DataFrame) -> Callable[..., list[Picks]]:
+    """Finds the surest rows of ``pool(row, m_source, m_lang, m_length, x)``: first in every task, then of ``MERGES`` tasks, at
+    last among their at most ``MERGES`` times ``4 * GAIN`` rows."""
+    kind = "teacher int, label int, sure double, row long, m_source int, m_lang int, m_length double, x array<double>"
+    columns = [f.split()[0] for f in kind.split(", ")]
+
+    def pick(views, share, taken):
+        shared = pool.sparkSession.sparkContext.broadcast((views, taken))  # a few hundred numbers and at most ROUNDS * 2 * GAIN names
+
+        def best(batches):
+            views, taken = shared.value
+            held = None
+            for b in batches:
+                found = surest(views, b.column("row").to_numpy(), *_matrices(b), share, taken)
+                new = pa.concat_tables(pa.table({"teacher": pa.array(np.full(len(at), t, np.int32)), "label": pa.array(np.full(len(at), label, np.int32)), "sure": sure, **{c: b.column(c).take(pa.array(at)) for c in columns[3:]}}) for t, label, at, sure in found)
+                held = least(new if held is None else pa.concat_tables([held, new]), share)
+            if held is not None:
+                yield from held.combine_chunks().to_batches()
+
+        def merge(batches):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                yield from least(pa.Table.from_batches(held), share).combine_chunks().to_batches()
+
+        rows = pool.mapInArrow(best, kind).repartition(MERGES).mapInArrow(merge, kind).toArrow()
+        shared.destroy()
+        rows = least(rows, share)
+        xt, xm = _matrices(rows)
+        by = rows.column("teacher").to_numpy()
+        return [(rows.column("row").to_numpy()[by == t], xt[by == t], xm[by == t], rows.column("label").to_numpy()[by == t].astype(float)) for t in (0, 1)]
+
+    return pick
+
+
+def least(t: pa.Table, share: float) -> pa.Table:
+    """Of rows found by ``surest``, the surest for each teacher and label, each name once."""
+    t = t.sort_by([("teacher", "ascending"), ("label", "ascending"), ("sure", "descending"), ("row", "ascending")])
+    teacher, label, row = (t.column(c).to_numpy() for c in ("teacher", "label", "row"))
+    keep = []
+    for k in (0, 1):
+        for y, n in ((1, int(GAIN * share)), (0, int(GAIN * (1 - share)))):
+            at = np.flatnonzero((teacher == k) & (label == y))
+            _, first = np.unique(row[at], return_index=True)
+            keep.append(at[np.sort(first)][:n])
+    return t.take(pa.array(np.concatenate(keep)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    """Model from ``docs(doc_id, text, source, lang, n_chars)`` and ``labels(doc_id, quality)``."""
+    row = F.xxhash64("doc_id", "text", "source", "lang", "n_chars").alias("row")
+    docs = docs.select("doc_id", row, "text", "source", "lang", "n_chars")
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    n_labels, n_docs = truth.count(), docs.count()
-    picked = truth.where(in_fraction(F.col("doc_id"), LABELLED / max(1, n_labels)))
-    known = _featured(docs.join(picked, "doc_id"), ("doc_id", "y"))
-    pool = docs.where(in_fraction(F.xxhash64("doc_id", F.lit(2)), POOL / max(1, n_docs))).join(truth, "doc_id", "left_anti")
-    k = known.toPandas().sort_values(["doc_id", "m_length"])
-    u = _featured(pool, ("doc_id",)).toPandas().sort_values(["doc_id", "m_length"])
-    text = lambda t: np.stack(t["x"].to_list()) if len(t) else np.zeros((0, TEXT_FEATURES))
-    meta = lambda t: _meta_matrix(*(t[c].to_numpy() for c in ("m_source", "m_lang", "m_length")))
-    return co_train(text(k), meta(k), k["y"].to_numpy(), text(u), meta(u))
+    drawn = in_fraction(F.col("doc_id"), 1.25 * LABELLED / max(1, truth.count()))
+    # some 150 bytes a document, read in every round
+    features = stored(_featured(docs, ("doc_id", "row")).join(truth, "doc_id", "left"), "features")
+    k = features.where(F.col("y").isNotNull() & drawn).dropDuplicates(["row"]).orderBy("row").limit(LABELLED).select("y", *_META, "x").toArrow()
+    return _co_train(*_matrices(k), k.column("y").to_numpy(), _picker(features.where("y is null").drop("doc_id", "y")))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
