@@ -1,24 +1,25 @@
 """Benchmark decontamination by SimHash of item-sized windows and exact weighted-shingle similarity.
 
-Words are hashed to 64 bits; the SimHash of a window is the bitwise majority of its words' hashes. Every item has a
-window width, the largest of ``WIDTHS`` that fits at any even position inside an occurrence of it, and the fingerprints
-of its windows at offsets 0 and 1. Documents are fingerprinted at every even word position for every width in use, so
-an unchanged occurrence meets its item at Hamming distance 0 wherever it starts. Fingerprints within ``RADIUS`` are
-found by four 16-bit blocks: two fingerprints at distance at most 11 differ in at most 2 bits in one block, and all
-values within 2 bits of an item's block are in that block's index, so none is missed. Candidates are verified exactly:
-the share of the item's 5-word shingles, weighted by their rarity among the items, that occur where the item would
-lie, must reach ``SIMILARITY``; a copy may be longer than its item by twice ``slack_of`` its length.
-
-Edits inside an item's window move its fingerprint out of the radius. The windows of the smallest size, one shingle, are
+Words are hashed to 64 bits; the SimHash of a window is the bitwise majority of its words' hashes. Every item has windows
+of two widths (``windows_of``): the largest of ``WIDTHS`` that fits into it, at its beginning and its end, and one of
+about a third of it, at its beginning, middle and end, so that an edit of a quarter of the item leaves a window of its
+own alone. Documents are fingerprinted at every even word position for every width in use; items have each window at two
+neighbouring offsets, so an unchanged one meets itself at Hamming distance 0 wherever it stands. Fingerprints within
+``RADIUS`` are found by four 16-bit blocks: two fingerprints at distance at most 11 differ in at most 2 bits in one
+block, and all values within 2 bits of an item's block are in that block's index, so none is missed. Candidates are
+verified exactly: the share of the item's 5-word shingles, weighted by their rarity among all items, that occur in a
+stretch of the document as long as the item and twice ``slack_of`` its length, must reach ``SIMILARITY``.
+
+Scattered edits may move all windows of an item out of the radius. The windows of the smallest size, one shingle, are
 therefore looked up at every position of items and documents, at distance 0: a copy that reaches ``SIMILARITY`` has an
-equal shingle, so with the best place among all equal shingles (``aligned``) the result is that of brute force.
+equal shingle, so the result is that of brute force; ``hamming`` says whether SimHash had found the match.
 
 The items are the stated query set; they are applied in blocks of ``ITEM_BLOCK``, each a bounded broadcast, against
-all rows.
+all rows, at most ``CHAIN`` blocks before the result is stored. Rarity and the number of items do not depend on blocks.
 
 Edge cases: null or blank texts and items match nothing; items of fewer than 5 words are one shingle and match an equal
-run of words; repeated items count once for each id; documents are scored row by row, so repeated rows get equal
-results; other columns are ignored; without items no document is contaminated.
+run of words; repeated items are one item, and an id with several texts counts once; documents are scored row by row, so
+repeated rows get equal results; other columns are ignored; without items no document is contaminated.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
+from llm.common import stored
 
 WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024)
 RADIUS, BLOCK_BITS, BLOCK_ERRORS = 11, 16, 2
-SIMILARITY, SLACK, ITEM_BLOCK = 0.75, 2, 1000
+SIMILARITY, SLACK, ITEM_BLOCK, CHAIN = 0.75, 2, 1000, 4
 SLACK_PART, SEED_BITS = 4, 20
+#: Items of as many words have windows of a third of them too.
+LEAST_PARTED = 12
 ENOUGH = SIMILARITY - 1e-9  # sums of weights are rounded
 
 
@@ -46,6 +50,16 @@ def width_of(n_words: int) -> tuple[int, int]:
     return max(w for w in WIDTHS if w <= n_words - 1), 2
 
 
+def windows_of(n_words: int) -> list[tuple[int, int, int]]:
+    """``(width, stride, offset)`` of an item's windows."""
+    width, stride = width_of(n_words)
+    out = {(width, stride, o) for at in (0, n_words - width - stride + 1) for o in range(at, at + stride)}
+    if n_words >= LEAST_PARTED:
+        part = max(w for w in WIDTHS if w <= n_words // 3)
+        out |= {(part, 2, o) for at in (0, (n_words - part) // 2, n_words - part - 1) for o in (at, at + 1)}
+    return sorted(out)
+
+
 def slack_of(n_words: int) -> int:
     """Words by which a copy may begin earlier or end later: a quarter of the item, none for items of one shingle."""
     return max(SLACK, n_words // SLACK_PART) if n_words > kernel.SHINGLE else SLACK if n_words == kernel.SHINGLE else 0
@@ -77,16 +91,23 @@ class Items:
     sizes: list = field(default_factory=list)  # shingle size: 5, or the length of a shorter item
     shingles: list = field(default_factory=list)
     weights: list = field(default_factory=list)
+    totals: np.ndarray | None = None  # summed weights of each item
     index: dict = field(default_factory=dict)  # (width, stride) -> fingerprints, their items and offsets, block tables
     seeds: dict = field(default_factory=dict)  # size -> filter, hashes, starts of their entries, items and shingle numbers
 
 
+def rarity_of(n_items: int, counts: np.ndarray) -> np.ndarray:
+    """Weights of shingles that occur in ``counts`` of ``n_items`` items."""
+    return np.log1p(n_items / np.maximum(1, counts))
+
+
 def _near_values() -> np.ndarray:
     one = 1 << np.arange(BLOCK_BITS)
     return np.unique(np.concatenate([[0], one, (one[:, None] | one[None]).ravel()]))  # masks of at most two bits
 
 
-def build_items(rows: list[tuple[object, str | None]]) -> Items:
+def build_items(rows: list[tuple[object, str | None]], rarity: tuple[np.ndarray, np.ndarray] | None = None) -> Items:
+    """The index of a block; ``rarity`` are the weights of shingles by their sorted hashes, by default among the rows."""
     items = Items()
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for item_id, text in rows:
@@ -99,13 +120,14 @@ def build_items(rows: list[tuple[object, str | None]]) -> Items:
             items.lengths.append(len(h))
             items.sizes.append(size)
             items.shingles.append(np.unique(kernel.rolled(h, size)))
-            width, stride = width_of(len(h))
-            for offset in range(stride):
+            for width, stride, offset in windows_of(len(h)):
                 fp = int(simhashes(h[offset : offset + width].copy(), [(width, 1)])[width, 1][0])
                 found.setdefault((width, stride), []).append((fp, len(items.ids) - 1, offset))
-    values, counts = np.unique(np.concatenate(items.shingles or [np.zeros(0, np.uint64)]), return_counts=True)
-    rarity = np.log1p(len(items.ids) / np.maximum(1, counts))
-    items.weights = [rarity[np.searchsorted(values, s)] for s in items.shingles]
+    if rarity is None:
+        values, counts = np.unique(np.concatenate(items.shingles or [np.zeros(0, np.uint64)]), return_counts=True)
+        rarity = values, rarity_of(len(items.ids), counts)
+    items.weights = [rarity[1][np.searchsorted(rarity[0], s)] for s in items.shingles]
+    items.totals = np.array([w.sum() for w in items.weights])
     for size in set(items.sizes):
         of = [i for i, n in enumerate(items.sizes) if n == size]
         hashes = np.concatenate([items.shingles[i] for i in of])
@@ -169,8 +191,8 @@ def aligned(at: np.ndarray, number: np.ndarray, weights: np.ndarray, span: int)
 
 
 def seeded(runs: np.ndarray, size: int, bounds: np.ndarray, items: Items) -> list[tuple[int, int, float]]:
-    """Documents, items and similarities of all matches among items of ``size``-word shingles; ``runs`` are the hashes
-    of all runs of ``size`` words."""
+    """Documents, items and similarities of all pairs among items of ``size``-word shingles that may match; ``runs`` are
+    the hashes of all runs of ``size`` words."""
     seen, distinct, starts, owner, numbers = items.seeds[size]
     at = np.flatnonzero(seen[runs >> np.uint64(64 - SEED_BITS)])
     v = np.minimum(np.searchsorted(distinct, runs[at]), len(distinct) - 1)
@@ -185,84 +207,106 @@ def seeded(runs: np.ndarray, size: int, bounds: np.ndarray, items: Items) -> lis
     order = np.lexsort((at, item, doc))
     at, doc, item, number = at[order], doc[order], item[order], number[order]
     cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    ends = np.append(cuts[1:], len(at))
+    # what all distinct shingles of a pair weigh, wherever they stand, bounds its similarity
+    pair = np.repeat(np.arange(len(cuts)), ends - cuts)
+    _, first = np.unique(pair * (int(number.max()) + 1) + number, return_index=True)
+    weight = np.concatenate(items.weights)[np.cumsum([0, *map(len, items.weights)])[item[first]] + number[first]]
+    able = np.bincount(pair[first], weight, len(cuts)) >= ENOUGH * items.totals[item[cuts]]
     out = []
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist(), strict=True):
+    for a, b in zip(cuts[able].tolist(), ends[able].tolist(), strict=True):
         i = int(item[a])
-        weights = items.weights[i]
-        need = ENOUGH * weights.sum()
-        if (b - a) * weights.max() < need or weights[np.unique(number[a:b])].sum() < need:
-            continue
         span = items.lengths[i] + 2 * slack_of(items.lengths[i]) - size + 1
-        out.append((int(doc[a]), i, aligned(at[a:b], number[a:b], weights, span)))
+        out.append((int(doc[a]), i, aligned(at[a:b], number[a:b], items.weights[i], span)))
     return out
 
 
-def matches(column: pa.Array, items: Items) -> dict[int, dict[int, float]]:
-    """For each row with a match: item number to similarity."""
+def near_windows(w: kernel.Words, items: Items) -> set[tuple[int, int]]:
+    """Documents and items of which windows lie within the radius."""
+    pairs = [np.zeros(0, np.int64)]
+    for (width, stride), fps in simhashes(w.hashes, list(items.index)).items():
+        at, entry = candidates(fps, items.index[width, stride])
+        position = at * stride
+        doc = np.searchsorted(w.bounds, position, side="right") - 1
+        inside = position + width <= w.bounds[doc + 1]
+        pairs.append(np.unique(doc[inside] * len(items.ids) + items.index[width, stride][1][entry[inside]]))
+    return {divmod(x, len(items.ids)) for x in np.unique(np.concatenate(pairs)).tolist()}
+
+
+def matches(column: pa.Array, items: Items, hamming: set | None = None) -> dict[int, dict[int, float]]:
+    """For each row with a match: item number to similarity. ``hamming`` gets the (row, item) that SimHash found."""
     out: dict[int, dict[int, float]] = {}
     if not items.ids:
         return out
     for w in kernel.words(column, 1 << 19):
-        h = w.hashes
-        prints = simhashes(h, list(items.index))
-        runs: dict[int, np.ndarray] = {}
-        pairs = set()
-        for key, fps in prints.items():
-            at, entry = candidates(fps, items.index[key])
-            position = at * key[1]
-            doc = np.searchsorted(w.bounds, position, side="right") - 1
-            start = position - items.index[key][2][entry]
-            pairs.update(zip(doc.tolist(), items.index[key][1][entry].tolist(), start.tolist(), strict=True))
-        found: list[tuple[int, int, float]] = []
-        for doc, item, start in pairs:
-            length, size = items.lengths[item], items.sizes[item]
-            slack = slack_of(length)
-            lo, hi = max(w.bounds[doc], start - slack), min(w.bounds[doc + 1], start + length + slack)
-            if hi - lo < size:
-                continue
-            if size not in runs:
-                runs[size] = kernel.rolled(h, size)
-            inside = np.isin(items.shingles[item], runs[size][lo : hi - size + 1])
-            found.append((doc, item, float(items.weights[item][inside].sum() / items.weights[item].sum())))
+        near = near_windows(w, items)
         for size in items.seeds:
-            if len(h) < size:
+            if len(w.hashes) < size:
                 continue
-            if size not in runs:
-                runs[size] = kernel.rolled(h, size)
-            found += seeded(runs[size], size, w.bounds, items)
-        for doc, item, similarity in found:
-            if similarity >= ENOUGH:
-                best = out.setdefault(w.first + doc, {})
-                best[item] = max(similarity, best.get(item, 0.0))
+            for doc, item, similarity in seeded(kernel.rolled(w.hashes, size), size, w.bounds, items):
+                if similarity >= ENOUGH:
+                    out.setdefault(w.first + doc, {})[item] = similarity
+                    if hamming is not None and (doc, item) in near:
+                        hamming.add((w.first + doc, item))
     return out
 
 
+def with_rarity(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, text, h, c)`` for each distinct item with words: its shingles and the number of items that hold each."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct().withColumn("row", F.xxhash64("item_id", "text"))
+
+    def run(batches):
+        for b in batches:
+            for i, (row, text) in enumerate(zip(b.column("row").to_pylist(), b.column("text"), strict=True)):
+                for w in kernel.words(pa.array([text.as_py()], pa.string())):
+                    if len(w.hashes):
+                        h = np.unique(kernel.rolled(w.hashes, min(kernel.SHINGLE, len(w.hashes)))).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row)), pa.array(h)], ["row", "h"])
+
+    held = items.select("row", "text").mapInArrow(run, "row long, h long").distinct()
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    lists = held.join(counts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "c")).alias("held"))  # as long as the item
+    return items.join(lists, "row").select("item_id", "text", F.col("held.h").alias("h"), F.col("held.c").alias("c"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keep, contaminated, n_items, item_id, similarity)`` for every row; ``item_id`` is the most similar item,
-    the smallest of equally similar ones."""
+    """``(*keep, contaminated, n_items, item_id, similarity, hamming)`` for every row; ``item_id`` is the most similar
+    item, the smallest of equally similar ones (null last), and ``hamming`` whether its windows lay within the radius."""
     spark = docs.sparkSession
-    n_blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
-    ranked = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    ranked = stored(with_rarity(benchmark), "items")
+    n_items = ranked.count()
+    n_blocks = max(1, -(-n_items // ITEM_BLOCK))
     kinds = dict(docs.dtypes)
     name = "text" if "text" in keep else "_text"
     more = [] if name in keep else [name]
-    held = docs.select(*keep, *([F.col("text").alias(name)] if more else []), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} string" for c in more), "n_items long, item_id long, similarity double"])
+    found = {"items": "array<long>", "item_id": "long", "similarity": "double", "hamming": "boolean"}
+    empty = [F.array().cast("array<long>"), F.lit(None).cast("long"), F.lit(0.0), F.lit(False)]
+    held = docs.select(*keep, *([F.col("text").cast("string").alias(name)] if more else []), *(c.alias(k) for k, c in zip(found, empty, strict=True)))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} string" for c in more), *(f"{k} {v}" for k, v in found.items())])
     for k in range(n_blocks):
         rows = ranked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about ITEM_BLOCK items
-        block = spark.sparkContext.broadcast(build_items(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        h, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(r["h"] for r in rows)]).astype(np.int64).view(np.uint64), return_index=True)
+        counts = np.concatenate([np.zeros(0, np.int64), *(r["c"] for r in rows)])[at]
+        block = spark.sparkContext.broadcast(build_items([(r["item_id"], r["text"]) for r in rows], (h, rarity_of(n_items, counts))))
 
         def run(batches, block=block, last=k == n_blocks - 1):
             items = block.value
             for b in batches:
-                n, item, like = (b.column(c).to_pylist() for c in ("n_items", "item_id", "similarity"))
-                for row, got in matches(b.column(name), items).items():
+                ids, item, like, near = (b.column(c).to_pylist() for c in found)
+                hamming: set = set()
+                for row, got in matches(b.column(name), items, hamming).items():
                     best = min(got, key=lambda i: (-got[i], items.ids[i] is None, items.ids[i] or 0))
-                    n[row] += len({items.ids[i] for i in got})
-                    if got[best] > like[row] or (got[best] == like[row] and (items.ids[best] or 0) < (item[row] or 0)):
-                        like[row], item[row] = got[best], items.ids[best]
+                    ids[row] = [*ids[row], *dict.fromkeys(items.ids[i] for i in got)]
+                    smaller = items.ids[best] is not None and (item[row] is None or items.ids[best] < item[row])
+                    if got[best] > like[row] or (got[best] == like[row] and smaller):
+                        like[row], item[row], near[row] = got[best], items.ids[best], (row, best) in hamming
                 text = [pa.nulls(b.num_rows, pa.string()) if last else b.column(c) for c in more]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *text, pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(like, pa.float64())], [*keep, *more, "n_items", "item_id", "similarity"])
+                new = [pa.array(x, kind) for x, kind in zip((ids, item, like, near), (pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *text, *new], [*keep, *more, *found])
 
         held = held.mapInArrow(run, schema)
-    return held.select(*keep, (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "similarity")
+        if (k + 1) % CHAIN == 0 and k + 1 < n_blocks:
+            held = stored(held, "decontaminated")
+    n = F.size(F.array_distinct("items"))  # distinct ids in whatever blocks their texts were
+    return held.select(*keep, (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_id", "similarity", "hamming")

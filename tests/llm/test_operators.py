@@ -404,7 +404,8 @@ def test_edited_copies_equal_brute_force():
             docs += [text(r.randint(0, 40)) + c + text(r.randint(0, 40)) for c in copies]
     docs.append(items[2] * 3 + text(9) + items[3])
     index = dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)])
-    got = dc.matches(pa.array([" ".join(d) for d in docs]), index)
+    hamming = set()
+    got = dc.matches(pa.array([" ".join(d) for d in docs]), index, hamming)
     shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items]
     counts = Counter(s for own in shingles for s in own)
     weights = {s: math.log1p(len(items) / c) for s, c in counts.items()}
@@ -417,7 +418,52 @@ def test_edited_copies_equal_brute_force():
             assert (i in got.get(j, {})) == hit, (i, j, want)
             if hit:
                 assert got[j][i] == pytest.approx(want)
-    assert n > 100
+    assert n > 100 and len(hamming) >= 0.9 * n
+
+
+@pytest.mark.parametrize("kind", ["front", "end", "replaced", "inserted", "scattered"])
+def test_simhash_windows_find_edited_copies(kind):
+    """The Hamming search alone finds at least nine of ten copies that keep 0.75 of the shingles, of items of all lengths."""
+    from llm import decontaminate as dc
+
+    r = random.Random(22)
+    v = vocabulary(3000, 22)
+    text = lambda n: [r.choice(v) for _ in range(n)]
+    items = [text(n) for n in (16, 20, 30, 45, 59, 100, 250, 600, 1500) for _ in range(6)]
+    docs = []
+    for w in items:
+        n = len(w)
+        k, a = max(1, int(0.17 * n)), r.randint(1, n // 2)
+        docs.append(text(r.randint(20, 60)) + {
+            "front": w[k:], "end": w[: n - k], "replaced": w[:a] + text(max(1, k - 4)) + w[a + max(1, k - 4) :], "inserted": w[:a] + text(k) + w[a:],
+            "scattered": [r.choice(v) if i % 29 == 14 else x for i, x in enumerate(w)],
+        }[kind] + text(r.randint(20, 60)))
+    hamming = set()
+    got = dc.matches(pa.array([" ".join(d) for d in docs]), dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)]), hamming)
+    assert len(got) >= 30  # of short items, few edits are enough to fall below the similarity
+    assert len(hamming) >= 0.9 * len(got), len(hamming) / len(got)
+
+
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    """Weights and counts are those of all items: repeated items, ids with several texts, common shingles, ties."""
+    from llm import decontaminate as dc
+
+    r = random.Random(5)
+    v = vocabulary(500, 5)
+    text = lambda n: [r.choice(v) for _ in range(n)]
+    common = text(12)
+    items = [(i % 9, " ".join(common[: r.randint(0, 12)] + text(20))) for i in range(14)]
+    items += [items[3], items[4], (None, items[5][1]), (11, items[6][1]), (10, items[6][1])]
+    docs = [" ".join(text(15) + t.split()[: r.randint(20, 33)] + text(15)) for _, t in items] + [" ".join(t for _, t in items), None, ""]
+    docs += docs[:3]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    results = []
+    for block, chain in ((1000, 4), (4, 2), (2, 1)):
+        monkeypatch.setattr(dc, "ITEM_BLOCK", block)
+        monkeypatch.setattr(dc, "CHAIN", chain)
+        results.append(sorted((x["doc_id"], x["contaminated"], x["n_items"], x["item_id"], round(x["similarity"], 12), x["hamming"]) for x in dc.contamination(docs_frame(spark, docs), bench).collect()))
+    assert results[0] == results[1] == results[2]
+    assert results[0][len(items)][2] == len({i for i, _ in items}) and results[0][6][3] == min(6, 10)
 
 
 def test_hamming_index_misses_nothing():
