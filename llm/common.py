@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; one of our own only where the session names
+    none and all tasks run in this process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -45,41 +52,73 @@ def in_fraction(column: Column, fraction: float) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int(min(1.0, fraction) * (1 << 30)))
 
 
+#: Edges that a task contracts at once.
+CHUNK_EDGES = 2_000_000
+
+
+def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of the nodes 0 to n - 1 reaches over the edges ``x[i]``, ``y[i]``."""
+    label = np.arange(n)
+    while len(x):
+        lx, ly = label[x], label[y]
+        least = np.minimum(lx, ly)
+        np.minimum.at(label, lx, least)
+        np.minimum.at(label, ly, least)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return label
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges ``(node, smallest node it reaches)`` that connect what the given ones connect, and which of them are new."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = least_labels(x, y, len(nodes))
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    known = np.unique(np.maximum(x, y) * len(nodes) + np.minimum(x, y))
+    want = below * len(nodes) + label[below]
+    place = np.minimum(np.searchsorted(known, want), max(0, len(known) - 1))
+    return nodes[below], nodes[label[below]], known[place] != want if len(known) else np.ones(len(below), bool)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(held):
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        node, least, fresh = contracted(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(fresh)], ["a", "b", "fresh"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK_EDGES:
+            yield flush(held)
+            held, size = [], 0
+    if size:
+        yield flush(held)
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``, component the smallest node.
 
-    Alternating large-star and small-star rounds: every round is two grouped minima joined back, no group of
-    neighbours is ever collected, and each round's edges are a table in the shared folder.
+    In every round both directions of all edges are dealt by node, so a task has its nodes with all their neighbours.
+    It contracts the edges that it holds, in chunks of ``CHUNK_EDGES``, to edges from each node to the smallest one that
+    it reaches there, until no edge is new: then every node is tied to the smallest of its component. A node of very many edges is dealt to several tasks (partitions are rebalanced); each ties its share to
+    the node or something smaller, so no group is ever held whole. Each round's edges are a table in the shared folder.
     Self loops and repeated edges are allowed; no edges give no rows.
     """
-    e = stored(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    mark = None
+    pair = "a long, b long, fresh boolean"
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        e = stored(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct(),
-            "edges",
-        )
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark:
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        seen = Observation()
+        dealt = both.hint("rebalance", F.col("a")).mapInArrow(_contract, pair)
+        e = stored(dealt.observe(seen, F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("n")).select("a", "b"), "edges")
+        if not seen.get.get("fresh"):
             break
-        mark = now
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    e = e.distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

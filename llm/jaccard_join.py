@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,11 +132,10 @@ def _guaranteed(n: Column) -> Column:
     return F.floor(F.ceil(n * (THRESHOLD / 100)) / 8) + 1
 
 
-def _shared_keys(docs: DataFrame, n_keys: int, frequent: np.ndarray) -> DataFrame:
-    """``(digest, key)`` for every shingle in the prefixes of two or more different sets."""
+def _shared_keys(docs: DataFrame, n_keys: int, heavy: Broadcast) -> DataFrame:
+    """``(digest, key)`` for every shingle in the prefixes of two or more different sets; ``heavy`` are frequent shingles."""
     n_buckets = int(max(8, n_keys // BUCKET_KEYS + 1))
     shift = np.uint64(32)
-    heavy = docs.sparkSession.sparkContext.broadcast(frequent)  # at most SAMPLE_KEEP numbers
 
     def send(batches):
         keys, owners, held = [], [], 0
@@ -268,7 +268,9 @@ def _links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     totals = sets.agg(F.count(F.lit(1)), F.sum(F.col("n_shingles") * 3 / 8 + 1)).first()
     frequent = frequent_shingles(docs, totals[0])
-    shared = stored(_shared_keys(docs, int(totals[1] or 0), frequent), "shared").distinct()
+    heavy = spark.sparkContext.broadcast(frequent)  # at most SAMPLE_KEEP numbers
+    shared = stored(_shared_keys(docs, int(totals[1] or 0), heavy), "shared").distinct()
+    heavy.destroy()
     counts = shared.groupBy("digest").agg(F.count(F.lit(1)).alias("k"))
     viable = stored(
         counts.join(reps, "digest").where(F.col("k") >= _guaranteed(F.col("n_shingles"))).select("digest", "rep", "n_shingles"), "viable"
