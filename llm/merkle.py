@@ -1,9 +1,13 @@
 """Document fingerprints as Merkle trees over sections and paragraphs, with DataFrame functions only.
 
 A text is split into sections (at blank lines), paragraphs (lines) and leaves of ``LEAF`` code points. A leaf's digest
-is 8 hex digits of its MD5; a paragraph's node hashes its leaves, a section's node its paragraphs, the root its
-sections. The fingerprint is ``root:section;section`` with ``,`` between paragraphs and the leaf digests of a paragraph
-in a row, so that all inner nodes can be rebuilt from it: roots test equality, differing branches locate edits.
+is its MD5; a paragraph's node hashes its leaves, a section's node its paragraphs, and the root is the SHA-256 of the
+sections' nodes, each with the number of newlines that follow it, so equal roots are equal texts: roots test equality.
+
+The fingerprint is a sketch of the tree to find differences and likeness with: ``mark:section;section`` with ``,``
+between paragraphs and the first 8 hex digits of a paragraph's leaves in a row. Its mark hashes these shortened leaves
+alone, so equal texts have equal fingerprints, but texts that differ in the number of blank lines have them too; where
+roots differ, differing branches of the fingerprints locate the edit.
 
 Edge cases: a null text counts as empty; an empty text has a fingerprint without leaves; a null id is lowest in the
 order of ids; rows that repeat an id are ordered by text; a single document is its own next document; other columns
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF, DIGITS = 48, 8
+SECTION_END = "\n\n+"
 NO_ID = -(1 << 63)
 
 
@@ -23,22 +28,38 @@ def tree(text: Column) -> Column:
     """Sections of paragraphs of leaf digests."""
 
     def leaves(paragraph: Column) -> Column:
-        return F.transform(F.regexp_extract_all(paragraph, F.lit(f"[^\\n]{{1,{LEAF}}}"), F.lit(0)), lambda leaf: F.substring(F.md5(leaf.cast("binary")), 1, DIGITS))
+        return F.transform(F.regexp_extract_all(paragraph, F.lit(f"[^\\n]{{1,{LEAF}}}"), F.lit(0)), lambda leaf: F.md5(leaf.cast("binary")))
+
+    return F.transform(F.split(text, SECTION_END), lambda section: F.transform(F.split(section, "\n"), leaves))
+
+
+def shortened(of_tree: Column) -> Column:
+    """The tree with the first ``DIGITS`` digits of each leaf."""
+    return F.transform(of_tree, lambda s: F.transform(s, lambda p: F.transform(p, lambda leaf: F.substring(leaf, 1, DIGITS))))
 
-    return F.transform(F.split(text, "\n\n+"), lambda section: F.transform(F.split(section, "\n"), leaves))
 
+def _nodes(of_tree: Column) -> Column:
+    """The nodes of the sections."""
 
-def root(of_tree: Column) -> Column:
     def node(leaves: Column) -> Column:
         return F.md5(F.array_join(leaves, "").cast("binary"))
 
-    sections = F.transform(of_tree, lambda s: F.md5(F.array_join(F.transform(s, node), "").cast("binary")))
-    return F.sha2(F.array_join(sections, "").cast("binary"), 256)
+    return F.transform(of_tree, lambda s: F.md5(F.array_join(F.transform(s, node), "").cast("binary")))
+
+
+def root(text: Column, of_tree: Column) -> Column:
+    """Full leaf digests upward, and the newlines between sections: different texts have different roots."""
+    gaps = F.transform(F.regexp_extract_all(text, F.lit(SECTION_END), F.lit(0)), lambda x: F.length(x).cast("string"))
+    return F.sha2(F.array_join(F.zip_with(_nodes(of_tree), gaps, lambda n, g: F.concat(n, F.coalesce(g, F.lit("")))), ".").cast("binary"), 256)
+
+
+def mark(of_short: Column) -> Column:
+    return F.sha2(F.array_join(_nodes(of_short), "").cast("binary"), 256)
 
 
-def fingerprint(of_tree: Column) -> Column:
-    body = F.array_join(F.transform(of_tree, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, "")), ",")), ";")
-    return F.concat_ws(":", root(of_tree), body)
+def fingerprint(of_short: Column) -> Column:
+    body = F.array_join(F.transform(of_short, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, "")), ",")), ";")
+    return F.concat_ws(":", mark(of_short), body)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -57,7 +78,7 @@ def parsed(of_fingerprint: Column) -> Column:
 def differing_branches(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``(*pairs, section, paragraph, leaf)`` for each leaf at which two fingerprints differ (0-based).
 
-    Equal roots give no row; below them only differing sections and paragraphs are opened.
+    Equal fingerprints give no row; below their marks only differing sections and paragraphs are opened.
     """
     d = pairs.where(F.split(left, ":")[0] != F.split(right, ":")[0])
     d = d.select(*pairs.columns, F.posexplode(F.arrays_zip(parsed(F.col(left)).alias("l"), parsed(F.col(right)).alias("r"))).alias("section", "s"))
@@ -84,7 +105,7 @@ def _bucket(splits: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, tree, next_text, next_tree)`` with the next document by descending id, the first after the last.
+    """``(doc_id, text, tree, short, next_text, next_short)`` with the next document by descending id, the first after the last.
 
     Ids are cut into ranges of about equal counts; a window runs in each range, whose last row finds the first
     document of the range below as an extra row. No task holds more than a range.
@@ -103,8 +124,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         whole = whole.unionByName(first)
     window = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), "text")
     treed = whole.repartition(n_ranges, "bucket").withColumn("tree", tree(F.col("text")))
-    led = treed.withColumn("next_text", F.lead("text").over(window)).withColumn("next_tree", F.lead("tree").over(window))
-    return led.where(~F.col("extra")).select("doc_id", "text", "tree", "next_text", "next_tree")
+    treed = treed.withColumn("short", shortened(F.col("tree")))
+    led = treed.withColumn("next_text", F.lead("text").over(window)).withColumn("next_short", F.lead("short").over(window))
+    return led.where(~F.col("extra")).select("doc_id", "text", "tree", "short", "next_text", "next_short")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,13 +134,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-    d = d.withColumn("edited_tree", tree(F.col("edited")))
+    d = d.withColumn("root", root(F.col("text"), F.col("tree"))).withColumn("edited_tree", tree(F.col("edited")))
+    d = d.withColumn("edited_root", root(F.col("edited"), F.col("edited_tree"))).withColumn("edited_short", shortened(F.col("edited_tree")))
     return d.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("tree")).alias("fingerprint"),
-        fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        fingerprint(F.col("short")).alias("fingerprint"),
+        fingerprint(F.col("edited_short")).alias("edited_fingerprint"),
+        likeness(F.col("short"), F.col("edited_short")).alias("near_edited"),
+        likeness(F.col("short"), F.col("next_short")).alias("near_next"),
+        "root",
+        "edited_root",
     )

@@ -180,6 +180,30 @@ def brute_fingerprint(text):
     return root + ":" + ";".join(",".join("".join(p) for p in s) for s in tree), {x for s in tree for p in s for x in p}
 
 
+def brute_root(text):
+    """Full digests upward, with the newlines between sections."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    out = ""
+    for part in re.split("(\n\n+)", text):
+        out += f"{len(part)}." if part.startswith("\n\n") else md5("".join(md5("".join(md5(x) for x in re.findall(r"[^\n]{1,48}", p))) for p in part.split("\n")))
+    return hashlib.sha256(out.encode()).hexdigest()
+
+
+def test_roots_separate_different_texts(spark):
+    """Texts that differ in newlines alone, in one leaf or in the order of leaves; equal texts have equal roots."""
+    from llm.merkle import fingerprints
+
+    texts = ["\n" * n for n in range(6)] + [f"a{chr(10) * n}b" for n in range(6)] + ["\na\n\nb", "a\n\nb\n", "a\n\nb\n\n", "a\n\n\nb\n\nc", "a\n\nb\n\n\nc"]
+    texts += ["x" * 48 + "y" * 48, "y" * 48 + "x" * 48, "x" * 47 + "y" * 48, "x" * 48 + "\n" + "y" * 48]
+    d = docs_frame(spark, texts + texts)
+    rows = fingerprints(d).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts[r["doc_id"] % len(texts)], set()).add(r["root"])
+        assert r["root"] == brute_root(texts[r["doc_id"] % len(texts)])
+    assert all(len(x) == 1 for x in by_text.values()) and len(set.union(*by_text.values())) == len(set(texts))
+
+
 def test_fingerprints(spark):
     from llm.merkle import differing_branches, fingerprints
 
@@ -200,6 +224,7 @@ def test_fingerprints(spark):
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (fp, efp)
+        assert (got[i]["root"], got[i]["edited_root"]) == (brute_root(t), brute_root(edited))
         assert got[i]["near_edited"] == pytest.approx(like(leaves, eleaves)) and got[i]["near_next"] == pytest.approx(like(leaves, nleaves))
     assert got[8]["fingerprint"] == got[9]["fingerprint"]
     assert fingerprints(d.limit(0)).count() == 0
@@ -254,6 +279,10 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= 1
     again = mix(d.repartition(7), quality_weights(labels)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
+    # rows that repeat an id, or have none, with texts of other lengths: one result in any layout
+    many = d.unionByName(d.where("doc_id < 60").withColumn("doc_id", F.when(F.col("doc_id") < 30, 5)).withColumn("text", F.concat("text", F.lit(" more"))))
+    layouts = [sorted(map(str, mix(many.repartition(n, *c), quality_weights(labels), ("text",)).collect())) for n, c in ((1, ()), (3, ("text",)), (5, ("doc_id",)), (7, ()))]
+    assert all(x == layouts[0] for x in layouts[1:])
     assert mix(d.limit(0), quality_weights(labels)).count() == 0
 
 
