@@ -38,7 +38,13 @@ SIGNATURE_BLOCK, SIGNATURE_TAIL = 120, 250
 
 #: Placeholders of masked regions.
 PLACEHOLDERS = {"PERSON": "[NAME]", "PHONE_NUMBER": "[TELEFON]", "EMAIL_ADDRESS": "[EMAIL]", "IBAN_CODE": "[IBAN]"}
-PHONE = r"(?U)(?<![\d-])(?:\+49|0)[\s/-]?\d(?:[\s/-]?\d){6,}"
+PHONE = r"(?U)(?<![\d-])(?:\+49|0)[\s/-]?\d(?:[\s/-]?\d){6,}+"
+
+#: What a custody chain's verification reports.
+BREAKS = {
+    "sequence": "sequence number is not monotonic", "no_hash": "event carries no chain hash", "version": "unknown serialization version",
+    "genesis": "genesis event does not chain from the all-zero sentinel", "hash": "event hash does not match the recomputed hash", "digest": "a SHA-256 hex digest",
+}
 
 MAX_CHARS, SUBSTANCE_CHARS = 100_000, 500
 GENESIS = "0" * 64

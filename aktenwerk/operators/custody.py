@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from aktenwerk.functions.fixed import GENESIS
+from aktenwerk.functions.fixed import BREAKS, GENESIS
 
 #: Serialization version -> builder of the canonical text.
 VERSIONS = (1,)
@@ -110,15 +110,15 @@ def chain_breaks(events: DataFrame) -> DataFrame:
     p = p.withColumn("_hash", link(canonical_text(p), F.coalesce("prev_hash", F.lit(GENESIS))))
     first = F.col("idx") == 0
     reason = (
-        F.when(~F.col("sequence_number").eqNullSafe(F.col("idx")), "sequence number is not monotonic")
-        .when(F.col("event_hash").isNull(), "event carries no chain hash")
-        .when(F.col("_hash").isNull(), "unknown serialization version")
-        .when(F.col("event_hash") != F.col("_hash"), F.when(first, "genesis event does not chain from the all-zero sentinel").otherwise("event hash does not match the recomputed hash"))
+        F.when(~F.col("sequence_number").eqNullSafe(F.col("idx")), BREAKS["sequence"])
+        .when(F.col("event_hash").isNull(), BREAKS["no_hash"])
+        .when(F.col("_hash").isNull(), BREAKS["version"])
+        .when(F.col("event_hash") != F.col("_hash"), F.when(first, BREAKS["genesis"]).otherwise(BREAKS["hash"]))
     )
     p = p.withColumn("reason", reason).where("reason is not null")
-    numbers = F.col("reason") == "sequence number is not monotonic"
-    missing = F.col("reason") == "event carries no chain hash"
-    expected = F.when(numbers, F.col("idx").cast("string")).when(missing, "a SHA-256 hex digest").otherwise(F.col("_hash"))
+    numbers = F.col("reason") == BREAKS["sequence"]
+    missing = F.col("reason") == BREAKS["no_hash"]
+    expected = F.when(numbers, F.col("idx").cast("string")).when(missing, BREAKS["digest"]).otherwise(F.col("_hash"))
     found = F.when(numbers, F.coalesce(F.col("sequence_number").cast("string"), F.lit("None"))).when(missing, "None").otherwise(F.col("event_hash"))
     return p.select("chain_id", "idx", "sequence_number", "reason", expected.alias("expected"), found.alias("found"))
 
@@ -141,7 +141,7 @@ def verify_tail(events: DataFrame, k: int = 256) -> DataFrame:
     p = with_predecessor(tail)
     p = p.withColumn("_hash", link(canonical_text(p), F.coalesce("prev_hash", F.lit(GENESIS)))).where(F.col("_back") <= k)
     expected = F.coalesce(F.col("prev_sequence"), F.lit(-1)) + 1
-    reason = F.when(~F.col("sequence_number").eqNullSafe(expected), "sequence number is not monotonic").when(F.col("event_hash").isNull(), "event carries no chain hash").when(~F.col("event_hash").eqNullSafe(F.col("_hash")), "event hash does not match the recomputed hash")
+    reason = F.when(~F.col("sequence_number").eqNullSafe(expected), BREAKS["sequence"]).when(F.col("event_hash").isNull(), BREAKS["no_hash"]).when(~F.col("event_hash").eqNullSafe(F.col("_hash")), BREAKS["hash"])
     return p.withColumn("reason", reason).where("reason is not null").select("chain_id", "idx", "sequence_number", "reason")
 
 
@@ -206,7 +206,8 @@ def pipeline_events(masked: DataFrame, flags: DataFrame, arguments: DataFrame, r
 def deliver(briefings: DataFrame, events: DataFrame, store: str, out: str) -> DataFrame:
     """CHN-6: appends the events that the store lacks, verifies, and only then writes briefings with a completion event.
 
-    Event ids are deterministic, so a rerun after a failure appends what is missing and delivers the rest.
+    A store whose chains don't verify is refused before anything is added to it. Event ids are deterministic, so a rerun
+    after a failure appends what is missing and delivers the rest.
     """
     spark = events.sparkSession
     try:
@@ -215,6 +216,11 @@ def deliver(briefings: DataFrame, events: DataFrame, store: str, out: str) -> Da
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
+    if old is not None:
+        try:
+            assert_appendable(old)
+        except ValueError as e:
+            raise ValueError(f"the stored custody chains don't verify; nothing was appended or delivered: {e}") from e
     fresh = events if old is None else events.join(old.select("event_id"), "event_id", "left_anti")
     chained = append_chain(fresh, None if old is None else chain_head(old))
     chained.withColumn("idx", F.col("sequence_number")).write.mode("append").parquet(store)

@@ -16,7 +16,7 @@ from aktenwerk.functions.text import cut, last_index, let, matches, occurrences,
 
 SPAN = "struct<s:int,e:int,entity_type:string,score:double>"
 # a prefix is a whole word: no letter, digit or hyphen follows
-_PREFIX = r"(?iuU)^(?:(?:{})(?![\p{{L}}\p{{N}}-])[ .\t]*)+".format("|".join(f"\\Q{p}\\E" for p in sorted(NAME_PREFIXES, key=len, reverse=True)))
+_PREFIX = r"(?iuU)^(?:(?:{})(?![\p{{L}}\p{{N}}-])[ .\t]*)++".format("|".join(f"\\Q{p}\\E" for p in sorted(NAME_PREFIXES, key=len, reverse=True)))
 
 
 def _name(segment: Column) -> Column:
@@ -89,10 +89,15 @@ def _iban_valid(text: Column) -> Column:
     return F.aggregate(F.filter(digits, lambda x: x.isNotNull()), F.lit(0), lambda acc, x: (F.when(x > 9, acc * 100 + x).otherwise(acc * 10 + x) % 97).cast("int")) == 1
 
 
+# A mail address ends with the letters of the last label that begins with two. Labels are taken possessively, so that no
+# host name, however long, needs recursion: others, and those with such letters that another one of them follows.
+_LABEL, _OTHERS = r"[A-Za-z0-9-]+", r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]+)*+"
+EMAIL = rf"[A-Za-z0-9._%+-]+@{_LABEL}(?:{_OTHERS}\.(?=[A-Za-z]{{2}}){_LABEL}(?={_OTHERS}\.[A-Za-z]{{2}}))*+{_OTHERS}\.[A-Za-z]{{2,}}"
+
 #: Pattern, score and check of each built-in detector.
 DETECTORS: dict[str, tuple[str, float, Callable[[Column], Column] | None]] = {
     "PHONE_NUMBER": (PHONE, 0.6, None),
-    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, None),
+    "EMAIL_ADDRESS": (EMAIL, 1.0, None),
     "IBAN_CODE": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0, _iban_valid),
 }
 

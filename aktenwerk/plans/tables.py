@@ -212,12 +212,12 @@ def flt11_stamp_correlation(s: SparkSession, d: str) -> DataFrame:
     return logs.stamp_correlation(_logs(s, d), runs).select("event_id", F.col("attrs")["correlation_id"].alias("correlation_id"))
 
 
-@query("SELECT event_type AS stage, count(*) FILTER (user_id % 2 = 0) AS ok, count(*) FILTER (user_id % 2 = 1) AS error, round(avg(value), 6) AS mean_seconds, count(*) FILTER (value <= 1) AS le_1, count(*) FILTER (value <= 10) AS le_10, count(*) AS le_inf FROM events GROUP BY 1")
+@query("SELECT event_type AS stage, count(*) FILTER (user_id % 2 = 0) AS ok, count(*) FILTER (user_id % 2 = 1) AS error, round(avg(value), 6) AS mean_seconds, quantile_disc(value, 0.5) AS median_seconds, count(*) FILTER (value <= 1) AS le_1, count(*) FILTER (value <= 10) AS le_10, count(*) AS le_inf FROM events GROUP BY 1")
 def agg9_stage_durations(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "events").select(F.col("event_type").alias("stage"), F.when(F.col("user_id") % 2 == 0, "ok").otherwise("error").alias("status"), F.col("value").alias("seconds"))
     m = metrics.stage_durations(t, (1.0, 10.0))
     h = F.col("histogram")
-    return m.select("stage", "ok", "error", F.round("mean_seconds", 6).alias("mean_seconds"), h["1.0"].alias("le_1"), h["10.0"].alias("le_10"), h["+Inf"].alias("le_inf"))
+    return m.select("stage", "ok", "error", F.round("mean_seconds", 6).alias("mean_seconds"), "median_seconds", h["1.0"].alias("le_1"), h["10.0"].alias("le_10"), h["+Inf"].alias("le_inf"))
 
 
 # --- ranking ------------------------------------------------------------------------------------------------------
@@ -466,17 +466,14 @@ def _uuid(c: Column) -> Column:
 
 
 @query("""WITH h AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h, text FROM documents), u AS (SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, text FROM h)
-SELECT id AS document_id, sha256(text) AS text, NULL AS reason FROM u WHERE doc_id % 20 = 0 UNION ALL SELECT 'x' || doc_id, NULL, 'not_a_uuid' FROM documents WHERE doc_id % 20 = 1""")
+SELECT id AS document_id, sha256(text) AS text, NULL AS reason FROM u UNION ALL SELECT 'x' || doc_id, NULL, 'not_a_uuid' FROM documents""")
 def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
-    """All documents stored raw and asked for, with their access events, and by a wrong id each; the rows of the SQL are returned."""
+    """All documents stored raw and asked for, with their access events, and by a wrong id each."""
     docs = table(s, d, "documents").select("doc_id", _uuid(F.col("doc_id")).alias("document_id"), "text")
     store = new_path(s, "raw")
     letter_source.write_raw(docs.drop("doc_id"), store)
-    wrong = docs.select("doc_id", F.concat(F.lit("x"), "doc_id").alias("document_id"))
-    asked = docs.select("document_id").unionByName(wrong.select("document_id"))
+    asked = docs.select("document_id").unionByName(docs.select(F.concat(F.lit("x"), "doc_id").alias("document_id")))
     got, rejected = letter_source.read_raw(s, asked, store, new_path(s, "trail"), F.lit("2024-01-01").cast("timestamp"))
-    got = got.join(docs.where("doc_id % 20 = 0").select("document_id"), "document_id", "left_semi")
-    rejected = rejected.join(wrong.where("doc_id % 20 = 1").select("document_id"), "document_id", "left_semi")
     none = F.lit(None).cast("string")
     return got.select("document_id", F.sha2("text", 256).alias("text"), none.alias("reason")).unionByName(rejected.select("document_id", none.alias("text"), "reason"))
 
@@ -508,3 +505,122 @@ def src9_read_gt_citations(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "truth")
     files.write.partitionBy("file").text(path)
     return letter_source.read_gt_citations(s, path + "/*/*")
+
+
+def _truth_files(s: SparkSession, rows: DataFrame, root: str | None = None) -> str:
+    """``rows(document_id, row)`` as files of JSON, about a thousand documents each: an array, or an object that holds one."""
+    whole = F.collect_list("row")
+    files = rows.groupBy(F.floor(F.col("document_id") / 1000).alias("file")).agg(F.to_json(F.struct(whole.alias(root)) if root else whole).alias("value"))
+    path = new_path(s, "truth")
+    files.write.partitionBy("file").text(path)
+    return path + "/*/*"
+
+
+@query(f"""WITH {SQL_LINES} SELECT document_id::VARCHAR AS doc_id, 'A' || ord AS argument_id, CASE part % 3 WHEN 0 THEN 'must_retrieve' WHEN 1 THEN 'should_retrieve' ELSE 'not_retrievable' END AS need,
+CASE WHEN part % 3 < 2 THEN '§ ' || sec || ' ' || law END AS paragraph_id, prim AS citation, CASE WHEN part % 3 < 2 THEN 'top_' || (part % 3 + 1) END AS rank_target FROM lines""")
+def src9_read_gt_retrieval(s: SparkSession, d: str) -> DataFrame:
+    """Retrieval ground truth of all letters, an argument a line, written and read back."""
+    kind = F.col("part") % 3
+    entry = F.struct(F.concat(F.lit("§ "), F.col("sec"), F.lit(" "), F.col("law")).alias("paragraph_id"), F.col("primary").alias("citation"), F.concat(F.lit("top_"), kind + 1).alias("rank_target"))
+    only = lambda k, e: F.when(kind == k, F.array(e)).otherwise(F.filter(F.array(e), lambda _: F.lit(False)))
+    norms = F.struct(only(0, entry).alias("must_retrieve"), only(1, entry).alias("should_retrieve"), only(2, F.struct(F.col("primary").alias("citation"))).alias("not_retrievable_via_xml"))
+    per = corpus.lines(s, d).groupBy("document_id").agg(F.collect_list(F.struct(F.concat(F.lit("A"), "ord").alias("argument_id"), norms.alias("expected_norms"))).alias("expected_arguments"))
+    return letter_source.read_gt_retrieval(s, _truth_files(s, per.select("document_id", F.struct(F.col("document_id").cast("string").alias("doc_id"), "expected_arguments").alias("row"))))
+
+
+@query(f"""WITH {SQL_LINES} SELECT document_id::VARCHAR AS document_id, CASE WHEN document_id % 3 = 0 THEN 'typ1' ELSE 'typ2' END AS doc_type, max(typ) AS expected_typ, string_agg(DISTINCT lower(law), ',' ORDER BY lower(law)) AS expected_catalog_ids, 1 AS low, count(*)::INT AS high FROM lines GROUP BY lines.document_id""")
+def src9_read_gt_catalog(s: SparkSession, d: str) -> DataFrame:
+    """Expected catalogs of all letters with arguments, written and read back."""
+    per = corpus.arguments(s, d).join(corpus.lines(s, d).select("document_id", F.col("ord").alias("pos"), "law"), ["document_id", "pos"]).groupBy("document_id").agg(
+        F.max("einwendungs_typ").alias("expected_einwendungs_typ"), F.array_sort(F.collect_set(F.lower("law"))).alias("expected_catalog_ids"), F.array(F.lit(1), F.count(F.lit(1)).cast("int")).alias("expected_argument_count_range")
+    )
+    row = F.struct(F.col("document_id").cast("string").alias("dokument"), F.when(F.col("document_id") % 3 == 0, "typ1").otherwise("typ2").alias("doc_type"), "expected_einwendungs_typ", "expected_catalog_ids", "expected_argument_count_range")
+    got = letter_source.read_gt_catalog(s, _truth_files(s, per.select("document_id", row.alias("row")), "expected_catalog_assignment"))
+    return got.withColumn("expected_catalog_ids", F.array_join("expected_catalog_ids", ","))
+
+
+@query(f"""WITH {SQL_LETTERS} SELECT document_id || '.txt' AS file, name AS names_must_mask, n_name || '|Mit freundlichen' AS must_survive FROM letters""")
+def src9_read_gt_pii(s: SparkSession, d: str) -> DataFrame:
+    """Names to mask and terms to keep of all letters, written and read back."""
+    n = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    names = masking.extract_zones(corpus.letters(s, d)).select("document_id", "names").join(n.select(F.col("o_orderkey").alias("document_id"), "n_name"), "document_id")
+    row = F.struct(F.concat(F.col("document_id").cast("string"), F.lit(".txt")).alias("file"), F.col("names").alias("names_must_mask"), F.array("n_name", F.lit("Mit freundlichen")).alias("must_survive"))
+    got = letter_source.read_gt_pii(s, _truth_files(s, names.select("document_id", row.alias("row")), "documents"))
+    return got.select("file", F.array_join("names_must_mask", "|").alias("names_must_mask"), F.array_join("must_survive", "|").alias("must_survive"))
+
+
+@query(f"""WITH RECURSIVE {SQL_CHAIN}, h AS (SELECT h, seq FROM chain WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY seq DESC LIMIT 1)
+SELECT event_type AS stage, count(*) AS n, any_value(h.h) AS chain_head_hash, any_value(h.seq) AS chain_head_sequence FROM events, h GROUP BY 1""")
+def src10_write_results(s: SparkSession, d: str) -> DataFrame:
+    """Counts by event type, written with the head of one custody chain in every row and read back."""
+    results = table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    events = corpus.custody(s, d)
+    first = table(s, d, "events").agg(F.min("user_id").cast("string").alias("chain_id"))
+    head = custody.chain_head(custody.append_chain(events.join(first, "chain_id", "left_semi")))
+    path = new_path(s, "results")
+    letter_source.write_results(results, head, path)
+    return s.read.schema("stage string, n long, chain_head_hash string, chain_head_sequence long").json(path)
+
+
+def _text_files(s: SparkSession, d: str) -> str:
+    """Every document's text as a file in a folder named after its id."""
+    path = new_path(s, "letters")
+    table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return path
+
+
+@query("""SELECT 'doc_id=' || doc_id AS doc_type, sha256(coalesce(text, '') || chr(10)) AS text FROM documents""")
+def src3_read_documents(s: SparkSession, d: str) -> DataFrame:
+    """Texts of all documents written as files and scanned; the type is the folder's name."""
+    return letter_source.read_documents(s, _text_files(s, d)).select("doc_type", F.sha2("text", 256).alias("text"))
+
+
+@query("""SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS length, octet_length(encode(coalesce(text, ''))) + 1 <= 5000 AS accepted FROM documents""")
+def src4_size_guard(s: SparkSession, d: str) -> DataFrame:
+    """The same files, accepted up to 5000 bytes from the listing alone."""
+    good, bad = letter_source.size_guard(s, _text_files(s, d), 5000)
+    both = good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+    return both.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "length", "accepted")
+
+
+_SQL_CARDS = """cards AS (SELECT c_custkey AS k, lpad((c_custkey * 7919)::VARCHAR, 18, '4') AS bban FROM customer), ibans AS (SELECT k, bban, 98 - (bban || '131400')::HUGEINT % 97 AS digits FROM cards
+), shown AS (SELECT k, lpad((digits % 100)::VARCHAR, 2, '0') || bban AS good, lpad(((digits + 1) % 100)::VARCHAR, 2, '0') || bban AS wrong FROM ibans)"""
+
+
+@query(f"""WITH {_SQL_CARDS} SELECT k AS document_id, 'PHONE_NUMBER' AS entity_type, '0171 ' || (k + 1000000) AS found FROM shown UNION ALL SELECT k, 'IBAN_CODE', 'DE' || good FROM shown UNION ALL SELECT k, 'EMAIL_ADDRESS', 'm' || k || '@post.example.org' FROM shown
+UNION ALL SELECT k, 'PHONE_NUMBER', unnest(list_filter([good, wrong], lambda x: x LIKE '0%')) FROM shown""")
+def txt5_detect_all(s: SparkSession, d: str) -> DataFrame:
+    """A note of each customer with a phone number, a mail address, a valid IBAN and one with a wrong check digit; digits
+    that begin with 0 look like a phone number too (the higher score wins when regions are merged)."""
+    key = F.col("c_custkey")
+    c = table(s, d, "customer").select(key.alias("document_id"), F.lpad((key * 7919).cast("string"), 18, "4").alias("bban"))
+    check = lambda add: F.lpad(((98 - F.concat("bban", F.lit("131400")).cast("decimal(38,0)") % 97 + add) % 100).cast("int").cast("string"), 2, "0")
+    iban = lambda add: F.concat(F.lit("DE"), check(add), "bban")
+    text = F.concat(F.lit("Rückruf 0171 "), F.col("document_id") + 1000000, F.lit(", Konto "), iban(0), F.lit(" statt "), iban(1), F.lit("; m"), "document_id", F.lit("@post.example.org."))
+    docs = c.select("document_id", text.alias("text"))
+    return masking.detect_pii(docs).join(docs, "document_id").select("document_id", "entity_type", F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s")).alias("found"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS document_id, 'Max Beispiel' || c_custkey AS name, 'Einreichende Organisation: Verein ' || c_custkey || ' e.V., ' || c_mktsegment || chr(10) AS front, repeat('Wir lehnen das Vorhaben ab. ', 6) AS body FROM customer), x AS (SELECT *, front || 'vertreten durch: Prof. Dr. ' || name AS head FROM t)
+SELECT document_id, name AS names, length(front)::INT AS anchor_start, length(head)::INT AS anchor_end, (length(head) + length(', Vorstand' || chr(10) || chr(10) || body || chr(10) || chr(10)))::INT AS signature_start FROM x""")
+def txt3_organisation_zones(s: SparkSession, d: str) -> DataFrame:
+    """Letters of organisations: no submitter's name, a representative with titles, and no closing formula."""
+    c, nl = table(s, d, "customer"), F.lit("\n")
+    text = F.concat(F.lit("Einreichende Organisation: Verein "), "c_custkey", F.lit(" e.V., "), "c_mktsegment", nl, F.lit("vertreten durch: Prof. Dr. Max Beispiel"), "c_custkey", F.lit(", Vorstand\n\n"), F.repeat(F.lit("Wir lehnen das Vorhaben ab. "), F.lit(6)), F.lit("\n\nMax Beispiel"), "c_custkey", F.lit("\nVorstand"))
+    z = masking.extract_zones(c.select(F.col("c_custkey").alias("document_id"), text.alias("text")))
+    return z.select("document_id", F.array_join("names", "; ").alias("names"), F.col("anchor.s").alias("anchor_start"), F.col("anchor.e").alias("anchor_end"), F.col("signature.s").alias("signature_start"))
+
+
+@query(f"""WITH {SQL_BREAKS}, last AS (SELECT user_id, max(idx) AS top FROM numbered GROUP BY 1), bad AS (SELECT DISTINCT user_id FROM (SELECT user_id, idx FROM broken UNION ALL SELECT user_id, idx FROM w WHERE before = 7) JOIN last USING (user_id) WHERE idx > top - 256)
+SELECT count(*) > 0 AS refused, (SELECT count(*) FROM numbered) AS stored_events FROM bad""")
+def chn6_refused_delivery(s: SparkSession, d: str) -> DataFrame:
+    """A delivery to a tampered store is refused, and the store is as long afterwards as before."""
+    store = new_path(s, "tampered")
+    _tampered(s, d).write.parquet(store)
+    event = corpus.custody(s, d).withColumn("event_id", F.concat(F.lit("new-"), "event_id"))
+    try:
+        custody.deliver(event.select("document_id"), event, store, new_path(s, "out"))
+        refused = False
+    except ValueError:
+        refused = True
+    return s.read.parquet(store).agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("stored_events"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aktenwerk.functions.fixed import MAX_CHARS
-from aktenwerk.operators.custody import append_chain, chain_head
+from aktenwerk.operators.custody import append_chain, assert_appendable, chain_head
 
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -30,7 +30,9 @@ def write_raw(docs: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def read_raw(spark: SparkSession, ids: DataFrame, store: str, log: str, at: Column, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """SRC-6: stored documents of ``ids(document_id)`` and the rejected ids; every access is in the log before content is returned."""
+    """SRC-6: stored documents of ``ids(document_id)`` and the rejected ids; every access is in the log before content is returned.
+
+    A log whose chains don't verify is refused before anything is added or read."""
     asked = ids.select("document_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
     stored = spark.read.parquet(store)
     known = asked.where(F.col("document_id").rlike(UUID)).join(stored.select("bucket", "document_id"), ["bucket", "document_id"], "left_semi")
@@ -46,6 +48,8 @@ def read_raw(spark: SparkSession, ids: DataFrame, store: str, log: str, at: Colu
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
+    if old is not None:
+        assert_appendable(old)
     chained = append_chain(events if old is None else events.join(old.select("event_id"), "event_id", "left_anti"), None if old is None else chain_head(old))
     chained.withColumn("idx", F.col("sequence_number")).write.mode("append").parquet(log)
     trail = spark.read.parquet(log).where("event_type = 'rohdokument_zugriff'").select("document_id").distinct()

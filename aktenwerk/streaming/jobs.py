@@ -36,12 +36,16 @@ CHAINED = "chain_id string, event_id string, sequence_number long, event_hash st
 def chain(events: DataFrame, step: int = 10_000) -> DataFrame:
     """STR-2: events as they arrive, numbered and hashed; state per chain is its last hash and number.
 
-    The sequence number is part of the canonical text; it is put in where the text holds a mark for it.
+    The sequence number is part of the canonical text, which comes in two halves around it: what stands before the last
+    mark for it, as no key that follows it in the order of keys holds text from outside.
     A chain's events of one trigger are sorted on disk and hashed ``step`` at a time, so none has to fit in memory.
     """
     mark = "#sequence#"
     marked = events.withColumn("sequence_number", F.lit(mark))
-    texts = marked.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("event_id").cast("string").alias("event_id"), "ts", canonical_text(marked).alias("text"))
+    whole = canonical_text(marked)
+    back = F.substring_index(whole, mark, -1)
+    front = F.substring(whole, F.lit(1), F.length(whole) - F.length(back) - len(mark))
+    texts = marked.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("event_id").cast("string").alias("event_id"), "ts", front.alias("front"), back.alias("back"))
 
     def append(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import sqlite3
@@ -50,16 +54,16 @@ def chain(events: DataFrame, step: int = 10_000) -> DataFrame:
 
         head, number = state.get if state.exists else (GENESIS, -1)
         scratch = sqlite3.connect("")  # a temporary file of this task: the events of one chain in one trigger, sorted on disk
-        scratch.execute("create table e (ts integer, event_id text, text text)")
+        scratch.execute("create table e (ts integer, event_id text, front text, back text)")
         for f in frames:
             times = (None if t is pd.NaT else t.value for t in f["ts"])
-            scratch.executemany("insert into e values (?, ?, ?)", zip(times, f["event_id"], f["text"], strict=True))
-        found = scratch.execute("select event_id, text from e order by ts, event_id")
+            scratch.executemany("insert into e values (?, ?, ?, ?)", zip(times, f["event_id"], f["front"], f["back"], strict=True))
+        found = scratch.execute("select event_id, front, back from e order by ts, event_id")
         while rows := found.fetchmany(step):
             out = []
-            for event_id, text in rows:
+            for event_id, front, back in rows:
                 number += 1
-                head = hashlib.sha256((text.replace(mark, str(number), 1) + head).encode()).hexdigest()
+                head = hashlib.sha256((front + str(number) + back + head).encode()).hexdigest()
                 out.append((key[0], event_id, number, head))
             state.update((head, number))
             yield pd.DataFrame(out, columns=["chain_id", "event_id", "sequence_number", "event_hash"])

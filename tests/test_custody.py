@@ -124,3 +124,13 @@ def test_payload_gate(spark):
     good, bad = gates.payload_gate(e)
     assert {r["event_id"] for r in good.collect()} == {i for i, _, _, w in rows if w is None}
     assert {r["event_id"]: r["reason"] for r in bad.collect()} == {i: w for i, _, _, w in rows if w}
+
+
+def test_delivery_refuses_a_tampered_store_before_it_appends(spark, tmp_path):
+    store, out = f"file://{tmp_path}/store", f"file://{tmp_path}/out"
+    bad = stored(c.append_chain(events(spark, 5))).withColumn("payload", F.when(F.col("idx") == 4, "{}").otherwise(F.col("payload")))
+    bad.write.parquet(store)
+    more = events(spark, 7).withColumn("event_id", F.concat(F.lit("new"), "event_id"))
+    with pytest.raises(ValueError, match="nothing was appended"):
+        c.deliver(spark.createDataFrame([("a0000",)], "document_id string"), more, store, out)
+    assert spark.read.parquet(store).count() == 5 and not (tmp_path / "out").exists()

@@ -25,6 +25,16 @@ def test_chain_goes_on_over_triggers(spark, tmp_path):
     assert got == {(r["chain_id"], r["event_id"]): (r["sequence_number"], r["event_hash"]) for r in want}
 
 
+def test_ids_and_payloads_may_hold_the_mark_of_the_number(spark, tmp_path):
+    src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
+    rows = [(f"#sequence#{i}", "triage", "#sequence#", "a", T + timedelta(seconds=i), '{"x": "#sequence#", "y": "\\"sequence_number\\":#sequence#,"}', 1) for i in range(4)]
+    batch(spark, src, rows, EVENTS)
+    jobs.run_available(jobs.chain(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)), out, state)
+    got = {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in spark.read.parquet(out).collect()}
+    want = custody.append_chain(spark.createDataFrame(rows, EVENTS)).collect()
+    assert got == {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in want}
+
+
 def test_long_chain_leaves_in_steps(spark, tmp_path):
     """A trigger's events of one chain leave in steps, in order, and the state goes on after them."""
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
