@@ -21,20 +21,23 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """RNK-1: top ``n`` of ``corpus(item_id, text)`` for each of ``queries(query_id, text)``: ``(query_id, item_id, score, rank)``.
 
-    Words are split at white space and lower-cased. A term counts as often as the query has it. Only words of queries
-    leave the scan of the corpus; scores are rounded, so that sums in any order rank alike; document frequencies need no second pass over texts.
+    Words are split at white space and lower-cased. A term counts as often as the query has it. The negative-idf
+    floor needs the mean over all words, so every word is counted once a document, summed in the tasks of the scan before
+    anything is shuffled; term frequencies leave the scan for words of queries only. Scores are rounded, so that sums in
+    any order rank alike.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
     q = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     d = corpus.select("item_id", words("text").alias("w")).withColumn("size", F.size("w"))
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean_size"))
-    tf_all = d.select("item_id", "size", F.explode("w").alias("term")).groupBy("item_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    wanted = q.select("term").distinct()
+    tf = d.select("item_id", "size", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("item_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = df.withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg((FLOOR * F.avg("idf")).alias("floor"))
-    idf = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+    idf = idf.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.select("term", "mean_size", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hit = tf_all.join(q, "term").join(idf, "term")
+    hit = tf.join(q, "term").join(idf, "term")
     norm = K1 * (1 - B + B * F.col("size") / F.col("mean_size"))
     score = F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
     return ranked(hit.groupBy("query_id", "item_id").agg(F.round(score, 9).alias("score")), n)
@@ -68,7 +71,9 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, same_label: boo
             import pandas as pd
 
             ids, labels, m = shared.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            # the best so far: query, score, item; and the k-th score of each query
+            of, score, item = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            least = np.full(len(ids), -np.inf)
             for f in frames:
                 for a in range(0, len(f), VECTOR_BLOCK):
                     part = f.iloc[a : a + VECTOR_BLOCK]
@@ -76,12 +81,19 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, same_label: boo
                     s = m @ np.array(part["v"].tolist(), float).T
                     if labels is not None:
                         s[labels[:, None] != part["label"].to_numpy()[None]] = -np.inf
-                    for i in range(len(ids)):
-                        # all that tie with the k-th stay until ties are broken by id
-                        least = np.partition(s[i], -k)[-k] if len(items) > k else -np.inf
-                        at = np.flatnonzero((s[i] >= least) & np.isfinite(s[i]))
-                        best[i] = sorted([*best[i], *((-float(s[i, j]), int(items[j])) for j in at)])[:k]
-            yield pd.DataFrame([(ids[i], item, -s) for i, rows in enumerate(best) for s, item in rows], columns=["query_id", "item_id", "score"])
+                    if len(items) > k:  # all that tie with the k-th stay until ties are broken by id
+                        own = np.maximum(least, np.partition(s, len(items) - k, axis=1)[:, -k])
+                    else:
+                        own = least
+                    q, j = np.nonzero((s >= own[:, None]) & np.isfinite(s))
+                    of, score, item = np.concatenate([of, q]), np.concatenate([score, s[q, j]]), np.concatenate([item, items[j]])
+                    order = np.lexsort((item, -score, of))
+                    of, score, item = of[order], score[order], item[order]
+                    place = np.arange(len(of)) - np.searchsorted(of, of)
+                    last = place == k - 1
+                    least[of[last]] = score[last]
+                    of, score, item = of[place < k], score[place < k], item[place < k]
+            yield pd.DataFrame({"query_id": ids[of], "item_id": item, "score": score})
 
         part = v.mapInPandas(run, f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double")
         out = part if out is None else out.unionByName(part)
@@ -93,7 +105,7 @@ def top_in_label(vectors: DataFrame, queries: DataFrame, k: int, pool: bool = Fa
     if not pool:
         return dense_scores(vectors, queries, k, same_label=True)
     p = dense_scores(vectors, queries, 20 * k)
-    j = p.join(vectors.select("item_id", "label"), "item_id").join(F.broadcast(queries.select("query_id", F.col("label").alias("_l"))), "query_id")  # the query set
+    j = p.join(vectors.select("item_id", "label"), "item_id").join(queries.select("query_id", F.col("label").alias("_l")), "query_id")
     return ranked(j.where("label = _l").select("query_id", "item_id", "score"), k)
 
 

@@ -223,11 +223,14 @@ def agg9_stage_durations(s: SparkSession, d: str) -> DataFrame:
 # --- ranking ------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\S+'))) AS term FROM documents), size AS (SELECT doc_id, count(*) AS size FROM w GROUP BY 1), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2
+_SQL_BM25 = """w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\S+'))) AS term FROM documents), size AS (SELECT doc_id, count(*) AS size FROM w GROUP BY 1), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2
 ), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM size)::DOUBLE / (SELECT count(*) FROM documents) AS mean_size
 ), idf0 AS (SELECT term, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM tf, st GROUP BY term, n), fl AS (SELECT 0.25::DOUBLE * avg(idf) AS f FROM idf0), idf AS (SELECT term, CASE WHEN idf < 0 THEN f ELSE idf END AS idf FROM idf0, fl
 ), q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '\\S+'))) AS term FROM benchmark) GROUP BY 1, 2
-), s AS (SELECT q.item_id AS query_id, tf.doc_id AS item_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean_size))), 9) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN size USING (doc_id), st GROUP BY 1, 2)
+), s AS (SELECT q.item_id AS query_id, tf.doc_id AS item_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean_size))), 9) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN size USING (doc_id), st GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SQL_BM25}
 SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM s QUALIFY rank <= 5""")
 def rnk1_bm25(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
@@ -292,6 +295,20 @@ def rnk3_hybrid(s: SparkSession, d: str) -> DataFrame:
     return _fused(s, d, 3).withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH {_SQL_BM25}, a AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 50
+), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+), b AS (SELECT x.vec_id AS query_id, u.vec_id AS item_id, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_dot_product(x.e, u.e) DESC, u.vec_id) AS rank FROM u x, u WHERE x.vec_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 50
+), f AS (SELECT query_id, item_id, round(sum(1::DOUBLE / ({FUSION} + rank)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM f QUALIFY rank <= 20""")
+def rnk3_hybrid_texts(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries: BM25 over the documents fused with the nearest vectors of the item's own (vectors by document id)."""
+    sparse = ranking.bm25(table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 50)
+    v, _ = _vectors(s, d)
+    own = v.join(table(s, d, "benchmark").select("item_id").distinct(), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
+    scores = ranking.hybrid(sparse, ranking.dense_scores(v, own, 50), None).drop("rank")
+    return ranking.ranked(scores.withColumn("score", F.round("score", 12)), 20).withColumn("score", F.round("score", 9))
+
+
 @query(f"""WITH {_SQL_RANKINGS}, c AS (SELECT query_id, item_id, CASE WHEN (query_id + item_id) % 4 <> 0 THEN ((query_id * 31 + item_id * 17) % 101)::DOUBLE END AS score FROM fused WHERE rank <= 20)
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, item_id)::INT AS rank, item_id % 3 = 0 AS is_target FROM c QUALIFY rank <= 5""")
 def rnk4_rerank(s: SparkSession, d: str) -> DataFrame:
