@@ -53,7 +53,7 @@ def in_fraction(column: Column, fraction: float) -> Column:
 
 
 #: Edges that a task contracts at once.
-CHUNK_EDGES = 2_000_000
+CHUNK_EDGES = 500_000
 
 
 def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -72,7 +72,10 @@ def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges ``(node, smallest node it reaches)`` that connect what the given ones connect, and which of them are new."""
+    """Edges ``(node, smallest node it reaches)`` that connect what the edges from ``a`` to ``b`` connect, and which are new.
+
+    Known edges of nodes that are in ``b`` only are left out: they are found where the node is in ``a``.
+    """
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     label = least_labels(x, y, len(nodes))
@@ -80,7 +83,12 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     known = np.unique(np.maximum(x, y) * len(nodes) + np.minimum(x, y))
     want = below * len(nodes) + label[below]
     place = np.minimum(np.searchsorted(known, want), max(0, len(known) - 1))
-    return nodes[below], nodes[label[below]], known[place] != want if len(known) else np.ones(len(below), bool)
+    fresh = known[place] != want if len(known) else np.ones(len(below), bool)
+    own = np.zeros(len(nodes), bool)
+    own[x] = True
+    told = fresh | own[below]
+    below, fresh = below[told], fresh[told]
+    return nodes[below], nodes[label[below]], fresh
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +113,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     In every round both directions of all edges are dealt by node, so a task has its nodes with all their neighbours.
     It contracts the edges that it holds, in chunks of ``CHUNK_EDGES``, to edges from each node to the smallest one that
-    it reaches there, until no edge is new: then every node is tied to the smallest of its component. A node of very many edges is dealt to several tasks (partitions are rebalanced); each ties its share to
+    it reaches there, until no edge is new: then every node is tied to the smallest of its component. Each edge is told
+    by the task of its larger end, or by the task that found it. A node of very many edges is dealt to several tasks (partitions are rebalanced); each ties its share to
     the node or something smaller, so no group is ever held whole. Each round's edges are a table in the shared folder.
     Self loops and repeated edges are allowed; no edges give no rows.
     """

@@ -150,7 +150,8 @@ def test_tree_finds_all_connections():
                 assert root(a) == root(b)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    from llm import common
     from llm.common import components
 
     r = random.Random(5)
@@ -166,8 +167,15 @@ def test_components(spark):
         ra, rb = root(a), root(b)
         parent[max(ra, rb)] = min(ra, rb)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for x in parent if any(root(y) == root(x) and y != x for y in parent)}
+    want = {x: root(x) for x in parent if any(root(y) == root(x) and y != x for y in parent)}
+    assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # chunks of a few edges, many partitions, a node with very many edges
+    for chunk, n in ((7, 3), (50, 40)):
+        monkeypatch.setattr(common, "CHUNK_EDGES", chunk)
+        hot = edges + [(7, 2000 + i) for i in range(300)]
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(hot, "a long, b long").repartition(n)).collect()}
+        assert got == {**want, 7: root(7), **{2000 + i: root(7) for i in range(300)}}
 
 
 # --- 5: Merkle fingerprints -----------------------------------------------------------------------------------------
