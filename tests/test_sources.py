@@ -86,8 +86,9 @@ def test_ground_truth(spark, tmp_path):
 def test_results_carry_the_chain_head(spark, tmp_path):
     head = spark.createDataFrame([("x", 3), ("y", 4)], "event_hash string, sequence_number long")
     letters.write_results(spark.createDataFrame([(1, None)], "a int, b string"), head, f"file://{tmp_path}/out")
-    line = json.loads(next((tmp_path / "out").glob("*.json")).read_text())
-    assert line == {"a": 1, "b": None, "chain_head_hash": "y", "chain_head_sequence": 4}
+    # a partition without rows may leave an empty file
+    lines = [x for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"a": 1, "b": None, "chain_head_hash": "y", "chain_head_sequence": 4}]
 
 
 def test_scores_of_undefined_sets(spark):
