@@ -238,7 +238,7 @@ def matches(column: pa.Array, items: Items, hamming: set | None = None) -> dict[
     out: dict[int, dict[int, float]] = {}
     if not items.ids:
         return out
-    for w in kernel.words(column, 1 << 19):
+    for w in kernel.words(column):
         near = near_windows(w, items)
         for size in items.seeds:
             if len(w.hashes) < size:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import components, in_fraction, stored
+from llm.common import components, in_fraction, small_batches, stored
 
 THRESHOLD = 75
 #: Documents sampled to find frequent shingles, the count in the sample that makes one frequent, and how many are kept.
@@ -267,7 +267,8 @@ def _links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """``(a, b)`` ids of representatives that are linked, enough to connect all that links connect."""
     spark = docs.sparkSession
     totals = sets.agg(F.count(F.lit(1)), F.sum(F.col("n_shingles") * 3 / 8 + 1)).first()
-    frequent = frequent_shingles(docs, totals[0])
+    with small_batches(spark):
+        frequent = frequent_shingles(docs, totals[0])
     heavy = spark.sparkContext.broadcast(frequent)  # at most SAMPLE_KEEP numbers
     shared = stored(_shared_keys(docs, int(totals[1] or 0), heavy), "shared").distinct()
     heavy.destroy()

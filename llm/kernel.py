@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Odd multipliers of the rolling hashes (any odd 64-bit numbers do; they are fixed so that runs agree).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 18
 SHINGLE = 5
 
 

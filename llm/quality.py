@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import in_fraction, stored
+from llm.common import in_fraction, small_batches, stored
 from llm.linear import fit_dense, sigmoid
 
 LABELLED, ROUNDS, SURE, GAIN = 6000, 5, 0.95, 300
@@ -262,6 +262,11 @@ def least(t: pa.Table, share: float) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs(doc_id, text, source, lang, n_chars)`` and ``labels(doc_id, quality)``."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, labels)
+
+
+def _train(docs: DataFrame, labels: DataFrame) -> Model:
     row = F.xxhash64("doc_id", "text", "source", "lang", "n_chars").alias("row")
     docs = docs.select("doc_id", row, "text", "source", "lang", "n_chars")
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import in_fraction, stored
+from llm.common import in_fraction, small_batches, stored
 from llm.linear import fit_sparse, sigmoid
 
 FOLDS = 5
@@ -36,7 +36,7 @@ LABELLED = 20_000
 BEGINNINGS, KEEP, LEAST, RATIO, SHARE = (3, 4, 5, 6, 7, 8, 9, 10), 2048, 5, 14.0, 0.9
 LEXICONS, ROUNDS, RIDGE = 6, 25, 1e-3
 #: Features that a task gathers before it counts them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def _features(w: kernel.Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -198,6 +198,11 @@ def patterns(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, which holds training rows only."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, labels)
+
+
+def _train(docs: DataFrame, labels: DataFrame) -> Model:
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = in_fraction(F.col("doc_id"), 1.25 * LABELLED / max(1, truth.count()))

@@ -178,6 +178,21 @@ def test_components(spark, monkeypatch):
         assert got == {**want, 7: root(7), **{2000 + i: root(7) for i in range(300)}}
 
 
+def test_small_batches_give_the_settings_back(spark):
+    from llm.common import BATCH, small_batches
+
+    rows, size = BATCH
+    spark.conf.set(rows, "77")
+    before = spark.conf.get(size)
+    try:
+        with pytest.raises(ZeroDivisionError), small_batches(spark):
+            assert {k: spark.conf.get(k) for k in BATCH} == BATCH
+            raise ZeroDivisionError
+        assert spark.conf.get(rows) == "77" and spark.conf.get(size) == before
+    finally:
+        spark.conf.unset(rows)
+
+
 # --- 5: Merkle fingerprints -----------------------------------------------------------------------------------------
 
 
