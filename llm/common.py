@@ -64,6 +64,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` has written and that no later result reads."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of an id as text modulo ``n``: the fold that the contracts name. A null id is in no fold (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -93,10 +100,10 @@ def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges ``(node, smallest node it reaches)`` that connect what the edges from ``a`` to ``b`` connect, and which are new.
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges ``(node, smallest node it reaches)`` that connect what the edges from ``a`` to ``b`` connect.
 
-    Known edges of nodes that are in ``b`` only are left out: they are found where the node is in ``a``.
+    Edges that are among the given ones are left out where the node is in ``b`` only: they are told where it is in ``a``.
     """
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
@@ -108,48 +115,61 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     fresh = known[place] != want if len(known) else np.ones(len(below), bool)
     own = np.zeros(len(nodes), bool)
     own[x] = True
-    told = fresh | own[below]
-    below, fresh = below[told], fresh[told]
-    return nodes[below], nodes[label[below]], fresh
+    below = below[fresh | own[below]]
+    return nodes[below], nodes[label[below]]
+
 
+def _contract(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Contracts edges that come sorted by node, about ``chunk`` at a time; a node's edges are parted only where it alone
+    has more."""
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(held):
-        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
-        node, least, fresh = contracted(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(fresh)], ["a", "b", "fresh"])
+    def flush(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(a, b)], ["a", "b"])
 
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
+        held.append([batch.column(i).to_numpy() for i in (0, 1)])
         size += batch.num_rows
-        if size >= CHUNK_EDGES:
-            yield flush(held)
-            held, size = [], 0
+        if size >= chunk:
+            a, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            while len(a) >= chunk:
+                cut = int(np.searchsorted(a, a[chunk - 1]))  # in front of the node that the chunk would part
+                cut = cut or chunk
+                yield flush(a[:cut], b[:cut])
+                a, b = a[cut:], b[cut:]
+            held, size = [[a, b]], len(a)
     if size:
-        yield flush(held)
+        yield flush(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``, component the smallest node.
 
-    In every round both directions of all edges are dealt by node, so a task has its nodes with all their neighbours.
-    It contracts the edges that it holds, in chunks of ``CHUNK_EDGES``, to edges from each node to the smallest one that
-    it reaches there, until no edge is new: then every node is tied to the smallest of its component. Each edge is told
-    by the task of its larger end, or by the task that found it. A node of very many edges is dealt to several tasks (partitions are rebalanced); each ties its share to
-    the node or something smaller, so no group is ever held whole. Each round's edges are a table in the shared folder.
-    Self loops and repeated edges are allowed; no edges give no rows.
+    Every round has two steps, and both keep what is connected connected. First both directions of all edges are dealt by
+    node and each task contracts the edges that it holds, in chunks, to edges from each node to the smallest one that it
+    reaches there. Then every edge's smaller end is replaced by that node's own smallest neighbour, if it has a smaller one.
+    The rounds end when every node has one edge to a smaller node which has none itself; that is counted over all edges,
+    so neither the size of chunks nor a node of very many edges, which is dealt to several tasks, can end them early.
+    No group is held whole; ``chunk`` is 2 at least. The edges of a round are a table in the shared folder, which goes when the next one is written.
+    Self loops and repeated edges are allowed; rows with a null end count for nothing; no edges give no rows.
     """
-    pair = "a long, b long, fresh boolean"
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
+    before = None
+    while True:
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        seen = Observation()
-        dealt = both.hint("rebalance", F.col("a")).mapInArrow(_contract, pair)
-        e = stored(dealt.observe(seen, F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("n")).select("a", "b"), "edges")
-        if not seen.get.get("fresh"):
+        dealt = both.hint("rebalance", F.col("a")).sortWithinPartitions("a").mapInArrow(lambda batches: _contract(batches, chunk), "a long, b long")
+        star = stored(dealt.distinct(), "edges")
+        discard(e)
+        own = star.groupBy("a").agg(F.min("b").alias("up"), F.count(F.lit(1)).alias("n"))
+        several, deep = Observation(), Observation()
+        own = own.observe(several, F.count_if(F.col("n") > 1).alias("n")).select(F.col("a").alias("_node"), "up")
+        jumped = star.join(own, F.col("b") == F.col("_node"), "left").observe(deep, F.count_if(F.col("up").isNotNull()).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("sum"), F.count(F.lit(1)).alias("rows"))
+        e = stored(jumped.select("a", F.coalesce("up", "b").alias("b")), "edges")
+        if not (told := deep.get)["rows"] or not (told["n"] or several.get["n"]):  # without rows the join's other side isn't run
+            discard(e)
             break
-    else:
-        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
-    e = e.distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        if (state := (told["sum"], told["rows"])) == before:
+            raise RuntimeError("a round of contractions changed nothing")
+        before = state
+        discard(star)
+    return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -150,8 +150,7 @@ def test_tree_finds_all_connections():
                 assert root(a) == root(b)
 
 
-def test_components(spark, monkeypatch):
-    from llm import common
+def test_components(spark):
     from llm.common import components
 
     r = random.Random(5)
@@ -170,12 +169,26 @@ def test_components(spark, monkeypatch):
     want = {x: root(x) for x in parent if any(root(y) == root(x) and y != x for y in parent)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-    # chunks of a few edges, many partitions, a node with very many edges
-    for chunk, n in ((7, 3), (50, 40)):
-        monkeypatch.setattr(common, "CHUNK_EDGES", chunk)
-        hot = edges + [(7, 2000 + i) for i in range(300)]
-        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(hot, "a long, b long").repartition(n)).collect()}
-        assert got == {**want, 7: root(7), **{2000 + i: root(7) for i in range(300)}}
+    # chunks of a few edges (the tasks cut them), many partitions, nodes with very many edges above and below them
+    hot = edges + [(7, 2000 + i) for i in range(300)] + [(9000, 3000 + i) for i in range(300)] + [(9000, 900)]
+    want |= {7: root(7), 900: 900, 9000: 900} | {2000 + i: root(7) for i in range(300)} | {3000 + i: 900 for i in range(300)}
+    for chunk, n in ((7, 1), (50, 40), (2, 2)):
+        got = [(r["node"], r["component"]) for r in components(spark.createDataFrame(hot, "a long, b long").repartition(n), chunk).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_components_above_one_chunk(spark):
+    from llm.common import components
+
+    n = 700_000  # paths of three nodes, more edges in one task than it contracts at once
+    e = spark.range(0, n, 1, 1).selectExpr("explode(array(struct(id as a, id + 1000000 as b), struct(id + 2000000 as a, id + 1000000 as b))) as e").select("e.*")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = components(e).selectExpr("count(*) as n", "count(distinct node) as nodes", "count_if(node % 1000000 <> component) as wrong").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert tuple(got) == (3 * n, 3 * n, 0)
 
 
 def test_small_batches_give_the_settings_back(spark):
