@@ -134,5 +134,5 @@ def test_raw_query_asks_for_every_document(spark, tmp_path, monkeypatch):
         return found
 
     monkeypatch.setattr(tables.letter_source, "read_raw", read_raw)
-    assert tables.src6_read_raw(spark, f"file://{tmp_path}").count() == 4
+    assert tables.src6_read_raw(spark, f"file://{tmp_path}").count() == 80
     assert calls == [(80, 40, 40, 40)]
