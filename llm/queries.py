@@ -78,6 +78,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.sharding import interleaved
+
+    placed = interleaved(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.filter_audit import audit, failures
+
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.periodic_runs import edited, periodic_runs, strongest
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), ("doc_id",), edited).withColumn("best", strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_gru_scores": op9_gru_scores,
     "op10_url_filter": op10_url_filter,
+    "op11_interleaved_shards": op11_interleaved_shards,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
@@ -102,4 +136,6 @@ SQL: dict[str, str] = {
     "op5_merkle_fingerprints": sql.OP5,
     "op7_ngram_jaccard_join": sql.OP7,
     "op8_mix_sources": sql.OP8,
+    "op11_interleaved_shards": sql.OP11,
+    "op12_filter_audit": sql.OP12,
 }

@@ -80,3 +80,50 @@ SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(floor(target)::BIGINT - epochs * source_size - before, size)))::BIGINT AS taken, source
 FROM r
 """
+
+# the checksum's table by its rule, and a fold over the bytes
+_CRC_STEP = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, {})"
+OP11 = f"""
+WITH t AS (SELECT list(c ORDER BY b) AS crc FROM (SELECT b, {_CRC_STEP.format("b")} AS c FROM range(256) r(b))
+), d AS (SELECT doc_id, source, encode(coalesce(text, '')) AS bytes FROM documents
+), s AS (
+  SELECT doc_id, source, octet_length(bytes) + 1 AS size,
+    xor(4294967295, list_reduce(list_transform(range(octet_length(bytes)), lambda i: ('0x' || substr(hex(bytes), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295)) AS crc32
+  FROM d, t
+), k AS (SELECT *, md5(concat_ws('|', 'interleave', coalesce(doc_id::VARCHAR, ''), crc32::VARCHAR, size::VARCHAR)) AS key FROM s
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n,
+    ('0x' || substr(md5('interleave|' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS phase FROM k
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (rank::DOUBLE + phase) / n, source NULLS LAST, key, doc_id, rank) - 1 AS position, count(*) OVER () AS total FROM r
+), c AS (SELECT *, position * 16 // total AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+  (position - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM c
+"""
+
+OP12 = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), f AS (
+  SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+     coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), m AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL
+), x AS (SELECT unnest(range(1, 6)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS seq FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (SELECT array_to_string(list_transform(seq, lambda i: chr(64 + i::INT)), '') AS filter_order, seq, x.i AS step FROM o, x
+), j AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[seq[step]] AS own, len(list_filter(seq[1:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda v: v)) AS k
+  FROM m, s
+)
+SELECT part, filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (own AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(120 * n // greatest(k, 1)) FILTER (own), 0)::BIGINT AS shapley
+FROM j GROUP BY part, filter_order, step
+"""

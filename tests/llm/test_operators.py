@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -786,3 +787,215 @@ def test_quality(spark):
     m = co_train(xt[:60], xm[:60], y[:60], xt[60:], xm[60:])
     both = m.parts(xt, xm)[2]
     assert ((both > 0.5) == (y > 0.5)).mean() > 0.88
+
+
+# --- interleaved shards ------------------------------------------------------------------------------------------------
+
+
+def test_interleaved_shards(spark, tmp_path):
+    from llm import sharding as h
+
+    r = random.Random(3)
+    v = vocabulary(60)
+    rows = [(i, " ".join(r.choice(v) for _ in range(r.randrange(40))), "en", f"s{min(r.randrange(9), 4)}", 0) for i in range(700)]
+    rows += [(7000 + i, "the same text", "en", "hot", 0) for i in range(900)]
+    rows += [(None, "no id", "en", None, 0)] * 40 + [(5, "twice", None, "s1", 1), (5, "twice", None, "s1", 2), (5, "other", None, "s1", 1), (6, None, "de", "s2", None), (8, "", "de", "s2", 0), (9, "é€", "de", "Ä", 0)]
+    rows += [(8000 + i, "small source", "en", f"single{i}", 0) for i in range(64)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("shard", F.lit("clash")).repartition(5)
+    for n_shards in (16, 7):
+        got = h.interleaved(d, n_shards).collect()
+        assert sorted((repr(x["doc_id"]), repr(x["source"]), x["size"], x["text_crc32"]) for x in got) == sorted((repr(i), repr(s), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, s, _ in rows)
+        shards = {}
+        for x in got:
+            shards.setdefault(x["shard"], []).append(x)
+        assert sorted(shards) == list(range(n_shards)) and {len(x) for x in shards.values()} <= {len(rows) // n_shards, len(rows) // n_shards + 1}
+        assert all(sorted(x["slot"] for x in s) == list(range(len(s))) for s in shards.values())
+        # every shard has the mixture: hardly more than one row of a source off its share
+        for source, n in Counter(x[3] for x in rows).items():
+            for s in shards.values():
+                assert abs(sum(x["source"] == source for x in s) - n / n_shards) <= 4
+        assert max(sum((x["source"] or "").startswith("single") for x in s) for s in shards.values()) < 40
+        flat = lambda t: sorted(map(repr, t))
+        assert flat(h.interleaved(d.repartition(2, "text"), n_shards).collect()) == flat(got)
+    assert h.interleaved(d, 16, "other seed").exceptAll(h.interleaved(d)).count() > 0
+    assert h.interleaved(d.limit(0)).count() == 0 and sorted(x["shard"] for x in h.interleaved(d.where("doc_id < 3")).collect()) == [0, 5, 10]
+    h.write_shards(d, h.interleaved(d), f"file://{tmp_path}/shards", 6)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted((repr(x["doc_id"]), repr(x["text"]), x["shard"], x["slot"]) for x in back.where("text <> ''").collect()) == sorted(
+        (repr(x["doc_id"]), repr({(i, s, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): t for i, t, _, s, _ in rows}[x["doc_id"], x["source"], x["size"], x["text_crc32"]]), x["shard"], x["slot"])
+        for x in h.interleaved(d).where("size > 1").collect()
+    )
+
+
+# --- filter interaction ---------------------------------------------------------------------------------------------------
+
+
+def test_transducer(monkeypatch):
+    from llm import transducer as t
+
+    r = random.Random(1)
+    texts = ["", "a", None, " a b\ta  ", "Äö ß€ 𝄞x 𝄞x", "x" * 9 + " " + "x" * 9 + " " + "x" * 8 + " " + "x" * 17 + " " + "x" * 16 + "y", " A B#$ |", "tail ", "é", "€", "\x0b\x0c\r", "a\x1fb c"]
+    texts += ["".join(r.choice("ab é€𝄞\n\tAB#") for _ in range(r.randrange(300))) for _ in range(80)]
+
+    def brute(x):
+        b = (x or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0d]+", b)
+        return len(w), len(set(w)), sum(65 <= c <= 90 for c in b), len(x or ""), sum(c in b"#$%&*|" for c in b)
+
+    for chunk, strip in ((1, 64), (50, 1), (1 << 18, 100), (1 << 18, 1 << 20)):
+        monkeypatch.setattr(t, "STRIP", strip)
+        got = []
+        for s in t.scan(pa.array(texts), chunk):
+            got += zip(*(x.tolist() for x in (np.diff(s.bounds), t.distinct(s), s.count(t.CAPITAL), s.count(t.POINT), s.count(t.SYMBOL))), strict=True)
+            data = s.raw.tobytes()
+            for i in range(s.n_docs):
+                spans = zip(s.starts[s.bounds[i] : s.bounds[i + 1]], s.ends[s.bounds[i] : s.bounds[i + 1]], strict=True)
+                assert [data[a:b] for a, b in spans] == re.findall(rb"[^\x20\x09-\x0d]+", data[s.bytes[i] : s.bytes[i + 1]])
+        assert got == [brute(x) for x in texts]
+
+
+def test_word_table_verifies_bytes():
+    from llm import transducer as t
+
+    words_ = [f"w{i % 37}" + "y" * (i % 23) for i in range(400)]
+    s = next(t.scan(pa.array([" ".join(words_), " ".join(words_[::-1])])))
+    # hashes that say nothing: all words meet in one slot, or in three
+    for n in (1, 3):
+        out = t.residents(s.raw, s.starts, s.ends, s.docs(), lambda loaded, starts, ends, docs, n=n: (starts % n).astype(np.uint64))
+        data = s.raw.tobytes()
+        of = [(int(d), data[a:b]) for d, a, b in zip(s.docs(), s.starts, s.ends, strict=True)]
+        assert len(set(out.tolist())) == len(set(of)) and all(of[i] == of[j] for i, j in enumerate(out.tolist()))
+    r = random.Random(2)
+    s = next(t.scan(pa.array([" ".join(str(r.randrange(3000)) for _ in range(20000))])))
+    assert t.distinct(s, 500).tolist() == t.distinct(s).tolist() == [len(set(s.raw.tobytes().split()))]
+
+
+def test_filter_audit(spark):
+    from itertools import permutations
+
+    from llm import filter_audit as a
+
+    r = random.Random(9)
+    v = vocabulary(400)
+    text = lambda n, k=400: " ".join(r.choice(v[:k]) for _ in range(n))
+    texts = [text(r.choice((5, 150, 199, 200, 201, 320)), r.choice((20, 99, 400))) + r.choice(("", "", " #", " ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3)) for _ in range(60)]
+    rows = [(i, t, r.choice(("en", "de", None, "")), "s", 0) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i % 7], r.choice(("en", "fr")), "s", 0) for i in range(50)]
+    rows += [(3, texts[3], "en", "s", 0), (3, texts[3], "de", "s", 1), (300, None, "en", "s", None), (301, "", "de", "s", 0), (None, texts[0], "en", "s", 0), (None, None, None, None, None)]
+    labels = [(i, r.choice((0, 1, None)), r.choice((0, 1))) for i in range(0, 140, 2)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1), (999, 1, 1)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("mask", F.lit("clash")).withColumn("part", F.lit(1)).repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    said = lambda i, k: i is not None and any(x[0] == i and x[k] == 1 for x in labels)
+    found = []
+    for i, t, lang, *_ in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0d]+", t)
+        fails = {
+            "A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and first[t] < i,
+        }
+        found.append((lang or "", {k for k, x in fails.items() if x}, said(i, 1), said(i, 2)))
+    want = {}
+    for part in {f[0] for f in found}:
+        own, total = [f for f in found if f[0] == part], Counter()
+        for order in permutations("ABCDE"):
+            left = own
+            for step, k in enumerate(order, 1):
+                gone = [f for f in left if k in f[1]]
+                left = [f for f in left if k not in f[1]]
+                total[k] += len(gone)
+                want[part, "".join(order), step] = [len(left), len(gone), sum(k in f[1] for f in own) - len(gone), sum(f[1] == {k} for f in own), sum(f[2] for f in gone), sum(f[3] for f in gone)]
+        for order in permutations("ABCDE"):
+            for step, k in enumerate(order, 1):
+                want[part, "".join(order), step].append(total[k])
+    got = {(x[0], x[1], x[2]): list(x[3:]) for x in a.audit(a.failures(d, lab)).collect()}
+    assert got == want
+    assert a.audit(a.failures(d.limit(0), lab)).count() == 0
+    none = a.audit(a.failures(d.where("doc_id = 300"), lab.limit(0))).collect()
+    assert len(none) == 600 and {x["removed"] for x in none if x["filter_order"][x["step"] - 1] == "A"} == {1}
+
+
+# --- periodic runs ------------------------------------------------------------------------------------------------------
+
+
+def brute_runs(w):
+    n, out = len(w), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            e = i + q
+            if e - s >= max(6, 4 * q) and not any(all(w[j] == w[j + p] for j in range(s, e - p)) for p in range(1, q)):
+                out.append((s, e - s, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_periodic_runs_are_those_of_brute_force():
+    from llm import periodic_runs as p
+
+    r = random.Random(4)
+    cases = [[], [1], [1] * 5, [1] * 6, [1, 2] * 4, [1, 2] * 3 + [1], list(range(50)), [0] * 200, ([0] * 9 + [1]) * 8]
+    for _ in range(250):
+        w = []
+        for _ in range(r.randrange(1, 5)):
+            unit = [r.randrange(r.choice((2, 3, 50))) for _ in range(r.choice((1, 2, 3, 7, 8, 9, 15, 16, 17, 31, 32, 33, 40)))]
+            w += (unit * r.choice((1, 2, 4, 5, 6)))[: r.randrange(1, 400)] + [r.randrange(60) for _ in range(r.randrange(6))]
+        cases.append(w)
+    # nested: runs of a long period that hold runs of short ones
+    cases += [(([5] * 7 + list(range(9, 20))) * 5 + [1]) * 4, ([1, 2] * 40 + [3]) * 6, [k // 3 % 12 for k in range(500)]]
+    lengths = np.cumsum([0, *map(len, cases)])
+    numbers = np.concatenate([np.array(c, np.int64) + 1000 * i for i, c in enumerate(cases)])
+    found = p.runs_of(numbers, lengths)
+    got = [[(s - int(a), n, q) for s, n, q in found if a <= s < b] for a, b in zip(lengths[:-1], lengths[1:], strict=True)]
+    assert got == [brute_runs(c) for c in cases] and sum(map(len, got)) > 200
+
+
+def test_periodic_runs(spark):
+    from llm.queries import QUERIES
+
+    r = random.Random(6)
+    v = vocabulary(30)
+    texts = [" ".join(r.choice(v) for _ in range(r.randrange(260))) for _ in range(150)]
+    texts += [None, "", " \n ", "Ja " * 40, "ja Ja " * 9, "a\tb\nc  " * 8 + "é", " ".join(v * 9), "x " * 3000 + " ".join(v * 30) * 5, "no repeats here at all"]
+    rows = [(i * 7, t, "en", "s", 0) for i, t in enumerate(texts)] + [(14, texts[2], None, None, None)] * 2 + [(None, "u v " * 9, "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("runs", F.lit("clash"))
+
+    def brute(i, text):
+        w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        n, h = len(w), zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        runs = brute_runs(w)
+        gone = {k for s, n_, q in runs for k in range(s + q, s + n_)}
+        best = max(runs, key=lambda x: (Fraction(x[1], x[2]), -x[0], -x[2]), default=None)
+        told = "".join(f"{s},{n_},{q}\n" for s, n_, q in runs)
+        tail = [*best, 1000 * best[1] // best[2]] if best else [None] * 4
+        return [i, len(runs), *tail, hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()]
+
+    from llm import queries
+
+    was = queries.table
+    queries.table = lambda *a: d
+    try:
+        got = [list(x) for x in QUERIES["op13_periodic_runs"](spark, "").collect()]
+    finally:
+        queries.table = was
+    assert sorted(map(repr, got)) == sorted(repr(brute(i, t)) for i, t, *_ in rows)
+    assert sum(x[1] for x in got) > 20
+    from llm.periodic_runs import periodic_runs
+
+    assert periodic_runs(d.limit(0)).count() == 0
+    kept = periodic_runs(d, ("doc_id", "text")).where("doc_id = 1064").first()
+    assert kept["n_words"] == 0 or kept["collapsed"]

@@ -52,7 +52,7 @@ def test_pipeline(spark):
     assert all(f.columns == list(p.COLUMNS) for f in frames[1:-1])
 
 
-@pytest.mark.parametrize("name", ["op3_warc_index", "op5_merkle_fingerprints", "op7_ngram_jaccard_join", "op8_mix_sources"])
+@pytest.mark.parametrize("name", ["op3_warc_index", "op5_merkle_fingerprints", "op7_ngram_jaccard_join", "op8_mix_sources", "op11_interleaved_shards", "op12_filter_audit"])
 def test_sql(spark, name):
     import duckdb
 
