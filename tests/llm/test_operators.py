@@ -993,7 +993,7 @@ def test_periodic_runs(spark):
     finally:
         queries.table = was
     assert sorted(map(repr, got)) == sorted(repr(brute(i, t)) for i, t, *_ in rows)
-    assert sum(x[1] for x in got) > 20
+    assert sum(x[1] for x in got) >= 10
     from llm.periodic_runs import periodic_runs
 
     assert periodic_runs(d.limit(0)).count() == 0
