@@ -72,13 +72,24 @@ def name_words(names: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~F.lower(w).isin(*NAME_STOPWORDS)))
 
 
+def _within(zone: Column, span: Column) -> Column:
+    return F.coalesce((zone["s"] <= span["s"]) & (span["e"] <= zone["e"]), F.lit(False))
+
+
+def anchored(text: Column, names: Column, anchor: Column, signature: Column) -> Column:
+    """Words of the names inside the anchor or signature zone of one text, as ``array<SPAN>`` (each place once)."""
+    places = F.flatten(F.transform(name_words(names), lambda w: occurrences(text, w)))
+    inside = F.array_distinct(F.filter(places, lambda o: _within(anchor, o) | _within(signature, o)))
+    return F.transform(inside, lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"), F.lit("PERSON").alias("entity_type"), F.lit(1.0).alias("score")))
+
+
 def anchor_spans(zones: DataFrame) -> DataFrame:
-    """JON-4: ``(document_id, s, e, entity_type, score)``: words of the names inside the anchor or signature zone."""
-    words = zones.select("document_id", "text", "anchor", "signature", F.explode(name_words(F.col("names"))).alias("word"))
-    found = words.select("document_id", "anchor", "signature", F.explode(occurrences(F.col("text"), F.col("word"))).alias("o"))
-    inside = lambda z: F.coalesce((F.col(f"{z}.s") <= F.col("o.s")) & (F.col("o.e") <= F.col(f"{z}.e")), F.lit(False))
-    kept = found.where(inside("anchor") | inside("signature")).select("document_id", "o.s", "o.e").dropDuplicates(["document_id", "s", "e"])
-    return kept.withColumn("entity_type", F.lit("PERSON")).withColumn("score", F.lit(1.0))
+    """JON-4: ``(document_id, s, e, entity_type, score)``: words of the names inside the anchor or signature zone.
+
+    Occurrences and containment are found in the row, so the containment join needs no shuffle; rows that repeat an id give
+    each place once."""
+    found = zones.select("document_id", F.explode(anchored(F.col("text"), F.col("names"), F.col("anchor"), F.col("signature"))).alias("o")).select("document_id", "o.*")
+    return found.dropDuplicates(["document_id", "s", "e"])
 
 
 def _iban_valid(text: Column) -> Column:
@@ -102,20 +113,23 @@ DETECTORS: dict[str, tuple[str, float, Callable[[Column], Column] | None]] = {
 }
 
 
-def _detected(kind: str, form: str, score: float, check: Callable[[Column], Column] | None) -> Column:
-    found = matches(F.col("text"), form)
+def _detected(text: Column, kind: str, form: str, score: float, check: Callable[[Column], Column] | None) -> Column:
+    found = matches(text, form)
     if check:
         found = F.filter(found, lambda m: check(m["text"]))
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(kind).alias("entity_type"), F.lit(score).alias("score")))
 
 
+def detected(text: Column, detectors: dict | None = None, plugins: tuple[Callable[[Column], Column], ...] = ()) -> Column:
+    """Spans of the built-in detectors and of plug-ins in one text, as ``array<SPAN>``."""
+    arrays = [_detected(text, kind, *rule) for kind, rule in (DETECTORS if detectors is None else detectors).items()]
+    arrays += [F.coalesce(p(text).cast(f"array<{SPAN}>"), F.array().cast(f"array<{SPAN}>")) for p in plugins]
+    return F.concat(*arrays)
+
+
 def detect_pii(docs: DataFrame, detectors: dict | None = None, plugins: tuple[Callable[[Column], Column], ...] = ()) -> DataFrame:
     """TXT-5: spans of the built-in detectors and of plug-ins (``text -> array<SPAN>``, see ``register_detector``)."""
-    arrays = []
-    for kind, (form, score, check) in (DETECTORS if detectors is None else detectors).items():
-        arrays.append(_detected(kind, form, score, check))
-    arrays += [F.coalesce(p(F.col("text")).cast(f"array<{SPAN}>"), F.array().cast(f"array<{SPAN}>")) for p in plugins]
-    return docs.select("document_id", F.explode(F.concat(*arrays)).alias("x")).select("document_id", "x.*")
+    return docs.select("document_id", F.explode(detected(F.col("text"), detectors, plugins)).alias("x")).select("document_id", "x.*")
 
 
 def register_detector(find: Callable) -> Callable[[Column], Column]:
@@ -135,15 +149,12 @@ def all_spans(*spans: DataFrame) -> DataFrame:
     return out
 
 
-def merge_regions(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """WIN-1: adds ``regions`` (array of spans) to ``docs``.
+def merged(text: Column, spans: Column) -> Column:
+    """The regions of one text: ``spans`` (``array<SPAN>`` in any order) sorted and folded.
 
     A span joins the region before it if they overlap, or if only white space is between them and its type is that of
     the region so far; the higher score decides the type, the earlier one in a tie.
     """
-    lists = spans.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.negative("score").alias("by"), "entity_type", "score"))).alias("_spans"))
-    d = docs.join(lists, "document_id", "left")
-    text = F.col("text")
     empty = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -151,17 +162,24 @@ def merge_regions(docs: DataFrame, spans: DataFrame) -> DataFrame:
         gap = stripped(cut(text, last["e"], F.greatest(x["s"], last["e"]))) == ""
         joins = (F.size(acc) > 0) & ((x["s"] < last["e"]) | ((x["entity_type"] == last["entity_type"]) & gap))
         new = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["entity_type"].alias("entity_type"), x["score"].alias("score"))
-        merged = F.struct(
+        both = F.struct(
             last["s"].alias("s"),
             F.greatest(last["e"], x["e"]).alias("e"),
             F.when(x["score"] > last["score"], x["entity_type"]).otherwise(last["entity_type"]).alias("entity_type"),
             F.greatest(last["score"], x["score"]).alias("score"),
         )
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(new)))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(new)))
 
-    return d.withColumn("regions", F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<s:int,e:int,by:double,entity_type:string,score:double>>")), empty, step)).drop("_spans")
+    keyed = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.negative(x["score"]).alias("by"), x["entity_type"].alias("entity_type"), x["score"].alias("score")))
+    return F.aggregate(F.array_sort(keyed), empty, step)
 
 
+def merge_regions(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """WIN-1: adds ``regions`` (array of spans, see ``merged``) to ``docs``."""
+    lists = spans.groupBy("document_id").agg(F.collect_list(F.struct("s", "e", "entity_type", "score")).alias("_spans"))
+    d = docs.join(lists, "document_id", "left")
+    return d.withColumn("regions", merged(F.col("text"), F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))).drop("_spans")
+
 
 def placeholder(entity_type: Column) -> Column:
     out = F.lit("")
@@ -207,10 +225,10 @@ def coverage_anomalies(zoned: DataFrame) -> DataFrame:
 
 
 def masked_documents(docs: DataFrame, plugins: tuple = ()) -> DataFrame:
-    """The whole job: zones, spans, regions, masking."""
-    zoned = extract_zones(docs)
-    spans = all_spans(detect_pii(docs, plugins=plugins), anchor_spans(zoned))
-    return mask(merge_regions(zoned, spans))
+    """The whole job row by row: zones, spans, regions, masking. It needs no join or state, so it runs in a stream too."""
+    z = extract_zones(docs)
+    spans = F.concat(detected(F.col("text"), None, plugins), anchored(*map(F.col, ("text", "names", "anchor", "signature"))))
+    return mask(z.withColumn("_spans", F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))).withColumn("regions", merged(F.col("text"), F.col("_spans"))).drop("_spans"))
 
 
 def pii_eval(truth: DataFrame, masked: DataFrame) -> DataFrame:

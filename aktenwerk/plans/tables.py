@@ -407,15 +407,44 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
 
 
-@query(None)
+@query(f"""WITH {SQL_LETTERS}, n AS (SELECT document_id, sum(CASE WHEN sec2 IS NULL THEN 1 ELSE 2 END)::INT AS n FROM lines GROUP BY 1)
+SELECT document_id, length(text)::INT AS n_chars, coalesce(n, 0) AS n_citations, 2 AS names, 1 AS phones, 1 AS mails,
+  sha256('Einreicher: Dr. [NAME], ' || n_name || chr(10) || 'Telefon: [TELEFON]' || chr(10) || 'E-Mail: [EMAIL]' || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Mit freundlichen Grüßen' || chr(10) || '[NAME]') AS clean_text
+FROM letters LEFT JOIN n USING (document_id)""")
 def str1_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Letters as a stream: gate, masking, citations of the masked texts."""
     docs = _stream_of(s, corpus.letters(s, d))
     out = new_path(s, "ingested")
     jobs.run_available(jobs.ingest(docs), out, new_path(s, "state"))
-    return s.read.parquet(out).select("document_id", "n_chars", F.size("citations").alias("n_citations"))
+    kind = lambda k: F.col("entity_counts")[k]
+    return s.read.parquet(out).select("document_id", "n_chars", F.size("citations").alias("n_citations"), kind("NAME").alias("names"), kind("TELEFON").alias("phones"), kind("EMAIL").alias("mails"), F.sha2("clean_text", 256).alias("clean_text"))
 
 
-SQL["str1_ingest"] = f"""WITH {SQL_LETTERS}, n AS (SELECT document_id, sum(CASE WHEN sec2 IS NULL THEN 1 ELSE 2 END)::INT AS n FROM lines GROUP BY 1) SELECT document_id, length(text)::INT AS n_chars, coalesce(n, 0) AS n_citations FROM letters LEFT JOIN n USING (document_id)"""
+_SQL_NOTES = """n AS (SELECT c_custkey AS k, 'Vermerk' || repeat('!', (c_custkey % 4)::INT) || ' ' AS front, (c_custkey % 5)::INT AS form FROM customer
+), p AS (SELECT k, form, length(front)::INT AS p0 FROM n)"""
+
+
+@query(f"""WITH {_SQL_NOTES} SELECT k AS document_id, s, e, entity_type FROM (
+  SELECT k, p0 AS s, p0 + 9 AS e, 'PERSON' AS entity_type FROM p WHERE form = 0
+  UNION ALL SELECT k, p0, p0 + 9, 'PHONE_NUMBER' FROM p WHERE form = 1
+  UNION ALL SELECT k, p0, p0 + 4, 'PERSON' FROM p WHERE form = 2 UNION ALL SELECT k, p0 + 5, p0 + 9, 'EMAIL_ADDRESS' FROM p WHERE form = 2
+  UNION ALL SELECT k, p0, p0 + 9, 'PERSON' FROM p WHERE form = 3
+  UNION ALL SELECT k, p0, p0 + 4, 'PERSON' FROM p WHERE form = 4 UNION ALL SELECT k, p0 + 6, p0 + 9, 'PERSON' FROM p WHERE form = 4)""")
+def win1_mixed_regions(s: SparkSession, d: str) -> DataFrame:
+    """Two or three spans a note: overlapping ones of two types (the higher score wins, in a tie the earlier one), neighbours of
+    two types, neighbours of one type with white space or a sign between them, and a chain in which the second span's type is
+    taken over by the region."""
+    key = F.col("c_custkey")
+    front = F.concat(F.lit("Vermerk"), F.repeat(F.lit("!"), (key % 4).cast("int")), F.lit(" "))
+    form = (key % 5).cast("int")
+    text = F.concat(front, F.when(form == 4, "abcd. efg").otherwise("abcd efgh"), F.lit(" Ende"))
+    docs = table(s, d, "customer").select(key.alias("document_id"), text.alias("text"), F.length(front).alias("at"), form.alias("form"))
+    # (form, start, end, type, score)
+    rows = ((0, 0, 6, "PERSON", 0.9), (0, 4, 9, "PHONE_NUMBER", 0.9), (1, 0, 6, "PERSON", 0.5), (1, 4, 9, "PHONE_NUMBER", 0.6), (2, 0, 4, "PERSON", 0.9), (2, 5, 9, "EMAIL_ADDRESS", 1.0),
+            (3, 0, 3, "PHONE_NUMBER", 0.6), (3, 2, 4, "PERSON", 0.9), (3, 5, 9, "PERSON", 0.7), (4, 0, 4, "PERSON", 0.9), (4, 6, 9, "PERSON", 0.9))
+    kinds = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(("form", "s", "e", "entity_type", "score"), r, strict=True))) for r in rows])
+    spans = docs.select("document_id", "at", F.explode(F.filter(kinds, lambda x: x["form"] == F.col("form"))).alias("x")).select("document_id", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"), "x.entity_type", "x.score")
+    return masking.merge_regions(docs, spans).select("document_id", F.explode("regions").alias("r")).select("document_id", "r.s", "r.e", "r.entity_type")
 
 
 def _stream_of(s: SparkSession, df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from aktenwerk.functions.fixed import GENESIS, UNRESOLVED_LIMIT, VERIFICATION_LI
 from aktenwerk.operators.citations import citations
 from aktenwerk.operators.custody import canonical_text
 from aktenwerk.operators.gates import ingest_reason
+from aktenwerk.operators.masking import masked_documents
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
@@ -20,14 +21,14 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(docs: DataFrame, clean=None) -> DataFrame:
-    """STR-1: a stream of ``(document_id, text)`` as accepted documents with their citations.
+def ingest(docs: DataFrame, plugins: tuple = ()) -> DataFrame:
+    """STR-1: a stream of ``(document_id, text)`` through the gate, masked, with the citations of the masked text.
 
-    ``clean`` is a column function for masking (row-wise, so it needs no state); by default texts stay as they are.
+    ``(document_id, n_chars, clean_text, entity_counts, citations)``; masking is row-wise (``masking.masked_documents``, with
+    plug-in detectors), so the stream keeps no state. Raw texts and their names don't leave the job.
     """
-    accepted = docs.where(ingest_reason(F.col("text")).isNull())
-    text = F.col("text") if clean is None else clean(F.col("text"))
-    return accepted.select("document_id", F.length("text").alias("n_chars"), citations(text).alias("citations"))
+    clean = masked_documents(docs.where(ingest_reason(F.col("text")).isNull()).select("document_id", "text"), plugins)
+    return clean.select("document_id", F.length("text").alias("n_chars"), "clean_text", "entity_counts", citations(F.col("clean_text")).alias("citations"))
 
 
 CHAINED = "chain_id string, event_id string, sequence_number long, event_hash string"

@@ -61,12 +61,33 @@ def test_alerts_drop_late_rows(spark, tmp_path):
     assert second["verification_alert"] and second["audit_alert"] and not second["unresolved_alert"]
 
 
-def test_ingestion_refuses_and_extracts(spark, tmp_path):
+def test_ingestion_refuses_masks_and_extracts(spark, tmp_path):
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
-    batch(spark, src, [(1, "§ 1 WHG"), (2, " "), (3, "x" * 100_001)], "document_id long, text string")
-    jobs.run_available(jobs.ingest(spark.readStream.schema("document_id long, text string").parquet(src), lambda t: F.replace(t, F.lit("1"), F.lit("2"))), out, state)
-    rows = spark.read.parquet(out).collect()
-    assert [(r["document_id"], [c["canonical"] for c in r["citations"]]) for r in rows] == [(1, ["§ 2 WHG"])]
+    letter = "Einreicher: Dr. Erika Muster, Kiel\nTelefon: 0431 1234567\n\nIch berufe mich auf § 1 WHG und a.b@example.org.\n\nMit freundlichen Grüßen\nErika Muster"
+    rows = [(1, letter), (2, " "), (3, "x" * 100_001), (4, None), (5, "§ 2 WHG"), (5, "§ 2 WHG")]
+    for part in (rows[:2], rows[2:]):  # two triggers; repeated rows are rows
+        batch(spark, src, part, "document_id long, text string")
+        jobs.run_available(jobs.ingest(spark.readStream.schema("document_id long, text string").parquet(src)), out, state)
+    got = sorted(spark.read.parquet(out).collect(), key=lambda r: r["document_id"])
+    assert [(r["document_id"], r["n_chars"], [c["canonical"] for c in r["citations"]], r["entity_counts"]) for r in got] == [
+        (1, len(letter), ["§ 1 WHG"], {"NAME": 2, "TELEFON": 1, "EMAIL": 1}), (5, 7, ["§ 2 WHG"], {}), (5, 7, ["§ 2 WHG"], {}),
+    ]
+    clean = got[0]["clean_text"]
+    assert clean == letter.replace("Erika Muster", "[NAME]").replace("0431 1234567", "[TELEFON]").replace("a.b@example.org", "[EMAIL]")
+    start = got[0]["citations"][0]["start"]
+    assert clean[start:].startswith("§ 1 WHG")  # positions are those of the masked text
+
+
+def test_masking_in_rows_is_masking_by_joins(spark):
+    from aktenwerk.operators import masking
+
+    rows = [(i, t) for i, t in enumerate([None, "", "Einreicher: Hans Kurz, X\n\nHans Kurz ruft 0171 555666 an.\n\nMit freundlichen Grüßen\nHans Kurz\n", "Kurz: a@b.de a@c.de  DE89370400440532013000", "vertreten durch: Dr. Ute Lang, Amt\nUte Lang Lang\n\n" * 3])]
+    docs = spark.createDataFrame(rows, "document_id long, text string")
+    z = masking.extract_zones(docs)
+    joined = masking.mask(masking.merge_regions(z, masking.all_spans(masking.detect_pii(docs), masking.anchor_spans(z))))
+    columns = ("document_id", "regions", "clean_text", "entity_counts")
+    assert sorted(map(repr, masking.masked_documents(docs).select(*columns).collect())) == sorted(map(repr, joined.select(*columns).collect()))
+    assert "Exchange" not in masking.masked_documents(docs)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_repeated_events(spark, tmp_path):
