@@ -13,10 +13,14 @@ def batch(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
+END = ("end", "triage", "end", "end", T + timedelta(days=400), "{}", 1)  # lets all that waits leave
+
+
 def test_chain_goes_on_over_triggers(spark, tmp_path):
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
     rows = [(f"{c}{i:03d}", "triage", c, c, T + timedelta(seconds=i), '{"argument_count": %d}' % i, 1) for i in range(6) for c in "ab"]
-    for part in (rows[:4], rows[4:]):
+    late = rows[2:4]  # these come a trigger late, within the delay
+    for part in (rows[:2] + rows[4:8], [*late, *rows[8:], END]):
         batch(spark, src, part, EVENTS)
         stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
         jobs.run_available(jobs.chain(stream), out, state)
@@ -28,7 +32,7 @@ def test_chain_goes_on_over_triggers(spark, tmp_path):
 def test_ids_and_payloads_may_hold_the_mark_of_the_number(spark, tmp_path):
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
     rows = [(f"#sequence#{i}", "triage", "#sequence#", "a", T + timedelta(seconds=i), '{"x": "#sequence#", "y": "\\"sequence_number\\":#sequence#,"}', 1) for i in range(4)]
-    batch(spark, src, rows, EVENTS)
+    batch(spark, src, [*rows, END], EVENTS)
     jobs.run_available(jobs.chain(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)), out, state)
     got = {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in spark.read.parquet(out).collect()}
     want = custody.append_chain(spark.createDataFrame(rows, EVENTS)).collect()
@@ -39,7 +43,7 @@ def test_long_chain_leaves_in_steps(spark, tmp_path):
     """A trigger's events of one chain leave in steps, in order, and the state goes on after them."""
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
     rows = [(f"a{i:03d}", "triage", "a", "a", T + timedelta(seconds=i * 37 % 50), "{}", 1) for i in range(50)]
-    for part in ([r for r in rows if r[4] < T + timedelta(seconds=30)], [r for r in rows if r[4] >= T + timedelta(seconds=30)]):
+    for part in ([r for r in rows if r[4] < T + timedelta(seconds=30)], [*(r for r in rows if r[4] >= T + timedelta(seconds=30)), END]):
         batch(spark, src, part, EVENTS)
         jobs.run_available(jobs.chain(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), step=7), out, state)
     got = {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in spark.read.parquet(out).collect()}
@@ -47,6 +51,18 @@ def test_long_chain_leaves_in_steps(spark, tmp_path):
     assert got == {r["event_id"]: (r["sequence_number"], r["event_hash"]) for r in want}
 
 
+def test_events_behind_the_watermark_are_appended(spark, tmp_path):
+    src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
+    event = lambda i, hours: (f"e{i}", "triage", "a", "a", T + timedelta(hours=hours), "{}", 1)
+    none = [("x", "triage", "a", None, T, "{}", 1), ("y", "triage", "a", "a", None, "{}", 1)]
+    for part in ([event(0, 0), event(1, 5)], [event(2, 10), *none], [event(3, 1), END]):
+        batch(spark, src, part, EVENTS)
+        jobs.run_available(jobs.chain(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)), out, state)
+    rows = sorted(spark.read.parquet(out).collect(), key=lambda r: r["sequence_number"])
+    # e0 and e1 had left when e3 came, e2 hadn't
+    assert [r["event_id"] for r in rows] == ["e0", "e1", "e3", "e2"] and [r["sequence_number"] for r in rows] == [0, 1, 2, 3]
+
+
 def test_alerts_drop_late_rows(spark, tmp_path):
     src, out, state = (f"file://{tmp_path}/{n}" for n in ("src", "out", "state"))
     schema = "ts timestamp, unresolved long, citations long, failures long, arguments long, failed_writes long"
