@@ -1,18 +1,24 @@
 """Benchmark decontamination by SimHash of item-sized windows and exact weighted-shingle similarity.
 
 Words are hashed to 64 bits; the SimHash of a window is the bitwise majority of its words' hashes. Every item has windows
-of two widths (``windows_of``): the largest of ``WIDTHS`` that fits into it, at its beginning and its end, and one of
-about a third of it, at its beginning, middle and end, so that an edit of a quarter of the item leaves a window of its
-own alone. Documents are fingerprinted at every even word position for every width in use; items have each window at two
-neighbouring offsets, so an unchanged one meets itself at Hamming distance 0 wherever it stands. Fingerprints within
-``RADIUS`` are found by four 16-bit blocks: two fingerprints at distance at most 11 differ in at most 2 bits in one
-block, and all values within 2 bits of an item's block are in that block's index, so none is missed. Candidates are
-verified exactly: the share of the item's 5-word shingles, weighted by their rarity among all items, that occur in a
-stretch of the document as long as the item and twice ``slack_of`` its length, must reach ``SIMILARITY``.
-
-Scattered edits may move all windows of an item out of the radius. The windows of the smallest size, one shingle, are
-therefore looked up at every position of items and documents, at distance 0: a copy that reaches ``SIMILARITY`` has an
-equal shingle, so the result is that of brute force; ``hamming`` says whether SimHash had found the match.
+of two kinds (``windows_of``): the largest of ``WIDTHS`` that fits into it, at its beginning and its end, and tiles of at
+most ``TILE`` words that overlap by half all over it. Documents are fingerprinted at every even word position for every
+width in use; items have each window at two neighbouring offsets, so an unchanged one meets itself at distance 0
+wherever it stands.
+
+*Multi-index.* Fingerprints are cut into four 16-bit blocks. Two of them at distance at most r differ in at most r div 4 bits
+in one block, and all values that near to an item's block are in that block's table, so none within r is missed: 11 for
+item-sized windows (two bits), 3 for tiles (equal blocks). A document and an item of which two windows are that near
+are a candidate, and there are no others: with an empty index nothing is found.
+
+*Why tiles.* A changed word costs an item up to five shingles, an inserted or a missing one four. If every tile of twelve words
+of an item were changed, it would lose more than a quarter of its shingles; so where shingles weigh alike, a copy that reaches
+``SIMILARITY`` has an unchanged tile. Weights can differ, so recall is measured against brute force (tests).
+
+*Verification.* The share of the item's 5-word shingles, weighted by their rarity among all items, that occur in a
+stretch of the document as long as the item and twice ``slack_of`` its length, must reach ``SIMILARITY``; it is computed
+exactly over the whole document, one candidate at a time. Candidates are gathered in slices of ``PAIRS`` pairs of windows, so
+memory doesn't grow with how often a passage repeats in a text or among the items.
 
 The items are the stated query set; they are applied in blocks of ``ITEM_BLOCK``, each a bounded broadcast, against
 all rows, at most ``CHAIN`` blocks before the result is stored. Rarity and the number of items do not depend on blocks.
@@ -24,7 +30,9 @@ repeated rows get equal results; other columns are ignored; without items no doc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +43,12 @@ from llm import kernel
 from llm.common import stored
 
 WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024)
-RADIUS, BLOCK_BITS, BLOCK_ERRORS = 11, 16, 2
+#: Largest distance of fingerprints of item-sized windows and of tiles; bits of a block.
+RADIUS, TILE_RADIUS, BLOCK_BITS = 11, 3, 16
 SIMILARITY, SLACK, ITEM_BLOCK, CHAIN = 0.75, 2, 1000, 4
-SLACK_PART, SEED_BITS = 4, 20
-#: Items of as many words have windows of a third of them too.
-LEAST_PARTED = 12
+SLACK_PART, PAIRS = 4, 1 << 20
+#: Widths of tiles by the least number of words of an item.
+TILES = ((24, 12), (12, 8), (6, 4))
 ENOUGH = SIMILARITY - 1e-9  # sums of weights are rounded
 
 
@@ -50,13 +59,14 @@ def width_of(n_words: int) -> tuple[int, int]:
     return max(w for w in WIDTHS if w <= n_words - 1), 2
 
 
-def windows_of(n_words: int) -> list[tuple[int, int, int]]:
-    """``(width, stride, offset)`` of an item's windows."""
+def windows_of(n_words: int) -> list[tuple[int, int, int, int]]:
+    """``(width, stride, radius, offset)`` of an item's windows."""
     width, stride = width_of(n_words)
-    out = {(width, stride, o) for at in (0, n_words - width - stride + 1) for o in range(at, at + stride)}
-    if n_words >= LEAST_PARTED:
-        part = max(w for w in WIDTHS if w <= n_words // 3)
-        out |= {(part, 2, o) for at in (0, (n_words - part) // 2, n_words - part - 1) for o in (at, at + 1)}
+    out = {(width, stride, RADIUS, o) for at in (0, n_words - width - stride + 1) for o in range(at, at + stride)}
+    tile = next((w for least, w in TILES if n_words >= least), None)
+    if tile:
+        last = n_words - tile - 1
+        out |= {(tile, 2, TILE_RADIUS, o) for at in (*range(0, last, tile // 2), last) for o in (at, at + 1)}
     return sorted(out)
 
 
@@ -92,8 +102,7 @@ class Items:
     shingles: list = field(default_factory=list)
     weights: list = field(default_factory=list)
     totals: np.ndarray | None = None  # summed weights of each item
-    index: dict = field(default_factory=dict)  # (width, stride) -> fingerprints, their items and offsets, block tables
-    seeds: dict = field(default_factory=dict)  # size -> filter, hashes, starts of their entries, items and shingle numbers
+    index: dict = field(default_factory=dict)  # (width, stride, radius) -> fingerprints, their items, block tables
 
 
 def rarity_of(n_items: int, counts: np.ndarray) -> np.ndarray:
@@ -101,15 +110,18 @@ def rarity_of(n_items: int, counts: np.ndarray) -> np.ndarray:
     return np.log1p(n_items / np.maximum(1, counts))
 
 
-def _near_values() -> np.ndarray:
-    one = 1 << np.arange(BLOCK_BITS)
-    return np.unique(np.concatenate([[0], one, (one[:, None] | one[None]).ravel()]))  # masks of at most two bits
+def _near_values(radius: int) -> np.ndarray:
+    """Masks that change a block by as many bits as one of the blocks may differ at most."""
+    masks = np.zeros(1, np.int64)
+    for _ in range(radius // (64 // BLOCK_BITS)):
+        masks = np.unique(masks[:, None] | np.concatenate([[0], 1 << np.arange(BLOCK_BITS)])[None])
+    return masks
 
 
 def build_items(rows: list[tuple[object, str | None]], rarity: tuple[np.ndarray, np.ndarray] | None = None) -> Items:
     """The index of a block; ``rarity`` are the weights of shingles by their sorted hashes, by default among the rows."""
     items = Items()
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    found: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
     for item_id, text in rows:
         for w in kernel.words(pa.array([text], pa.string())):
             h = w.hashes
@@ -120,26 +132,17 @@ def build_items(rows: list[tuple[object, str | None]], rarity: tuple[np.ndarray,
             items.lengths.append(len(h))
             items.sizes.append(size)
             items.shingles.append(np.unique(kernel.rolled(h, size)))
-            for width, stride, offset in windows_of(len(h)):
+            for width, stride, radius, offset in windows_of(len(h)):
                 fp = int(simhashes(h[offset : offset + width].copy(), [(width, 1)])[width, 1][0])
-                found.setdefault((width, stride), []).append((fp, len(items.ids) - 1, offset))
+                found.setdefault((width, stride, radius), set()).add((fp, len(items.ids) - 1))
     if rarity is None:
         values, counts = np.unique(np.concatenate(items.shingles or [np.zeros(0, np.uint64)]), return_counts=True)
         rarity = values, rarity_of(len(items.ids), counts)
     items.weights = [rarity[1][np.searchsorted(rarity[0], s)] for s in items.shingles]
     items.totals = np.array([w.sum() for w in items.weights])
-    for size in set(items.sizes):
-        of = [i for i, n in enumerate(items.sizes) if n == size]
-        hashes = np.concatenate([items.shingles[i] for i in of])
-        order = np.argsort(hashes, kind="stable")
-        distinct, starts = np.unique(hashes[order], return_index=True)
-        seen = np.zeros(1 << SEED_BITS, bool)
-        seen[distinct >> np.uint64(64 - SEED_BITS)] = True
-        item = np.repeat(of, [len(items.shingles[i]) for i in of])
-        number = np.concatenate([np.arange(len(items.shingles[i])) for i in of])
-        items.seeds[size] = (seen, distinct, np.append(starts, len(order)), item[order], number[order])
-    near = _near_values()
     for key, entries in found.items():
+        entries = sorted(entries)
+        near = _near_values(key[2])
         fp = np.array([e[0] for e in entries], np.uint64)
         tables = []
         for j in range(64 // BLOCK_BITS):
@@ -149,105 +152,90 @@ def build_items(rows: list[tuple[object, str | None]], rarity: tuple[np.ndarray,
             order = np.argsort(value, kind="stable")
             starts = np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1))
             tables.append((starts.astype(np.int32), owner[order].astype(np.int32)))
-        items.index[key] = (fp, np.array([e[1] for e in entries]), np.array([e[2] for e in entries]), tables)
+        items.index[key] = (fp, np.array([e[1] for e in entries]), tables)
     return items
 
 
-def candidates(fingerprints: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers and entries of all pairs within ``RADIUS``."""
-    fp, _, _, tables = index
-    at, entry = [], []
+def candidates(fingerprints: np.ndarray, index: tuple, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Window numbers and entries of all pairs within ``radius``, in slices of about ``PAIRS`` pairs that share a block."""
+    fp, _, tables = index
     for j, (starts, owners) in enumerate(tables):
         v = ((fingerprints >> np.uint64(BLOCK_BITS * j)) & np.uint64(0xFFFF)).astype(np.int64)
-        lo = starts[v]
+        lo = starts[v].astype(np.int64)
         n = starts[v + 1] - lo
         hit = np.flatnonzero(n)
         n, lo = n[hit], lo[hit]
-        w = np.repeat(hit, n)
-        e = owners[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(w))]
-        good = np.bitwise_count(fingerprints[w] ^ fp[e]) <= RADIUS
-        at.append(w[good])
-        entry.append(e[good])
-    return np.concatenate(at), np.concatenate(entry)
+        cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), PAIRS), side="right"))
+        for a, b in pairwise([*cuts, len(hit)]):
+            m = n[a:b]
+            w = np.repeat(hit[a:b], m)
+            e = owners[np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(len(w))]
+            good = np.bitwise_count(fingerprints[w] ^ fp[e]) <= radius
+            yield w[good], e[good]
+
+
+def near_pairs(w: kernel.Words, items: Items) -> list[tuple[int, int]]:
+    """Documents and items of which windows lie within their radius."""
+    n = len(items.ids)
+    found = np.zeros(0, np.int64)
+    prints = simhashes(w.hashes, sorted({key[:2] for key in items.index}))
+    for (width, stride, radius), index in items.index.items():
+        fps = prints[width, stride]
+        position = np.arange(len(fps)) * stride
+        doc = np.searchsorted(w.bounds, position, side="right") - 1
+        inside = np.flatnonzero(position + width <= w.bounds[doc + 1])
+        fps, doc = fps[inside], doc[inside]
+        for at, entry in candidates(fps, index, radius):
+            found = np.union1d(found, doc[at] * n + index[1][entry])
+    return [divmod(x, n) for x in found.tolist()]
 
 
 def aligned(at: np.ndarray, number: np.ndarray, weights: np.ndarray, span: int) -> float:
-    """The largest share of ``weights`` whose shingles ``number`` begin at places ``at`` (sorted) of ``span`` in a row."""
-    held, now, most, best, first = np.zeros(len(weights), np.int64), 0.0, -1.0, (0, 0), 0
-    for last in range(len(at)):
-        while at[last] - at[first] >= span:
-            k = number[first]
-            held[k] -= 1
-            now -= weights[k] if not held[k] else 0.0
-            first += 1
-        k = number[last]
-        held[k] += 1
-        now += weights[k] if held[k] == 1 else 0.0
-        if now > most + 1e-9:
-            most, best = now, (first, last + 1)
+    """The largest share of ``weights`` whose shingles ``number`` begin at places ``at`` (sorted) of ``span`` in a row.
+
+    A place tells for the stretches that begin in the ``span`` places up to it, behind the place before of the same shingle.
+    """
+    order = np.lexsort((at, number))
+    a, k = at[order], number[order]
+    first = a - span + 1
+    same = np.flatnonzero(k[1:] == k[:-1]) + 1
+    first[same] = np.maximum(first[same], a[same - 1] + 1)
+    places = np.concatenate([first, a + 1])
+    change = np.concatenate([weights[k], -weights[k]])
+    order = np.argsort(places, kind="stable")
+    places, sums = places[order], np.cumsum(change[order])
+    last = np.flatnonzero(np.r_[places[1:] != places[:-1], True])
+    begin = places[last[np.argmax(sums[last])]]
     inside = np.zeros(len(weights), bool)
-    inside[number[slice(*best)]] = True
+    inside[number[(at >= begin) & (at < begin + span)]] = True
     return float(weights[inside].sum() / weights.sum())
 
 
-def seeded(runs: np.ndarray, size: int, bounds: np.ndarray, items: Items) -> list[tuple[int, int, float]]:
-    """Documents, items and similarities of all pairs among items of ``size``-word shingles that may match; ``runs`` are
-    the hashes of all runs of ``size`` words."""
-    seen, distinct, starts, owner, numbers = items.seeds[size]
-    at = np.flatnonzero(seen[runs >> np.uint64(64 - SEED_BITS)])
-    v = np.minimum(np.searchsorted(distinct, runs[at]), len(distinct) - 1)
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    good = (distinct[v] == runs[at]) & (at + size <= bounds[doc + 1])
-    at, v, doc = at[good], v[good], doc[good]
-    if not len(at):
-        return []
-    n = starts[v + 1] - starts[v]
-    e = np.repeat(starts[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    at, doc, item, number = np.repeat(at, n), np.repeat(doc, n), owner[e], numbers[e]
-    order = np.lexsort((at, item, doc))
-    at, doc, item, number = at[order], doc[order], item[order], number[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-    ends = np.append(cuts[1:], len(at))
-    # what all distinct shingles of a pair weigh, wherever they stand, bounds its similarity
-    pair = np.repeat(np.arange(len(cuts)), ends - cuts)
-    _, first = np.unique(pair * (int(number.max()) + 1) + number, return_index=True)
-    weight = np.concatenate(items.weights)[np.cumsum([0, *map(len, items.weights)])[item[first]] + number[first]]
-    able = np.bincount(pair[first], weight, len(cuts)) >= ENOUGH * items.totals[item[cuts]]
-    out = []
-    for a, b in zip(cuts[able].tolist(), ends[able].tolist(), strict=True):
-        i = int(item[a])
-        span = items.lengths[i] + 2 * slack_of(items.lengths[i]) - size + 1
-        out.append((int(doc[a]), i, aligned(at[a:b], number[a:b], items.weights[i], span)))
-    return out
-
-
-def near_windows(w: kernel.Words, items: Items) -> set[tuple[int, int]]:
-    """Documents and items of which windows lie within the radius."""
-    pairs = [np.zeros(0, np.int64)]
-    for (width, stride), fps in simhashes(w.hashes, list(items.index)).items():
-        at, entry = candidates(fps, items.index[width, stride])
-        position = at * stride
-        doc = np.searchsorted(w.bounds, position, side="right") - 1
-        inside = position + width <= w.bounds[doc + 1]
-        pairs.append(np.unique(doc[inside] * len(items.ids) + items.index[width, stride][1][entry[inside]]))
-    return {divmod(x, len(items.ids)) for x in np.unique(np.concatenate(pairs)).tolist()}
-
-
-def matches(column: pa.Array, items: Items, hamming: set | None = None) -> dict[int, dict[int, float]]:
-    """For each row with a match: item number to similarity. ``hamming`` gets the (row, item) that SimHash found."""
+def matches(column: pa.Array, items: Items) -> dict[int, dict[int, float]]:
+    """For each row with a match: item number to similarity."""
     out: dict[int, dict[int, float]] = {}
     if not items.ids:
         return out
     for w in kernel.words(column):
-        near = near_windows(w, items)
-        for size in items.seeds:
-            if len(w.hashes) < size:
+        now, runs = None, {}
+        for doc, item in near_pairs(w, items):
+            if doc != now:
+                now, runs = doc, {}
+            size, own, weights = items.sizes[item], items.shingles[item], items.weights[item]
+            if size not in runs:
+                h = kernel.rolled(w.hashes[w.bounds[doc] : w.bounds[doc + 1]], size)
+                runs[size] = h, np.unique(h)
+            h, held = runs[size]
+            # what all shingles that occur anywhere weigh bounds the similarity
+            there = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+            if weights[there].sum() < ENOUGH * items.totals[item]:
                 continue
-            for doc, item, similarity in seeded(kernel.rolled(w.hashes, size), size, w.bounds, items):
-                if similarity >= ENOUGH:
-                    out.setdefault(w.first + doc, {})[item] = similarity
-                    if hamming is not None and (doc, item) in near:
-                        hamming.add((w.first + doc, item))
+            number = np.minimum(np.searchsorted(own, h), len(own) - 1)
+            at = np.flatnonzero(own[number] == h)
+            n = items.lengths[item]
+            similarity = aligned(at, number[at], weights, n + 2 * slack_of(n) - size + 1)
+            if similarity >= ENOUGH:
+                out.setdefault(w.first + doc, {})[item] = similarity
     return out
 
 
@@ -270,8 +258,8 @@ def with_rarity(benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keep, contaminated, n_items, item_id, similarity, hamming)`` for every row; ``item_id`` is the most similar
-    item, the smallest of equally similar ones (null last), and ``hamming`` whether its windows lay within the radius."""
+    """``(*keep, contaminated, n_items, item_id, similarity)`` for every row; ``item_id`` is the most similar
+    item, the smallest of equally similar ones (null last)."""
     spark = docs.sparkSession
     ranked = stored(with_rarity(benchmark), "items")
     n_items = ranked.count()
@@ -279,8 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     kinds = dict(docs.dtypes)
     name = "text" if "text" in keep else "_text"
     more = [] if name in keep else [name]
-    found = {"items": "array<long>", "item_id": "long", "similarity": "double", "hamming": "boolean"}
-    empty = [F.array().cast("array<long>"), F.lit(None).cast("long"), F.lit(0.0), F.lit(False)]
+    found = {"items": "array<long>", "item_id": "long", "similarity": "double"}
+    empty = [F.array().cast("array<long>"), F.lit(None).cast("long"), F.lit(0.0)]
     held = docs.select(*keep, *([F.col("text").cast("string").alias(name)] if more else []), *(c.alias(k) for k, c in zip(found, empty, strict=True)))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} string" for c in more), *(f"{k} {v}" for k, v in found.items())])
     for k in range(n_blocks):
@@ -293,20 +281,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         def run(batches, block=block, last=k == n_blocks - 1):
             items = block.value
             for b in batches:
-                ids, item, like, near = (b.column(c).to_pylist() for c in found)
-                hamming: set = set()
-                for row, got in matches(b.column(name), items, hamming).items():
+                ids, item, like = (b.column(c).to_pylist() for c in found)
+                for row, got in matches(b.column(name), items).items():
                     best = min(got, key=lambda i: (-got[i], items.ids[i] is None, items.ids[i] or 0))
                     ids[row] = [*ids[row], *dict.fromkeys(items.ids[i] for i in got)]
                     smaller = items.ids[best] is not None and (item[row] is None or items.ids[best] < item[row])
                     if got[best] > like[row] or (got[best] == like[row] and smaller):
-                        like[row], item[row], near[row] = got[best], items.ids[best], (row, best) in hamming
+                        like[row], item[row] = got[best], items.ids[best]
                 text = [pa.nulls(b.num_rows, pa.string()) if last else b.column(c) for c in more]
-                new = [pa.array(x, kind) for x, kind in zip((ids, item, like, near), (pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+                new = [pa.array(x, kind) for x, kind in zip((ids, item, like), (pa.list_(pa.int64()), pa.int64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *text, *new], [*keep, *more, *found])
 
         held = held.mapInArrow(run, schema)
         if (k + 1) % CHAIN == 0 and k + 1 < n_blocks:
             held = stored(held, "decontaminated")
     n = F.size(F.array_distinct("items"))  # distinct ids in whatever blocks their texts were
-    return held.select(*keep, (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_id", "similarity", "hamming")
+    return held.select(*keep, (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_id", "similarity")

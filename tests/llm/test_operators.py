@@ -470,26 +470,25 @@ def test_edited_copies_equal_brute_force():
             docs += [text(r.randint(0, 40)) + c + text(r.randint(0, 40)) for c in copies]
     docs.append(items[2] * 3 + text(9) + items[3])
     index = dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)])
-    hamming = set()
-    got = dc.matches(pa.array([" ".join(d) for d in docs]), index, hamming)
+    got = dc.matches(pa.array([" ".join(d) for d in docs]), index)
     shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items]
     counts = Counter(s for own in shingles for s in own)
     weights = {s: math.log1p(len(items) / c) for s, c in counts.items()}
-    n = 0
+    n = found = 0
     for j, d in enumerate(docs):
         for i, w in enumerate(items):
             want = brute_similarity(w, d, weights, 5, len(w) + 2 * max(2, len(w) // 4))
             hit = want >= 0.75 - 1e-9
             n += hit
-            assert (i in got.get(j, {})) == hit, (i, j, want)
-            if hit:
-                assert got[j][i] == pytest.approx(want)
-    assert n > 100 and len(hamming) >= 0.9 * n
+            found += i in got.get(j, {})
+            if i in got.get(j, {}):
+                assert hit and got[j][i] == pytest.approx(want), (i, j, want)
+    assert n > 100 and found >= 0.98 * n, (found, n)
 
 
 @pytest.mark.parametrize("kind", ["front", "end", "replaced", "inserted", "scattered"])
 def test_simhash_windows_find_edited_copies(kind):
-    """The Hamming search alone finds at least nine of ten copies that keep 0.75 of the shingles, of items of all lengths."""
+    """The Hamming search finds nearly all copies that keep 0.75 of the shingles, of items of all lengths."""
     from llm import decontaminate as dc
 
     r = random.Random(22)
@@ -504,10 +503,14 @@ def test_simhash_windows_find_edited_copies(kind):
             "front": w[k:], "end": w[: n - k], "replaced": w[:a] + text(max(1, k - 4)) + w[a + max(1, k - 4) :], "inserted": w[:a] + text(k) + w[a:],
             "scattered": [r.choice(v) if i % 29 == 14 else x for i, x in enumerate(w)],
         }[kind] + text(r.randint(20, 60)))
-    hamming = set()
-    got = dc.matches(pa.array([" ".join(d) for d in docs]), dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)]), hamming)
-    assert len(got) >= 30  # of short items, few edits are enough to fall below the similarity
-    assert len(hamming) >= 0.9 * len(got), len(hamming) / len(got)
+    got = dc.matches(pa.array([" ".join(d) for d in docs]), dc.build_items([(i, " ".join(w)) for i, w in enumerate(items)]))
+    ones = Counter()
+    for w in items:
+        ones.update({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    weights = {k: math.log1p(len(items) / c) for k, c in ones.items()}
+    want = {i for i, (w, d) in enumerate(zip(items, docs, strict=True)) if brute_similarity(w, d, weights, 5, len(w) + 2 * max(2, len(w) // 4)) >= 0.75 - 1e-9}
+    assert len(want) >= 30  # of short items, few edits are enough to fall below the similarity
+    assert set(got) <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
 
 
 def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
@@ -527,26 +530,59 @@ def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
     for block, chain in ((1000, 4), (4, 2), (2, 1)):
         monkeypatch.setattr(dc, "ITEM_BLOCK", block)
         monkeypatch.setattr(dc, "CHAIN", chain)
-        results.append(sorted((x["doc_id"], x["contaminated"], x["n_items"], x["item_id"], round(x["similarity"], 12), x["hamming"]) for x in dc.contamination(docs_frame(spark, docs), bench).collect()))
+        results.append(sorted((x["doc_id"], x["contaminated"], x["n_items"], x["item_id"], round(x["similarity"], 12)) for x in dc.contamination(docs_frame(spark, docs), bench).collect()))
     assert results[0] == results[1] == results[2]
     assert results[0][len(items)][2] == len({i for i, _ in items}) and results[0][6][3] == min(6, 10)
 
 
-def test_hamming_index_misses_nothing():
+def test_hamming_index_misses_nothing(monkeypatch):
     from llm import decontaminate as dc
 
     r = np.random.default_rng(2)
     items = dc.build_items([(i, " ".join(f"w{x}" for x in r.integers(0, 500, 20))) for i in range(30)])
-    index = items.index[16, 2]
+    index = items.index[16, 2, dc.RADIUS]
     fp = r.integers(0, 1 << 63, 4000).astype(np.uint64)
     fp[:2000] = index[0][r.integers(0, len(index[0]), 2000)]
     for row in range(2000):
         for bit in r.choice(64, r.integers(0, 14), replace=False):
             fp[row] ^= np.uint64(1) << np.uint64(bit)
-    at, entry = dc.candidates(fp, index)
-    got = set(zip(at.tolist(), entry.tolist(), strict=True))
-    close = np.bitwise_count(fp[:, None] ^ index[0][None]) <= dc.RADIUS
-    assert got == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+    monkeypatch.setattr(dc, "PAIRS", 500)
+    for key, index in items.index.items():
+        got = {x for at, entry in dc.candidates(fp, index, key[2]) for x in zip(at.tolist(), entry.tolist(), strict=True)}
+        close = np.bitwise_count(fp[:, None] ^ index[0][None]) <= key[2]
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+
+
+def test_decontamination_finds_nothing_without_its_index():
+    from llm import decontaminate as dc
+
+    r = random.Random(3)
+    v = vocabulary(500, 3)
+    items = [(i, " ".join(r.choice(v) for _ in range(30))) for i in range(20)]
+    index = dc.build_items(items)
+    docs = pa.array(["x " + t for _, t in items])
+    assert {row: set(got) for row, got in dc.matches(docs, index).items()} == {i: {i} for i in range(20)}
+    index.index = {}
+    assert dc.matches(docs, index) == {}
+
+
+def test_decontamination_of_a_repeated_passage_is_bounded():
+    """A text of one word, and one of a repeated passage, against many items that hold that run or passage."""
+    import tracemalloc
+
+    from llm import decontaminate as dc
+
+    r = random.Random(8)
+    v = vocabulary(2000, 8)
+    passage = " ".join(r.choice(v) for _ in range(12))
+    items = [(i, "eins " * 20 + " ".join(r.choice(v) for _ in range(i % 5))) for i in range(200)] + [(300 + i, passage + " " + " ".join(r.choice(v) for _ in range(3))) for i in range(200)]
+    index = dc.build_items(items)
+    docs = pa.array(["eins " * 100_000, (passage + " ") * 5000])
+    tracemalloc.start()
+    got = dc.matches(docs, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {0} and set(got[0]) >= {i for i in range(0, 200, 5)} and peak < 300e6, peak
 
 
 # --- 9: language model ----------------------------------------------------------------------------------------------
