@@ -1,4 +1,4 @@
-"""Tamper-evident custody chains: canonical form, append, parallel verification, order of stages, delivery."""
+"""Tamper-evident custody chains: canonical form, append, parallel verification, order of stages (stored by ``sources.custody_store``)."""
 
 from __future__ import annotations
 
@@ -94,19 +94,24 @@ def append_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     return rows.repartition("chain_id").sortWithinPartitions("chain_id", "sequence_number").mapInArrow(fold, schema)
 
 
-def with_predecessor(events: DataFrame) -> DataFrame:
-    """JON-6: each stored event with its predecessor's hash by stored position ``idx`` (0.. per chain)."""
+def with_predecessor(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """JON-6: each stored event with its predecessor's hash by stored position ``idx`` (0.. per chain); ``heads`` are the
+    last events before a segment."""
     before = events.select("chain_id", (F.col("idx") + 1).alias("idx"), F.col("event_hash").alias("prev_hash"), F.col("sequence_number").alias("prev_sequence"))
+    if heads is not None:
+        n = F.col("sequence_number")
+        before = before.unionByName(heads.select("chain_id", (n + 1).alias("idx"), F.col("event_hash").alias("prev_hash"), n.alias("prev_sequence")))
     return events.join(before, ["chain_id", "idx"], "left")
 
 
-def chain_breaks(events: DataFrame) -> DataFrame:
-    """CHN-2: every row that doesn't continue its chain: ``(chain_id, idx, sequence_number, reason, expected, found)``.
+def chain_breaks(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """CHN-2: every row that doesn't continue its chain (behind ``heads``, for a segment): ``(chain_id, idx, sequence_number,
+    reason, expected, found)``.
 
     Each row is checked against its stored predecessor only, so verification is parallel. The first break of a chain is
     the one a walk from genesis finds.
     """
-    p = with_predecessor(events)
+    p = with_predecessor(events, heads)
     p = p.withColumn("_hash", link(canonical_text(p), F.coalesce("prev_hash", F.lit(GENESIS))))
     first = F.col("idx") == 0
     reason = (
@@ -134,15 +139,30 @@ def verify_chain(events: DataFrame) -> DataFrame:
     return events.select("chain_id").distinct().join(first_breaks(chain_breaks(events)), "chain_id", "left").withColumn("ok", F.col("reason").isNull())
 
 
-def verify_tail(events: DataFrame, k: int = 256) -> DataFrame:
-    """WIN-4: the breaks among the last ``k`` events of each chain, seeded from the event before them."""
-    back = F.row_number().over(Window.partitionBy("chain_id").orderBy(F.desc("idx")))
-    tail = events.withColumn("_back", back).where(F.col("_back") <= k + 1)
+TAIL = 256
+
+
+def tail_breaks(events: DataFrame, heads: DataFrame, k: int = TAIL) -> DataFrame:
+    """CHN-4: the breaks among the last ``k`` events of the chains in ``heads(chain_id, sequence_number, event_hash)``, each tail seeded
+    from the event before it, and chains whose last stored event isn't the head. ``events`` may hold the tails only."""
+    h = heads.select("chain_id", F.col("sequence_number").alias("_top"), F.col("event_hash").alias("_head"))
+    tail = events.join(h, "chain_id").where(F.col("idx") >= F.col("_top") - k)
     p = with_predecessor(tail)
-    p = p.withColumn("_hash", link(canonical_text(p), F.coalesce("prev_hash", F.lit(GENESIS)))).where(F.col("_back") <= k)
+    p = p.withColumn("_hash", link(canonical_text(p), F.coalesce("prev_hash", F.lit(GENESIS)))).where(F.col("idx") > F.col("_top") - k)
     expected = F.coalesce(F.col("prev_sequence"), F.lit(-1)) + 1
     reason = F.when(~F.col("sequence_number").eqNullSafe(expected), BREAKS["sequence"]).when(F.col("event_hash").isNull(), BREAKS["no_hash"]).when(~F.col("event_hash").eqNullSafe(F.col("_hash")), BREAKS["hash"])
-    return p.withColumn("reason", reason).where("reason is not null").select("chain_id", "idx", "sequence_number", "reason")
+    found = p.withColumn("reason", reason).where("reason is not null").select("chain_id", "idx", "sequence_number", "reason")
+    last = tail.where(F.col("idx") == F.col("_top")).select("chain_id", F.col("event_hash").alias("_last"))
+    lost = h.join(last, "chain_id", "left").where(~F.col("_last").eqNullSafe(F.col("_head")))
+    return found.unionByName(lost.select("chain_id", F.col("_top").alias("idx"), F.col("_top").alias("sequence_number"), F.lit(BREAKS["hash"]).alias("reason")))
+
+
+def verify_tail(events: DataFrame, k: int = TAIL) -> DataFrame:
+    """WIN-4: the breaks among the last ``k`` events of each chain, seeded from the event before them.
+
+    The ends of chains are an aggregate, so no chain is sorted; where a store keeps them (``sources.custody_store``), they are read."""
+    ends = events.groupBy("chain_id").agg(F.max("idx").alias("sequence_number"), F.max_by("event_hash", "idx").alias("event_hash"))
+    return tail_breaks(events, ends, k)
 
 
 def chain_head(events: DataFrame) -> DataFrame:
@@ -150,7 +170,7 @@ def chain_head(events: DataFrame) -> DataFrame:
     return events.groupBy("chain_id").agg(F.max_by("event_hash", "sequence_number").alias("event_hash"), F.max("sequence_number").alias("sequence_number"))
 
 
-def assert_appendable(events: DataFrame, bad_lines: DataFrame | None = None, k: int = 256) -> None:
+def assert_appendable(events: DataFrame, bad_lines: DataFrame | None = None, k: int = TAIL) -> None:
     """CHN-4: raises if a line doesn't parse or the tail of a chain doesn't verify."""
     if bad_lines is not None and not bad_lines.isEmpty():
         raise ValueError("the audit log has lines that don't parse")
@@ -201,33 +221,3 @@ def pipeline_events(masked: DataFrame, flags: DataFrame, arguments: DataFrame, r
     for end in TERMINAL[:2]:
         out = out.unionByName(custody_events(d.where(F.col("terminal_status") == end), end, F.to_json(F.struct(F.col("_a").alias("entry_count"))), at(3)))
     return out
-
-
-def deliver(briefings: DataFrame, events: DataFrame, store: str, out: str) -> DataFrame:
-    """CHN-6: appends the events that the store lacks, verifies, and only then writes briefings with a completion event.
-
-    A store whose chains don't verify is refused before anything is added to it. Event ids are deterministic, so a rerun
-    after a failure appends what is missing and delivers the rest.
-    """
-    spark = events.sparkSession
-    try:
-        old = spark.read.parquet(store)
-    except Exception as e:  # no store yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        try:
-            assert_appendable(old)
-        except ValueError as e:
-            raise ValueError(f"the stored custody chains don't verify; nothing was appended or delivered: {e}") from e
-    fresh = events if old is None else events.join(old.select("event_id"), "event_id", "left_anti")
-    chained = append_chain(fresh, None if old is None else chain_head(old))
-    chained.withColumn("idx", F.col("sequence_number")).write.mode("append").parquet(store)
-    stored = spark.read.parquet(store)
-    if not chain_breaks(stored).isEmpty():
-        raise ValueError("the custody chain doesn't verify; no briefing was delivered")
-    done = stored.where(F.col("event_type").isin(*TERMINAL[:2])).select("document_id").distinct()
-    delivered = briefings.join(done, briefings["document_id"].cast("string") == done["document_id"], "left_semi")
-    delivered.write.mode("overwrite").json(out, ignoreNullFields=False)
-    return delivered

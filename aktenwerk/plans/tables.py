@@ -11,6 +11,7 @@ from aktenwerk.operators import briefing, citations, custody, gates, logs, maski
 from aktenwerk.plans import corpus
 from aktenwerk.plans.corpus import SQL_LETTERS, SQL_LINES, SQL_STATUTES, table
 from aktenwerk.plans.letters import _cited, _resolutions, _rounded, _verified
+from aktenwerk.sources import custody_store
 from aktenwerk.sources import letters as letter_source
 from aktenwerk.sources import statutes as statute_source
 from aktenwerk.streaming import jobs
@@ -168,7 +169,7 @@ def chn6_deliver(s: SparkSession, d: str) -> DataFrame:
     n = corpus.arguments(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("entries"))
     b = table(s, d, "orders").select(F.col("o_orderkey").alias("document_id")).join(n, "document_id", "left").fillna(0, ["entries"])
     e = _stages(s, d).select("*", F.col("document_id").alias("chain_id"), F.lit("{}").alias("payload"), F.lit(1).alias("serialization_version"))
-    return custody.deliver(b, e, new_path(s, "custody"), new_path(s, "briefings"))
+    return custody_store.deliver(b, e, new_path(s, "custody"), new_path(s, "briefings"))
 
 
 # --- logs and metrics ---------------------------------------------------------------------------------------------
@@ -671,11 +672,68 @@ SELECT count(*) > 0 AS refused, (SELECT count(*) FROM numbered) AS stored_events
 def chn6_refused_delivery(s: SparkSession, d: str) -> DataFrame:
     """A delivery to a tampered store is refused, and the store is as long afterwards as before."""
     store = new_path(s, "tampered")
-    _tampered(s, d).write.parquet(store)
+    _tampered(s, d).write.parquet(f"{store}/v=0")
     event = corpus.custody(s, d).withColumn("event_id", F.concat(F.lit("new-"), "event_id"))
     try:
-        custody.deliver(event.select("document_id"), event, store, new_path(s, "out"))
+        custody_store.deliver(event.select("document_id"), event, store, new_path(s, "out"))
         refused = False
     except ValueError:
         refused = True
     return s.read.parquet(store).agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("stored_events"))
+
+
+def _refused(append, *args) -> bool:
+    try:
+        append(*args)
+    except ValueError:
+        return True
+    return False
+
+
+_SQL_STORED = f"""WITH RECURSIVE {SQL_CHAIN} SELECT user_id::VARCHAR AS chain_id, true AS refused, count(*) AS stored_events, arg_max(h, seq) AS event_hash FROM chain WHERE event_id IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-16') GROUP BY 1"""
+
+
+@query(_SQL_STORED)
+def chn6_broken_batch(s: SparkSession, d: str) -> DataFrame:
+    """The first half of January is stored; a batch of the rest in which some events have an unknown version is refused as a
+    whole, and store and heads are as before."""
+    e, store = corpus.custody(s, d), new_path(s, "custody")
+    custody_store.append(e.where("ts < timestamp'2024-01-16'"), store)
+    wrong = F.when(F.col("event_id").cast("long") % 97 == 3, 99).otherwise(F.col("serialization_version"))
+    refused = _refused(custody_store.append, e.where("ts >= timestamp'2024-01-16'").withColumn("serialization_version", wrong), store)
+    n = custody_store.read(s, store).groupBy("chain_id").agg(F.count(F.lit(1)).alias("stored_events"))
+    return custody_store.heads(s, store).join(n, "chain_id").select("chain_id", F.lit(refused).alias("refused"), "stored_events", "event_hash")
+
+
+@query(_SQL_STORED)
+def chn6_two_writers(s: SparkSession, d: str) -> DataFrame:
+    """Two writers stage from one version: the first to publish wins, the other is refused and no chain is forked."""
+    e, store = corpus.custody(s, d), new_path(s, "custody")
+    custody_store.append(e.where("ts < timestamp'2024-01-09'"), store)
+    one = custody_store.stage(e.where("ts < timestamp'2024-01-16'"), store)
+    two = custody_store.stage(e.where("ts >= timestamp'2024-01-16'"), store)
+    custody_store.publish(s, one)
+    refused = _refused(custody_store.publish, s, two)
+    n = custody_store.read(s, store).groupBy("chain_id").agg(F.count(F.lit(1)).alias("stored_events"))
+    return custody_store.heads(s, store).join(n, "chain_id").select("chain_id", F.lit(refused).alias("refused"), "stored_events", "event_hash")
+
+
+@query(f"WITH RECURSIVE {SQL_CHAIN} SELECT user_id::VARCHAR AS chain_id, count(*) AS stored_events, max(seq) AS sequence_number, arg_max(h, seq) AS event_hash FROM chain GROUP BY 1")
+def chn4_head_table(s: SparkSession, d: str) -> DataFrame:
+    """Four appends of eight days each; every one reads the heads and the segments that hold the tails of its chains."""
+    e, store = corpus.custody(s, d), new_path(s, "custody")
+    for part in range(4):
+        custody_store.append(e.where(F.floor((F.dayofmonth("ts") - 1) / 8) == part), store, 8)
+    n = custody_store.read(s, store).groupBy("chain_id").agg(F.count(F.lit(1)).alias("stored_events"))
+    return custody_store.heads(s, store).join(n, "chain_id").select("chain_id", "stored_events", "sequence_number", "event_hash")
+
+
+@query("""WITH h AS (SELECT md5(doc_id::VARCHAR) AS h FROM documents) SELECT left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS document_id, 2 AS accesses FROM h""")
+def src6_repeated_access(s: SparkSession, d: str) -> DataFrame:
+    """All documents asked for twice at one time, the second request repeated after a failure: two access events each."""
+    docs = table(s, d, "documents").select(_uuid(F.col("doc_id")).alias("document_id"), "text")
+    store, trail = new_path(s, "raw"), new_path(s, "trail")
+    letter_source.write_raw(docs, store)
+    for request in ("first", "second", "second"):
+        letter_source.read_raw(s, docs, store, trail, F.lit("2024-01-01").cast("timestamp"), request=request)
+    return custody_store.read(s, trail).groupBy("document_id").agg(F.count(F.lit(1)).alias("accesses"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aktenwerk.functions.fixed import MAX_CHARS
-from aktenwerk.operators.custody import append_chain, assert_appendable, chain_head
+from aktenwerk.sources import custody_store
 
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -29,31 +31,30 @@ def write_raw(docs: DataFrame, path: str, buckets: int = 64) -> None:
     docs.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def read_raw(spark: SparkSession, ids: DataFrame, store: str, log: str, at: Column, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+ACCESS = "rohdokument_zugriff"
+
+
+def read_raw(spark: SparkSession, ids: DataFrame, store: str, log: str, at: Column, buckets: int = 64, request: str | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-6: stored documents of ``ids(document_id)`` and the rejected ids; every access is in the log before content is returned.
 
-    A log whose chains don't verify is refused before anything is added or read."""
+    Each access is an event of its own: ``request`` names it (a new name for each call by default), so two reads at
+    one time give two events, and a retry under the same name gives one. A log whose tails don't verify is refused before
+    anything is added or read."""
     asked = ids.select("document_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
     stored = spark.read.parquet(store)
     known = asked.where(F.col("document_id").rlike(UUID)).join(stored.select("bucket", "document_id"), ["bucket", "document_id"], "left_semi")
     reason = F.when(~F.coalesce(F.col("document_id").rlike(UUID), F.lit(False)), "not_a_uuid").otherwise("unknown")
     rejected = asked.join(known.select("document_id"), "document_id", "left_anti").select("document_id", reason.alias("reason"))
+    name = F.lit(request or uuid.uuid4().hex)
     events = known.select(
-        F.sha2(F.concat_ws("|", "document_id", F.lit("rohdokument_zugriff"), at.cast("string")), 256).alias("event_id"), F.lit("rohdokument_zugriff").alias("event_type"), "document_id", at.alias("ts"),
+        F.sha2(F.concat_ws("|", "document_id", F.lit(ACCESS), at.cast("string"), name), 256).alias("event_id"), F.lit(ACCESS).alias("event_type"), "document_id", at.alias("ts"),
         F.to_json(F.struct("document_id")).alias("payload"), F.lit(1).alias("serialization_version"), F.col("document_id").alias("chain_id"),
     )
-    try:
-        old = spark.read.parquet(log)
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        assert_appendable(old)
-    chained = append_chain(events if old is None else events.join(old.select("event_id"), "event_id", "left_anti"), None if old is None else chain_head(old))
-    chained.withColumn("idx", F.col("sequence_number")).write.mode("append").parquet(log)
-    trail = spark.read.parquet(log).where("event_type = 'rohdokument_zugriff'").select("document_id").distinct()
-    return stored.join(known.select("document_id"), "document_id", "left_semi").join(trail, "document_id", "left_semi").drop("bucket"), rejected
+    trail = custody_store.append(events, log)
+    if trail is None:  # no id is known
+        return stored.limit(0).drop("bucket"), rejected
+    told = trail.join(events.select("event_id"), "event_id", "left_semi").select("document_id").distinct()
+    return stored.join(known.select("document_id"), "document_id", "left_semi").join(told, "document_id", "left_semi").drop("bucket"), rejected
 
 
 AUDIT = "event_id string, event_type string, document_id string, ts timestamp, payload string, serialization_version int, sequence_number long, event_hash string, chain_id string, idx long"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aktenwerk.operators import custody as c
 from aktenwerk.operators import gates
+from aktenwerk.sources import custody_store as store_of
 
 SCHEMA = "event_id string, event_type string, document_id string, chain_id string, ts timestamp, payload string, serialization_version int"
 
@@ -96,12 +97,12 @@ def test_delivery_is_fail_closed_and_can_be_repeated(spark, tmp_path):
     b = spark.createDataFrame([("a0000",), ("a0001",), ("a9999",)], "document_id string")
     store, out = f"file://{tmp_path}/store", f"file://{tmp_path}/out"
     for _ in range(2):
-        got = c.deliver(b, e, store, out)
+        got = store_of.deliver(b, e, store, out)
         assert sorted(r["document_id"] for r in got.collect()) == ["a0000", "a0001"]
     assert spark.read.parquet(store).count() == 3
-    spark.read.parquet(store).withColumn("payload", F.lit("{}")).write.parquet(f"file://{tmp_path}/bad")
+    spark.read.parquet(store).withColumn("payload", F.lit("{}")).drop("v").write.parquet(f"file://{tmp_path}/bad/v=0")
     with pytest.raises(ValueError, match="verify"):
-        c.deliver(b, events(spark, 1, "z"), f"file://{tmp_path}/bad", f"file://{tmp_path}/none")
+        store_of.deliver(b, events(spark, 4), f"file://{tmp_path}/bad", f"file://{tmp_path}/none")
     assert not (tmp_path / "none").exists()
 
 
@@ -129,8 +130,71 @@ def test_payload_gate(spark):
 def test_delivery_refuses_a_tampered_store_before_it_appends(spark, tmp_path):
     store, out = f"file://{tmp_path}/store", f"file://{tmp_path}/out"
     bad = stored(c.append_chain(events(spark, 5))).withColumn("payload", F.when(F.col("idx") == 4, "{}").otherwise(F.col("payload")))
-    bad.write.parquet(store)
+    bad.write.parquet(f"{store}/v=0")
     more = events(spark, 7).withColumn("event_id", F.concat(F.lit("new"), "event_id"))
     with pytest.raises(ValueError, match="nothing was appended"):
-        c.deliver(spark.createDataFrame([("a0000",)], "document_id string"), more, store, out)
+        store_of.deliver(spark.createDataFrame([("a0000",)], "document_id string"), more, store, out)
     assert spark.read.parquet(store).count() == 5 and not (tmp_path / "out").exists()
+
+
+def test_appends_read_heads_and_tails_only(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    e = events(spark, 40).unionByName(events(spark, 40, "b")).cache()
+    for i in range(8):  # chain b gets no events after the second append
+        store_of.append(e.where(f"substr(event_id, 2) between {i * 5} and {i * 5 + 4} and (chain_id = 'a' or {i} < 2)"), store, 6)
+    assert store_of.versions(spark, store) == list(range(8))
+    h = {r["chain_id"]: r for r in store_of.heads(spark, store, 6).collect()}
+    assert (h["a"]["sequence_number"], h["b"]["sequence_number"]) == (39, 9)
+    assert [x["v"] for x in h["a"]["recent"]] == [6, 7] and [x["v"] for x in h["b"]["recent"]] == [0, 1]
+    want = {r["event_id"]: r["event_hash"] for r in c.append_chain(e.where("chain_id = 'a' or event_id < 'b0010'")).collect()}
+    assert {r["event_id"]: r["event_hash"] for r in spark.read.parquet(store).collect()} == want
+    assert {f.split("/v=")[1][0] for f in store_of.read(spark, store, [6, 7]).inputFiles()} == {"6", "7"}
+    assert c.verify_chain(spark.read.parquet(store)).where("not ok").count() == 0
+
+
+def test_heads_are_computed_where_a_writer_ended_early(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    e = events(spark, 9)
+    store_of.append(e.where("event_id < 'a0003'"), store)
+    staged = store_of.stage(e.where("event_id < 'a0006'"), store)
+    assert store_of._rename(spark, staged.path, f"{store}/v=1")  # and no heads
+    assert store_of.heads(spark, store).first()["sequence_number"] == 5
+    store_of.append(e, store)
+    assert spark.read.parquet(store).count() == 9 and c.verify_chain(spark.read.parquet(store)).first()["ok"]
+    assert store_of.append(e, store).count() == 9 and store_of.versions(spark, store) == [0, 1, 2]
+
+
+def test_head_and_store_must_agree(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    e = events(spark, 6)
+    store_of.append(e.where("event_id < 'a0003'"), store)
+    store_of.append(e.where("event_id < 'a0005'"), store)
+    import shutil
+
+    shutil.rmtree(tmp_path / "store" / "v=1")  # the last segment is lost, its heads aren't
+    with pytest.raises(ValueError, match="nothing was appended"):
+        store_of.append(e, store)
+    assert spark.read.parquet(store).count() == 3
+
+
+def test_concurrent_append_is_repeated_behind_the_other(spark, tmp_path, monkeypatch):
+    store = f"file://{tmp_path}/store"
+    e = events(spark, 6)
+    store_of.append(e.where("event_id < 'a0002'"), store)
+    real, calls = store_of.stage, []
+
+    def stage(events, where, k=256):
+        staged = real(events, where, k)
+        if not calls:  # another writer comes in between
+            calls.append(1)
+            store_of.publish(spark, real(e.where("event_id = 'a0002'"), where, k))
+        return staged
+
+    monkeypatch.setattr(store_of, "stage", stage)
+    got = store_of.append(e, store)
+    assert got.count() == 6 and c.verify_chain(got).first()["ok"] and store_of.versions(spark, store) == [0, 1, 2]
+    assert not [p for p in (tmp_path / "store" / "_staged").iterdir() if not p.name.startswith(".")]
+    late = store_of.Staged(store, 1, real(events(spark, 9), store).path, None, 256)
+    with pytest.raises(store_of.ConcurrentAppend):
+        store_of.publish(spark, late)
+    assert not store_of._rename(spark, f"{store}/v=1", f"{store}/v=2") and spark.read.parquet(store).count() == 6
