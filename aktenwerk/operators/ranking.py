@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aktenwerk.functions.shared import stored
+
 #: Okapi constants, the share of the mean that replaces a negative idf, and the fusion constant.
 K1, B, FLOOR, FUSION = 1.5, 0.75, 0.25, 60
 #: Rows of queries and of vectors that a matrix product takes at once.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Bytes of query vectors, and terms of queries, that one scan takes; scores that a task holds at once.
+QUERY_BYTES, QUERY_ENTRIES, CELLS = 256 << 20, 2_000_000, 1 << 22
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -23,24 +32,106 @@ def bm25(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
     Words are split at white space and lower-cased. A term counts as often as the query has it. The negative-idf
     floor needs the mean over all words, so every word is counted once a document, summed in the tasks of the scan before
-    anything is shuffled; term frequencies leave the scan for words of queries only. Scores are rounded, so that sums in
-    any order rank alike.
+    anything is shuffled. Scores are rounded, so that sums in any order rank alike.
+
+    The queries are a stated set; their weighted terms go to the tasks, up to ``QUERY_ENTRIES`` at a time. A task makes postings
+    of these terms block by block of its documents; what a term's largest impact in the block adds at most bounds each
+    query's scores there, and queries whose bound is below their ``n``-th best so far skip the block. Only the ``n`` best of
+    each query leave a task, so no pair of query and document is ever shuffled.
     """
+    spark = corpus.sparkSession
     words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
     q = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     d = corpus.select("item_id", words("text").alias("w")).withColumn("size", F.size("w"))
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean_size"))
-    wanted = q.select("term").distinct()
-    tf = d.select("item_id", "size", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("item_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = df.withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg((FLOOR * F.avg("idf")).alias("floor"))
-    idf = idf.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean))
+    floor = idf.agg((FLOOR * F.avg("idf")).alias("floor"))
+    idf = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
     idf = idf.select("term", "mean_size", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hit = tf.join(q, "term").join(idf, "term")
-    norm = K1 * (1 - B + B * F.col("size") / F.col("mean_size"))
-    score = F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    return ranked(hit.groupBy("query_id", "item_id").agg(F.round(score, 9).alias("score")), n)
+    weights = stored(q.join(idf, "term").select("query_id", "term", "mean_size", (F.col("times") * F.col("idf")).alias("weight")), "weights")
+    docs = d.select("item_id", F.coalesce("w", F.array().cast("array<string>")).alias("w"))
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["item_id"]
+    n_parts = max(1, -(-weights.count() // QUERY_ENTRIES))
+    out = None
+    for number in range(n_parts):
+        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == number).toArrow()
+        part = docs.mapInArrow(_scorer(spark.sparkContext.broadcast(_entries(rows)), n), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, n)
+
+
+def _entries(rows: pa.Table) -> tuple:
+    """Query ids, terms, and by term: the queries that have it and their weights; the mean size of documents."""
+    ids, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    of, term = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    mean = rows.column("mean_size")[0].as_py() if rows.num_rows else 1.0
+    return ids.dictionary, terms.dictionary, of[order], term[order], rows.column("weight").to_numpy()[order], mean
+
+
+def _scorer(shared: Broadcast, n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, of, term, weight, mean = shared.value
+        best, kind = _none(len(ids)), None
+        for b in batches:
+            lists, kind = b.column("w"), b.schema.field("item_id").type
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = (np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms)) + found)[found >= 0]
+            code, tf = np.unique(code, return_counts=True)
+            doc, t = np.divmod(code, max(1, len(terms)))
+            impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+            items = np.asarray(b.column("item_id").to_pylist())
+            step = max(1, CELLS // max(1, len(ids)))
+            for first in range(0, len(items), step):
+                at = slice(*np.searchsorted(doc, [first, first + step]))
+                best = _in_block(best, items[first : first + step], doc[at] - first, t[at], impact[at], (of, term, weight, len(terms)), n)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), pa.array(best[2].tolist(), kind), pa.array(best[1])], ["query_id", "item_id", "score"])
+
+    return run
+
+
+def _in_block(best: tuple, items: np.ndarray, doc: np.ndarray, t: np.ndarray, impact: np.ndarray, entries: tuple, n: int) -> tuple:
+    """The best of each query when the postings ``(doc, t, impact)`` of a block of documents have been seen too."""
+    of, term, weight, n_terms = entries
+    n_queries, least = len(best[3]), best[3]
+    top = np.zeros(n_terms)
+    np.maximum.at(top, t, impact)
+    bound = np.bincount(of, np.maximum(weight, 0) * top[term], n_queries)
+    live = (bound >= least - 1e-8)[of]
+    if not live.any():
+        return best
+    of, term, weight = of[live], term[live], weight[live]
+    starts = np.searchsorted(term, np.arange(n_terms + 1))
+    m = starts[t + 1] - starts[t]
+    e = np.repeat(starts[t] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+    cell = of[e] * len(items) + np.repeat(doc, m)
+    scores = np.bincount(cell, weight[e] * np.repeat(impact, m), n_queries * len(items))
+    scores = np.where(np.bincount(cell, minlength=len(scores)) > 0, np.round(scores, 9), -np.inf)
+    return _merged(best, scores.reshape(n_queries, len(items)), items, n)
+
+
+def _none(n_queries: int) -> tuple:
+    """No results yet: queries, scores and items of the best so far, and the k-th score of each query."""
+    return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.full(n_queries, -np.inf)
+
+
+def _merged(best: tuple, s: np.ndarray, items: np.ndarray, k: int) -> tuple:
+    """The ``k`` best of each query of what was best so far and the scores ``s`` (queries by items)."""
+    of, score, item, least = best
+    # all that tie with the k-th stay until ties are broken by id
+    bar = np.maximum(least, np.partition(s, len(items) - k, axis=1)[:, -k]) if len(items) > k else least
+    q, j = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
+    of, score = np.concatenate([of, q]), np.concatenate([score, s[q, j]])
+    item = np.concatenate([item, items[j]]) if len(item) else items[j]
+    order = np.lexsort((item, -score, of))
+    of, score, item = of[order], score[order], item[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    last = place == k - 1
+    least[of[last]] = score[last]
+    return of[place < k], score[place < k], item[place < k], least
 
 
 def normalised(vector: str) -> Column:
@@ -54,48 +145,44 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, same_label: boo
     """TOP-1: the ``k`` best items of each partition for every query, then the ``k`` best overall.
 
     ``vectors(item_id, embedding[, label])``, ``queries(query_id, embedding[, label])``, both normalised in the job. The
-    queries are a stated set; they are sent in blocks of ``QUERY_BLOCK``, and each task multiplies blocks of matrices and
-    keeps ``k`` rows a query, so no pair of rows is ever emitted.
+    queries are a stated set; one scan takes all blocks of ``QUERY_BLOCK`` queries that fit into ``QUERY_BYTES``, and each task multiplies
+    blocks of matrices and keeps ``k`` rows a query, so no pair of rows is ever emitted.
     """
     spark = vectors.sparkSession
     names = ["query_id", "label"] if same_label else ["query_id"]
     q = queries.select(*names, normalised("embedding").alias("v"))
     v = vectors.select("item_id", *(["label"] if same_label else []), normalised("embedding").alias("v"))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    known = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n_blocks = max(1, -(-known[0] // QUERY_BLOCK))
+    at_once = max(1, QUERY_BYTES // (8 * QUERY_BLOCK * max(1, known[1] or 1)))
+    schema = f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double"
+
+    def block(number: int):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number).toPandas()
+        return spark.sparkContext.broadcast((rows["query_id"].to_numpy(), rows["label"].to_numpy() if same_label else None, np.array(rows["v"].tolist(), float).reshape(len(rows), -1)))
+
     out = None
-    for block in range(n_blocks):
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toPandas()
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), rows["label"].to_numpy() if same_label else None, np.array(rows["v"].tolist(), float).reshape(len(rows), -1)))
+    for first in range(0, n_blocks, at_once):
+        shared = [block(k) for k in range(first, min(n_blocks, first + at_once))]
 
         def run(frames, shared=shared):
             import pandas as pd
 
-            ids, labels, m = shared.value
-            # the best so far: query, score, item; and the k-th score of each query
-            of, score, item = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-            least = np.full(len(ids), -np.inf)
+            best = [_none(len(x.value[0])) for x in shared]
             for f in frames:
                 for a in range(0, len(f), VECTOR_BLOCK):
                     part = f.iloc[a : a + VECTOR_BLOCK]
-                    items = part["item_id"].to_numpy()
-                    s = m @ np.array(part["v"].tolist(), float).T
-                    if labels is not None:
-                        s[labels[:, None] != part["label"].to_numpy()[None]] = -np.inf
-                    if len(items) > k:  # all that tie with the k-th stay until ties are broken by id
-                        own = np.maximum(least, np.partition(s, len(items) - k, axis=1)[:, -k])
-                    else:
-                        own = least
-                    q, j = np.nonzero((s >= own[:, None]) & np.isfinite(s))
-                    of, score, item = np.concatenate([of, q]), np.concatenate([score, s[q, j]]), np.concatenate([item, items[j]])
-                    order = np.lexsort((item, -score, of))
-                    of, score, item = of[order], score[order], item[order]
-                    place = np.arange(len(of)) - np.searchsorted(of, of)
-                    last = place == k - 1
-                    least[of[last]] = score[last]
-                    of, score, item = of[place < k], score[place < k], item[place < k]
-            yield pd.DataFrame({"query_id": ids[of], "item_id": item, "score": score})
-
-        part = v.mapInPandas(run, f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double")
+                    items, w = part["item_id"].to_numpy(), np.array(part["v"].tolist(), float)
+                    for i, x in enumerate(shared):
+                        if len(x.value[0]):
+                            scores = x.value[2] @ w.T
+                            if same_label:
+                                scores[x.value[1][:, None] != part["label"].to_numpy()[None]] = -np.inf
+                            best[i] = _merged(best[i], scores, items, k)
+            for (of, score, item, _), x in zip(best, shared, strict=True):
+                yield pd.DataFrame({"query_id": x.value[0][of], "item_id": item, "score": score})
+
+        part = v.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return ranked(out, k)
 
