@@ -85,33 +85,24 @@ def jon2_verify_quotes(s: SparkSession, d: str) -> DataFrame:
 SELECT doc_id AS document_id, item_id AS pos, (instr(n.t, b.t) - 1)::INT AS q_start FROM n JOIN b ON contains(n.t, b.t)""")
 def jon2_benchmark_quotes(s: SparkSession, d: str) -> DataFrame:
     """Benchmark items as quotes of the documents that hold them (white space tolerant), items of any length."""
-    from aktenwerk.functions.text import squeezed
-
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), squeezed(F.col("text")).alias("text"))
-    items = table(s, d, "benchmark").select(F.col("item_id").alias("pos"), squeezed(F.col("text")).alias("original_zitat"))
-    # words inside a quote have white space on both sides in a document too: at most eight of them, from the second on, are
-    # looked up by their hash; the candidates are verified
-    items = items.withColumn("w", F.split("original_zitat", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(8)))
-    keyed = items.where("n > 0").select("pos", "original_zitat", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("k"))
-    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # eight at most
-    words = F.split("text", " ")
-
-    def keys(n: int):
-        places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("k"))))
-
-    likely = None
-    if lengths:
-        runs = docs.select("document_id", words.alias("w")).select("document_id", F.explode(F.concat(*map(keys, lengths))).alias("x")).select("document_id", "x.*")
-        likely = runs.join(keyed, ["n", "k"]).select("document_id", "pos", "original_zitat")
-    # items of one or two words may be parts of words at both ends: they are tried on every text, in blocks
-    short = items.where("n <= 0").select("pos", "original_zitat")
-    for k in range(blocks := -(-short.count() // 1000)):
-        block = F.broadcast(short.where(F.pmod(F.xxhash64("pos", "original_zitat"), F.lit(blocks)) == k))  # about 1000 of them
-        found = docs.join(block, F.contains("text", "original_zitat")).select("document_id", "pos", "original_zitat")
-        likely = found if likely is None else likely.unionByName(found)
-    likely = items.limit(0).select(F.lit(0).cast("long").alias("document_id"), "pos", "original_zitat") if likely is None else likely
-    return citations.verify_quotes(likely.distinct(), docs, tolerant=True).where("argument_verified").select("document_id", "pos", "q_start")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("original_zitat"))
+    return citations.find_quotes(items, docs).select("document_id", "pos", "q_start")
+
+
+_SQL_SHORT = """w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark
+), i AS (SELECT item_id * 10 AS pos, substr(w[3], 2, 4) AS t FROM w UNION ALL SELECT item_id * 10 + 1, right(w[4], 2) || ' ' || left(w[5], 3) FROM w UNION ALL SELECT item_id * 10 + 2, w[6] FROM w UNION ALL SELECT item_id * 10 + 3, 'q' || left(w[7], 1) FROM w)"""
+
+
+@query(f"""WITH {_SQL_SHORT}, n AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id AS document_id, pos, (instr(n.t, i.t) - 1)::INT AS q_start FROM n JOIN i ON contains(n.t, i.t) WHERE i.t <> ''""")
+def jon2_short_quotes(s: SparkSession, d: str) -> DataFrame:
+    """Parts of a word, ends of two neighbouring words, whole words and pairs of letters as quotes of all documents."""
+    w = table(s, d, "benchmark").select("item_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
+    at = lambda k: F.get("w", F.lit(k - 1))
+    quotes = (F.substring(at(3), 2, 4), F.concat(F.right(at(4), F.lit(2)), F.lit(" "), F.left(at(5), F.lit(3))), at(6), F.concat(F.lit("q"), F.left(at(7), F.lit(1))))
+    items = w.select(F.explode(F.array(*[F.struct((F.col("item_id") * 10 + k).alias("pos"), x.alias("original_zitat")) for k, x in enumerate(quotes)])).alias("x")).select("x.*")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return citations.find_quotes(items, docs).select("document_id", "pos", "q_start")
 
 
 @query(f"""WITH {SQL_LINES} SELECT document_id, ord AS pos, CASE WHEN NOT quoted THEN '' WHEN sec2 IS NULL OR linked = prim THEN prim ELSE prim || '; ' || linked END AS norms FROM lines""")
