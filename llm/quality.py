@@ -233,9 +233,13 @@ def _picker(pool: DataFrame) -> Callable[..., list[Picks]]:
                 yield from held.combine_chunks().to_batches()
 
         def merge(batches):
-            held = [b for b in batches if b.num_rows]
-            if held:
-                yield from least(pa.Table.from_batches(held), share).combine_chunks().to_batches()
+            held = None
+            for b in batches:  # a task holds a batch and the rows that are the surest so far, however many tasks have sent some
+                if b.num_rows:
+                    new = pa.Table.from_batches([b])
+                    held = least(new if held is None else pa.concat_tables([held, new]), share)
+            if held is not None:
+                yield from held.combine_chunks().to_batches()
 
         rows = pool.mapInArrow(best, kind).repartition(MERGES).mapInArrow(merge, kind).toArrow()
         shared.destroy()

@@ -623,7 +623,6 @@ def test_network_learns_from_every_training_document(spark, monkeypatch):
     texts = [long] * 8 + ["a c e g b d f h"] * 4
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
     d = docs_frame(spark, texts, ids=ids)
-    monkeypatch.setattr(lm_score, "MODEL_BYTES", 1000)
     monkeypatch.setattr(lm_score, "RATE", 2e-2)
     learnt, real = [], lm_score.learn_all
     monkeypatch.setattr(lm_score, "learn_all", lambda *a: learnt.append(real(*a)))
@@ -825,6 +824,164 @@ def test_quality(spark):
     assert ((both > 0.5) == (y > 0.5)).mean() > 0.88
 
 
+# --- the classifiers against brute force -----------------------------------------------------------------------------------
+
+
+def brute_text_features(text):
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    low = [x.lower() for x in w]
+    size, n = max(1, len(raw)), max(1, len(w))
+    near = lambda k: sum(low[i] == low[i - k] for i in range(k, len(low))) / n
+    double = sum(len(x) > 1 and x[-1] == x[-2] and x[-1] < 128 and not 97 <= x[-1] <= 122 for x in w) / n
+    return [
+        sum(65 <= c <= 90 for c in raw) / size, sum(48 <= c <= 57 for c in raw) / size, raw.count(b"!") / size, sum(c in b"#$%&*@|<>^~=+_\\{}[]" for c in raw) / size,
+        raw.count(b"|") / size, (raw.count(b".") + raw.count(b",")) / size, raw.count(b"\n") / size, near(1), near(2), near(3), double,
+        sum(x[-1] in b"#$%&*@|!" for x in w) / n, sum(65 <= x[0] <= 90 for x in w) / n, min(1, len(raw) / n / 20), math.log1p(len(w)) / 10, float(len(w) < 20),
+    ]
+
+
+def quality_rows():
+    r = random.Random(12)
+    v = vocabulary(200, 12)
+    good = lambda n: " ".join(r.choice(v).capitalize() if k % 9 == 0 else r.choice(v) for k in range(n)) + "."
+    poor = lambda n: " ".join(r.choice(("BUY!!", "#1", "$$$", "now now", r.choice(v))) for _ in range(n))
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        text = (poor if bad else good)(r.randint(5, 60))
+        rows.append((i, text, r.choice(("en", "de", None)), f"s{r.choice((7, 8)) if bad else r.choice((1, 2, 3, None))}", r.choice((len(text), None))))
+    rows += [rows[4], rows[5], (5, "another text", "en", "s1", 3), (None, "no id", "en", None, 4), (2000, None, None, None, None), (2001, "", "en", "s1", 0), (2002, "W " * 20_000, "en", "s1", 40_000)]
+    labels = [(i, 0 if i % 3 == 0 else 1) for i in range(0, 300, 2)] + [(4, 1), (10, 0), (None, 1), (12, None), (9999, 1)]
+    return rows, labels
+
+
+def test_quality_is_brute_force_co_training(spark):
+    """Features, the pools of every round, and scores by plain loops over the collected table give the distributed model."""
+    from llm import quality as q
+
+    rows, labels = quality_rows()
+    d = spark.createDataFrame(rows, DOCS).withColumn("x", F.lit("clash")).withColumn("y", F.lit(1)).repartition(7)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    truth = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            truth[i] = min(truth.get(i, 1), y)
+    # rows by the hash that names them, with plain features of the text and the metadata's slots
+    named = d.select("doc_id", "text", F.xxhash64("doc_id", "text", "source", "lang", "n_chars").alias("row"), *q._metadata(d)).collect()
+
+    def meta(x):
+        m = [0.0] * (2 * q.BUCKETS + 2)
+        m[x["m_source"]] = m[q.BUCKETS + x["m_lang"]] = 1.0
+        m[-2], m[-1] = x["m_length"] / 10, float(x["m_length"] < 0)
+        return m
+
+    every = {x["row"]: (x["doc_id"], np.array(brute_text_features(x["text"])), np.array(meta(x))) for x in named}
+    known = sorted(k for k, (i, _, _) in every.items() if i in truth)
+    pool = [k for k, (i, _, _) in every.items() if i not in truth]
+    get = lambda keys, at: np.array([every[k][at] for k in keys])
+
+    def pick(views, share, taken):
+        out = []
+        for teacher, view in enumerate(views):
+            p = dict(zip(pool, q.sigmoid(view.logit(get(pool, 1 + teacher))), strict=True))
+            names, ys = [], []
+            for y, n in ((1, int(q.GAIN * share)), (0, int(q.GAIN * (1 - share)))):
+                sure = sorted((-(p[k] if y else 1 - p[k]), k) for k in pool if (p[k] if y else 1 - p[k]) >= q.SURE and k not in taken[teacher])[:n]
+                names += [k for _, k in sure]
+                ys += [float(y)] * len(sure)
+            out.append((np.array(names, np.int64), get(names, 1).reshape(-1, q.TEXT_FEATURES), get(names, 2).reshape(-1, 2 * q.BUCKETS + 2), np.array(ys)))
+        return out
+
+    want = q._co_train(get(known, 1), get(known, 2), np.array([float(truth[every[k][0]]) for k in known]), pick)
+    model = q.train(d, lab)
+    for a, b in ((model.text, want.text), (model.meta, want.meta)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6) and np.isclose(a.slope, b.slope, atol=1e-6)
+    got = q.score(d, model).collect()
+    assert len(got) == len(rows)
+    scored = sorted((repr(x["doc_id"]), round(x["score"], 6)) for x in got)
+    assert scored == sorted((repr(x["doc_id"]), round(float(want.parts(get([x["row"]], 1), get([x["row"]], 2))[2][0]), 6)) for x in named)
+
+
+def test_toxicity_is_brute_force_weak_supervision(spark):
+    """Mined features, votes of every training row, the label model and scores by plain loops give the distributed model."""
+    from llm import kernel
+    from llm import toxicity as t
+
+    r = random.Random(13)
+    v, bad = vocabulary(300, 13), ["zorniger", "zornige", "hassrede", "hass", "widerlich"]
+    rows, labels = [], []
+    for i in range(700):
+        toxic = i % 4 == 0
+        w = [r.choice(v) for _ in range(r.randint(5, 50))] + ([r.choice(bad) for _ in range(r.randint(1, 6))] + (["!!!"] if i % 8 == 0 else []) if toxic else [])
+        r.shuffle(w)
+        rows.append((i, " ".join(x.upper() if toxic and r.random() < 0.3 else x for x in w), "en", "s", 0))
+        if i % 2 == 0:
+            labels.append((i, int(toxic)))
+    rows += [rows[8], rows[9], (900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, "hass hass", "en", "s", 0), (902, "Hassrede " * 5000, "en", "s", 0)]
+    labels += [(8, 0), (None, 1), (10, None)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("toxic", F.lit("clash")).repartition(5)
+    model = t.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def features(text):
+        w = words(text)
+        return {("w", x) for x in w} | {(n, x[:n]) for x in w for n in t.BEGINNINGS if len(x) >= n}
+
+    truth = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            truth[i] = max(truth.get(i, 0), y)
+    known = sorted({(i, x or "") for i, x, *_ in rows if i in truth})
+    a, b = Counter(), Counter()
+    for i, x in known:
+        (a if truth[i] else b).update(features(x))
+    share = sum(truth[i] for i, _ in known) / len(known)
+    mined = set()
+    for f, n_bad in a.items():
+        n = n_bad + b[f]
+        ratio = n_bad * math.log(n_bad / (n * share)) + (b[f] * math.log(b[f] / (n * (1 - share))) if b[f] else 0)
+        if n_bad >= t.LEAST and ratio >= t.RATIO and n_bad >= t.SHARE * n:
+            mined.add(f)
+
+    def hashed(f):
+        w = next(kernel.words(pa.array([f[1].decode()])))
+        return int(w.hashes[0]) if f[0] == "w" else int(w.prefix_hashes(f[0])[0][0])
+
+    of = {f: hashed(f) for f in mined}
+    assert mined and set(model.lexicon.hashes.tolist()) == set(of.values())
+    voter = dict(zip(model.lexicon.hashes.tolist(), model.lexicon.voter.tolist(), strict=True))
+    weight = dict(zip(model.lexicon.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def hits(text):
+        out = []
+        for x in words(text):
+            out += [of[f] for f in [("w", x), *((n, x[:n]) for n in t.BEGINNINGS if len(x) >= n)] if f in of]
+        return out
+
+    def brute_votes(text):
+        raw, w, count = (text or "").encode(), words(text), Counter(voter[h] for h in hits(text))
+        size = max(1, len(raw))
+        patterns = [sum(65 <= c <= 90 for c in raw) / size, raw.count(b"!") / size, sum(c in b"#$%&*@|" for c in raw) / size, sum(48 <= c <= 57 for c in raw) / size, sum(w[k] == w[k - 1] for k in range(1, len(w))) / max(1, len(w))]
+        return [*(count[k] >= 1 for k in range(t.LEXICONS)), *(count[k] >= 3 for k in range(t.LEXICONS)), *(p > x for p, x in zip(patterns, t.PATTERN_LIMITS, strict=True))]
+
+    chunks = list(kernel.words(pa.array([x for _, x, *_ in rows])))
+    assert np.concatenate([t.votes(model.lexicon, w) for w in chunks]).tolist() == [brute_votes(x) for _, x, *_ in rows]
+    # the label model over rows is the one over counted patterns
+    v_rows = np.array([brute_votes(x) for _, x, *_ in rows])
+    seen, count = t.patterns(d.select(F.coalesce("text", F.lit("")).alias("text")), model.lexicon)
+    prior = (sum(truth[i] for i, _ in known) + 0.5) / (len(known) + 1)
+    p_rows, p_seen = t.label_model(v_rows, prior)[0], t.label_model(seen, prior, count=count)[0]
+    place = {tuple(map(int, x)): k for k, x in enumerate(seen)}
+    assert np.allclose(p_rows, [p_seen[place[tuple(map(int, x))]] for x in v_rows], atol=1e-6)
+    # the regression fits the posteriors of the labelled rows
+    got = t.score(d, model).collect()
+    want = sorted((repr(i), round(1 / (1 + math.exp(-(model.intercept + sum(weight[h] for h in set(hits(x)))))), 9)) for i, x, *_ in rows)
+    assert sorted((repr(x["doc_id"]), round(x["score"], 9)) for x in got) == want
+    by = {(i, x or ""): p for (i, x, *_), p in zip(rows, p_rows, strict=True)}
+    fitted = {repr(x["doc_id"]): x["score"] for x in got}
+    assert np.mean([abs(fitted[repr(i)] - by[i, x]) for i, x in known]) < 0.05
+
+
 # --- interleaved shards ------------------------------------------------------------------------------------------------
 
 
