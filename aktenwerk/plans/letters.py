@@ -32,10 +32,15 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
     return citations.verify_quotes(corpus.arguments(s, d), corpus.letters(s, d))
 
 
-def _resolutions(s: SparkSession, d: str) -> DataFrame:
+def _dossiers(s: SparkSession, d: str) -> DataFrame:
+    """Letters with their citations and verified arguments, written once for all branches of a query."""
+    return stored(citations.dossiers(corpus.letters(s, d), corpus.arguments(s, d)).drop("text"), "dossiers")
+
+
+def _resolutions(s: SparkSession, d: str, argued: DataFrame | None = None) -> DataFrame:
     """Resolutions of the citations assigned to each argument, ``(document_id, pos, ord, canonical, ...)``."""
-    norms = citations.assign_norms(_verified(s, d), _cited(s, d).select("document_id", "ord", "canonical", "start"))
-    one = norms.select("document_id", "pos", F.posexplode("norms").alias("ord", "canonical"))
+    argued = citations.argued_in(_dossiers(s, d)) if argued is None else argued
+    one = argued.select("document_id", "pos", F.posexplode("norms").alias("ord", "canonical"))
     return citations.resolve(one, corpus.statutes(s, d))
 
 
@@ -107,6 +112,13 @@ def jon2_short_quotes(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SQL_LINES} SELECT document_id, ord AS pos, CASE WHEN NOT quoted THEN '' WHEN sec2 IS NULL OR linked = prim THEN prim ELSE prim || '; ' || linked END AS norms FROM lines""")
 def jon3_assign_norms(s: SparkSession, d: str) -> DataFrame:
+    whole = citations.dossiers(corpus.letters(s, d), corpus.arguments(s, d))
+    return citations.argued_in(whole).select("document_id", "pos", F.array_join("norms", "; ").alias("norms"))
+
+
+@query(SQL["jon3_assign_norms"])
+def jon3_range_join(s: SparkSession, d: str) -> DataFrame:
+    """The same from separate tables of arguments and citations, joined by document and position."""
     return citations.assign_norms(_verified(s, d), _cited(s, d)).select("document_id", "pos", F.array_join("norms", "; ").alias("norms"))
 
 
@@ -234,7 +246,8 @@ _SQL_STATUS = f"""{SQL_LETTERS}, {SQL_STATUTES}, status AS (
 
 @query(f"""WITH {_SQL_STATUS} SELECT document_id, ord AS pos, status, n_norms FROM status""")
 def agg4_statuses(s: SparkSession, d: str) -> DataFrame:
-    return briefing.statuses(_verified(s, d), _resolutions(s, d)).select("document_id", "pos", "status", F.size("norms").alias("n_norms"))
+    argued = citations.argued_in(_dossiers(s, d))
+    return briefing.statuses(argued.drop("norms"), _resolutions(s, d, argued)).select("document_id", "pos", "status", F.size("norms").alias("n_norms"))
 
 
 @query(f"""WITH {SQL_LETTERS} SELECT document_id, CASE WHEN document_id % 50 = 7 THEN 'pipeline_fehler' WHEN body <> '' THEN 'briefing_erstellt' ELSE 'kein_treffer' END AS terminal_status FROM letters""")
@@ -251,7 +264,9 @@ def jon5_with_catalog(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_SQL_STATUS}, e AS (SELECT document_id, max(typ) AS typ, string_agg(ord || ':' || status || ':' || n_norms, '|' ORDER BY ord) AS entries FROM status GROUP BY document_id)
 SELECT document_id, coalesce(typ, 'TYP_1') AS typ, coalesce(entries, '') AS entries FROM letters LEFT JOIN e USING (document_id)""")
 def jon11_assemble(s: SparkSession, d: str) -> DataFrame:
-    b = briefing.assemble(corpus.letters(s, d), _verified(s, d), _resolutions(s, d), statute_source.corpus_id(corpus.statutes(s, d)))
+    whole = _dossiers(s, d)
+    argued = citations.argued_in(whole)
+    b = briefing.assemble(whole, argued.drop("norms"), _resolutions(s, d, argued), statute_source.corpus_id(corpus.statutes(s, d)))
     line = F.transform("entries", lambda e: F.concat_ws(":", e["pos"].cast("string"), e["status"], F.size(e["norms"]).cast("string")))
     return b.select("document_id", "typ", F.array_join(line, "|").alias("entries"))
 
@@ -286,11 +301,11 @@ def agg8_outcome_counters(s: SparkSession, d: str) -> DataFrame:
 
 # Evaluation: expected are the lines' first citations (but for a fifth of the lines), found is what the text holds.
 def _sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs = corpus.letters(s, d).withColumn("doc_type", F.when(F.col("document_id") % 3 == 0, "typ1").otherwise("typ2"))
+    whole = _dossiers(s, d)
+    docs = whole.select("document_id", F.when(F.col("document_id") % 3 == 0, "typ1").otherwise("typ2").alias("doc_type"))
     expected = corpus.lines(s, d).where("part % 5 <> 0").select("document_id", F.col("primary").alias("item"))
-    cited = stored(_cited(s, d).select("document_id", "ord", "canonical", "start"), "cited")  # for both sets, so texts are matched once
-    found = cited.select("document_id", F.col("canonical").alias("item"))
-    assigned = citations.assign_norms(_verified(s, d), cited).select("document_id", F.explode("norms").alias("item"))
+    found = citations.cited_in(whole).select("document_id", F.col("canonical").alias("item"))
+    assigned = citations.argued_in(whole).select("document_id", F.explode("norms").alias("item"))
     return docs, expected, assigned, found
 
 

@@ -10,7 +10,7 @@ from aktenwerk.functions.shared import new_path
 from aktenwerk.operators import briefing, citations, custody, gates, logs, masking, metrics, ranking
 from aktenwerk.plans import corpus
 from aktenwerk.plans.corpus import SQL_LETTERS, SQL_LINES, SQL_STATUTES, table
-from aktenwerk.plans.letters import _cited, _resolutions, _rounded, _verified
+from aktenwerk.plans.letters import _cited, _dossiers, _resolutions, _rounded
 from aktenwerk.sources import custody_store
 from aktenwerk.sources import letters as letter_source
 from aktenwerk.sources import statutes as statute_source
@@ -537,7 +537,9 @@ def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_LETTERS}, k AS (SELECT document_id, count(*) AS n, max(typ) AS typ FROM lines GROUP BY 1) SELECT document_id, coalesce(typ, 'TYP_1') AS typ, coalesce(n, 0)::INT AS entries FROM letters LEFT JOIN k USING (document_id)""")
 def src8_write_briefings(s: SparkSession, d: str) -> DataFrame:
     """Nested briefings written as JSON and read back."""
-    b = briefing.assemble(corpus.letters(s, d), _verified(s, d), _resolutions(s, d), statute_source.corpus_id(corpus.statutes(s, d)))
+    whole = _dossiers(s, d)
+    argued = citations.argued_in(whole)
+    b = briefing.assemble(whole, argued.drop("norms"), _resolutions(s, d, argued), statute_source.corpus_id(corpus.statutes(s, d)))
     path = new_path(s, "briefings")
     letter_source.write_briefings(b, path)
     return s.read.schema(b.schema).json(path).select("document_id", "typ", F.size("entries").alias("entries"))
