@@ -4,10 +4,10 @@ A text is split into sections (at blank lines), paragraphs (lines) and leaves of
 is its MD5; a paragraph's node hashes its leaves, a section's node its paragraphs, and the root is the SHA-256 of the
 sections' nodes, each with the number of newlines that follow it, so equal roots are equal texts: roots test equality.
 
-The fingerprint is a sketch of the tree to find differences and likeness with: ``mark:section;section`` with ``,``
-between paragraphs and the first 8 hex digits of a paragraph's leaves in a row. Its mark hashes these shortened leaves
-alone, so equal texts have equal fingerprints, but texts that differ in the number of blank lines have them too; where
-roots differ, differing branches of the fingerprints locate the edit.
+The fingerprint is the root and a sketch of the tree to find differences and likeness with: ``root:section;section`` with
+``,`` between paragraphs and the first 8 hex digits of a paragraph's leaves in a row. Equal fingerprints are equal texts;
+where they differ, differing branches locate the edit (texts that differ in the number of blank lines alone differ in the
+root and in no branch).
 
 Edge cases: a null text counts as empty; an empty text has a fingerprint without leaves; a null id is lowest in the
 order of ids; rows that repeat an id are ordered by text; a single document is its own next document; other columns
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm.common import stored
+
 LEAF, DIGITS = 48, 8
 SECTION_END = "\n\n+"
 NO_ID = -(1 << 63)
@@ -53,13 +55,9 @@ def root(text: Column, of_tree: Column) -> Column:
     return F.sha2(F.array_join(F.zip_with(_nodes(of_tree), gaps, lambda n, g: F.concat(n, F.coalesce(g, F.lit("")))), ".").cast("binary"), 256)
 
 
-def mark(of_short: Column) -> Column:
-    return F.sha2(F.array_join(_nodes(of_short), "").cast("binary"), 256)
-
-
-def fingerprint(of_short: Column) -> Column:
+def fingerprint(of_root: Column, of_short: Column) -> Column:
     body = F.array_join(F.transform(of_short, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, "")), ",")), ";")
-    return F.concat_ws(":", mark(of_short), body)
+    return F.concat_ws(":", of_root, body)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,7 +76,7 @@ def parsed(of_fingerprint: Column) -> Column:
 def differing_branches(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``(*pairs, section, paragraph, leaf)`` for each leaf at which two fingerprints differ (0-based).
 
-    Equal fingerprints give no row; below their marks only differing sections and paragraphs are opened.
+    Equal fingerprints give no row; below their roots only differing sections and paragraphs are opened.
     """
     d = pairs.where(F.split(left, ":")[0] != F.split(right, ":")[0])
     d = d.select(*pairs.columns, F.posexplode(F.arrays_zip(parsed(F.col(left)).alias("l"), parsed(F.col(right)).alias("r"))).alias("section", "s"))
@@ -91,37 +89,40 @@ def differing_branches(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return d.where(~F.col("x.l").eqNullSafe(F.col("x.r"))).drop("x")
 
 
-def _bucket(splits: list[int]) -> Column:
-    """Number of splits at or below ``key``, by a search in two steps."""
-    if not splits:
-        return F.lit(0)
-    step = max(1, int(len(splits) ** 0.5))
-    rows = [splits[i : i + step] for i in range(0, len(splits), step)]
-    tops = F.array(*[F.lit(r[0]) for r in rows])
-    nested = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
-    above = F.size(F.filter(tops, lambda x: x <= F.col("key")))
-    inside = F.size(F.filter(F.get(nested, above - 1), lambda x: x <= F.col("key")))
-    return F.when(above == 0, 0).otherwise((above - 1) * step + inside)
+def _bucket(splits: Column, key: Column) -> Column:
+    """Number of ``splits`` (sorted) at or below ``key``, by halving."""
+    ends = F.struct(F.lit(0).alias("low"), F.size(splits).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        right = (at["low"] < at["high"]) & (F.get(splits, middle) <= key)
+        left = (at["low"] < at["high"]) & (F.get(splits, middle) > key)
+        return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(left, middle).otherwise(at["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(splits) + F.lit(1))).cast("int") + 1)
+    return F.aggregate(steps, ends, halve, lambda at: at["low"])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, tree, short, next_text, next_short)`` with the next document by descending id, the first after the last.
 
     Ids are cut into ranges of about equal counts; a window runs in each range, whose last row finds the first
-    document of the range below as an extra row. No task holds more than a range.
+    document of the range below as an extra row. No task holds more than a range. The ranges' bounds and first rows
+    are small tables that are joined, so the plan is the same for any number of ranges.
     """
     n_ranges = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    at = keyed.select(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)], 10_000)).first()[0]
-    bucket = _bucket(sorted(set(at or [])))
-    tops = sorted((r["bucket"], r["top"]) for r in keyed.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("top")).collect())
-    whole = keyed.withColumn("bucket", bucket).withColumn("extra", F.lit(False))
-    if tops:  # the first row of each range goes to the range above it too, that of the highest to the lowest
-        to = dict(zip([top for _, top in tops], [b for b, _ in tops[1:]] + [tops[0][0]], strict=True))
-        first = keyed.where(F.col("key").isin(list(to))).groupBy("key").agg(F.min("text").alias("text"))
-        goes = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
-        first = first.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "key", "text", F.element_at(goes, F.col("key")).cast("int").alias("bucket"), F.lit(True).alias("extra"))
-        whole = whole.unionByName(first)
+    bounds = keyed.agg(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)], 10_000).alias("_s"))
+    bounds = stored(bounds.select(F.array_sort(F.array_distinct(F.coalesce("_s", F.array().cast("array<long>")))).alias("splits")), "ranges")
+    placed = keyed.crossJoin(F.broadcast(bounds)).withColumn("bucket", _bucket(F.col("splits"), F.col("key"))).drop("splits")  # one row
+    # the first row of each range goes to the range above it too, that of the highest to the lowest
+    tops = stored(placed.groupBy("bucket").agg(F.max("key").alias("top")), "tops")  # a row a range
+    over = Window.orderBy("bucket")
+    lowest = F.min("bucket").over(Window.partitionBy(F.lit(1)))
+    goes = tops.select("top", F.coalesce(F.lead("bucket").over(over), lowest).alias("goes"))
+    first = keyed.select("key", "text").join(goes, F.col("key") == F.col("top")).groupBy("key", "goes").agg(F.min("text").alias("text"))
+    first = first.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "key", "text", F.col("goes").alias("bucket"), F.lit(True).alias("extra"))
+    whole = placed.withColumn("extra", F.lit(False)).unionByName(first)
     window = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), "text")
     treed = whole.repartition(n_ranges, "bucket").withColumn("tree", tree(F.col("text")))
     treed = treed.withColumn("short", shortened(F.col("tree")))
@@ -140,8 +141,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("short")).alias("fingerprint"),
-        fingerprint(F.col("edited_short")).alias("edited_fingerprint"),
+        fingerprint(F.col("root"), F.col("short")).alias("fingerprint"),
+        fingerprint(F.col("edited_root"), F.col("edited_short")).alias("edited_fingerprint"),
         likeness(F.col("short"), F.col("edited_short")).alias("near_edited"),
         likeness(F.col("short"), F.col("next_short")).alias("near_next"),
         "root",

@@ -45,9 +45,9 @@ WITH d AS (
   SELECT *, list_distinct(flatten(flatten(a))) AS la, list_distinct(flatten(flatten(b))) AS lb, list_distinct(flatten(flatten(c))) AS lc FROM t
 )
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
-  sha256(array_to_string(list_transform(a, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':' ||
+  sha256(array_to_string(list_transform(list_zip(list_transform(string_split_regex(text, '\n\n+'), lambda s: md5(array_to_string(list_transform(string_split(s, chr(10)), lambda p: md5(array_to_string(list_transform(regexp_extract_all(p, '[^\n]{1,48}'), lambda x: md5(x)), ''))), ''))), list_transform(regexp_extract_all(text, '\n\n+'), lambda g: length(g)::VARCHAR)), lambda z: z[1] || coalesce(z[2], '')), '.')) || ':' ||
     array_to_string(list_transform(a, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), ';') AS fingerprint,
-  sha256(array_to_string(list_transform(b, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':' ||
+  sha256(array_to_string(list_transform(list_zip(list_transform(string_split_regex(edited, '\n\n+'), lambda s: md5(array_to_string(list_transform(string_split(s, chr(10)), lambda p: md5(array_to_string(list_transform(regexp_extract_all(p, '[^\n]{1,48}'), lambda x: md5(x)), ''))), ''))), list_transform(regexp_extract_all(edited, '\n\n+'), lambda g: length(g)::VARCHAR)), lambda z: z[1] || coalesce(z[2], '')), '.')) || ':' ||
     array_to_string(list_transform(b, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), ';') AS edited_fingerprint,
   CASE WHEN len(la) + len(lb) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(la, lb))::DOUBLE / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
   CASE WHEN len(la) + len(lc) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc))::DOUBLE / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next,

@@ -213,8 +213,7 @@ def test_small_batches_give_the_settings_back(spark):
 def brute_fingerprint(text):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     tree = [[[md5(leaf)[:8] for leaf in re.findall(r"[^\n]{1,48}", p)] for p in s.split("\n")] for s in re.split("\n\n+", text)]
-    root = hashlib.sha256("".join(md5("".join(md5("".join(p)) for p in s)) for s in tree).encode()).hexdigest()
-    return root + ":" + ";".join(",".join("".join(p) for p in s) for s in tree), {x for s in tree for p in s for x in p}
+    return brute_root(text) + ":" + ";".join(",".join("".join(p) for p in s) for s in tree), {x for s in tree for p in s for x in p}
 
 
 def brute_root(text):
@@ -236,7 +235,7 @@ def test_roots_separate_different_texts(spark):
     rows = fingerprints(d).collect()
     by_text = {}
     for r in rows:
-        by_text.setdefault(texts[r["doc_id"] % len(texts)], set()).add(r["root"])
+        by_text.setdefault(texts[r["doc_id"] % len(texts)], set()).add(r["fingerprint"])
         assert r["root"] == brute_root(texts[r["doc_id"] % len(texts)])
     assert all(len(x) == 1 for x in by_text.values()) and len(set.union(*by_text.values())) == len(set(texts))
 
@@ -267,6 +266,18 @@ def test_fingerprints(spark):
     assert fingerprints(d.limit(0)).count() == 0
     assert fingerprints(d.limit(1)).count() == 1
     assert fingerprints(docs_frame(spark, ["a", "b", "c"], ids=[None, 1, None])).count() == 3
+    # many ranges, most of them empty: the plan doesn't grow with them
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        plans = []
+        for n in ("300", "20"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            many = fingerprints(d)
+            plans.append(many._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        assert plans[0] == plans[1]
+        assert sorted(map(repr, many.collect())) == sorted(map(repr, got.values()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     pair = spark.createDataFrame([(1, brute_fingerprint("a\nb\n\nc")[0], brute_fingerprint("a\nx\n\nc")[0]), (2, "q:", "q:")], "id int, l string, r string")
     assert [tuple(x) for x in differing_branches(pair.select("id", "l", "r"), "l", "r").select("id", "section", "paragraph", "leaf").collect()] == [(1, 0, 1, 0)]
 
