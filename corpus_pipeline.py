@@ -3,6 +3,11 @@
 toxicity and quality reject documents, the n-gram Jaccard join keeps one document of each group (the one with the
 smallest id; rows with a null id belong to no group and stay), decontamination rejects documents that hold a benchmark
 item, and mixing returns the documents that the mix takes with their words.
+
+Edge cases: a null text counts as empty (it is neither toxic nor contaminated); rows with a null id stay in the near-duplicate
+stage; of rows that repeat an id one stays there, the least by text, language, source and length; without labels no document is
+rejected as toxic or poor, and without benchmark items none as contaminated; columns besides those of documents are dropped
+at the start, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

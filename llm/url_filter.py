@@ -5,7 +5,8 @@ that a rule decides, with the rule's verdict as label.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged on empty
 features (the model's intercept); without any labelled URL, or with labels of one kind, the score is constant; equal
-URLs get equal verdicts; other columns are ignored; an empty table gives no rows.
+URLs get equal verdicts, and white space in host and path is left out before n-grams are taken, so URLs that differ in it
+alone have equal features (rules see it); rows that repeat a page are judged alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -756,6 +756,10 @@ def test_language_id(spark):
     d = d.withColumn("held_out", F.col("doc_id") % 3 == 1)
     out = {x["doc_id"]: x for x in identify(d, train(d.where("not held_out"))).collect()}
     assert all(out[i]["lang_pred"] == ("en" if i % 2 else "de") and 0.5 < out[i]["score"] <= 1 for i in range(60))
+    # repeated rows, one very long text and a word of both languages alike
+    more = docs_frame(spark, ["das haus " * 40_000, "und der garten", "und der garten", "ohne"], langs=[None] * 4, ids=[1, 7, 7, 9]).withColumn("held_out", F.lit(True))
+    again = identify(more, train(d.where("not held_out"))).collect()
+    assert sorted((x["doc_id"], x["lang_pred"]) for x in again if x["doc_id"] != 9) == [(1, "de"), (7, "de"), (7, "de")] and len({x["score"] for x in again if x["doc_id"] == 7}) == 1
     assert [out[i]["lang_pred"] for i in (60, 61, 62, 63)] == ["und", "und", "und", "de"] and out[60]["score"] == 0
     none = identify(d, train(d.where("lang = 'xx'"))).collect()
     assert {x["lang_pred"] for x in none} == {"und"}
