@@ -58,7 +58,7 @@ def terminal_status(docs: DataFrame, arguments: DataFrame, failed: DataFrame | N
 
 def with_catalog(arguments: DataFrame, catalog: DataFrame) -> DataFrame:
     """JON-5: arguments with their catalog's description; all stay."""
-    return arguments.join(F.broadcast(catalog), "catalog_id", "left")  # a fixed table of nine rows
+    return arguments.join(catalog, "catalog_id", "left")
 
 
 def assemble(docs: DataFrame, arguments: DataFrame, resolutions: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def distractors(catalog: DataFrame, truth: DataFrame, arguments: DataFrame) -> D
     """AGG-17: catalogs that no document expects, with the number of documents that hit them."""
     wanted = truth.select(F.explode("expected_catalog_ids").alias("catalog_id")).distinct()
     never = catalog.select("catalog_id").distinct().join(wanted, "catalog_id", "left_anti")
-    hits = arguments.join(F.broadcast(never), "catalog_id", "left_semi").groupBy("catalog_id").agg(F.count_distinct("document_id").alias("documents"))
+    hits = arguments.join(never, "catalog_id", "left_semi").groupBy("catalog_id").agg(F.count_distinct("document_id").alias("documents"))
     return never.join(hits, "catalog_id", "left").fillna(0, ["documents"])
 
 

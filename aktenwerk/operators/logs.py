@@ -22,7 +22,7 @@ def log_allowlist(logs: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Da
 
 def enforce_vocabulary(logs: DataFrame, events: DataFrame) -> DataFrame:
     """FLT-7: an own event that isn't in ``events(event)`` becomes a constant without attributes; foreign ones stay."""
-    known = F.broadcast(events.select("event").distinct().withColumn("_known", F.lit(True)))  # a fixed vocabulary
+    known = events.select("event").distinct().withColumn("_known", F.lit(True))
     bad = (F.col("origin") == "own") & F.col("_known").isNull()
     j = logs.join(known, "event", "left")
     bare = F.map_filter("attrs", lambda k, v: k == "correlation_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +64,34 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v, law) for (k, v), law in zip(CATALOG.items(), LAWS, strict=True)], "catalog_id string, beschreibung string, gesetz string")
 
 
-def corpus_id(statutes: DataFrame, buckets: int = 256) -> DataFrame:
+#: Rows of a leaf of the tree of hashes, about.
+LEAF_ROWS = 65_536
+
+
+def corpus_id(statutes: DataFrame, buckets: int = 256, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """AGG-10: one row ``corpus_id``: changes with any key or text, not with the order of rows.
 
-    Rows are hashed, hashes of a bucket are sorted and hashed, and so are the buckets: no row holds the whole corpus.
+    Rows are hashed and dealt to the leaves of a tree whose nodes have ``buckets`` children; a leaf's hashes are sorted and
+    hashed, and so are each node's children. The number of rows decides the depth, so that leaves hold about ``leaf_rows`` at
+    most and no row of the job grows with the corpus.
     """
     row = F.sha2(F.concat(F.col("canonical_key"), F.lit("\0"), F.col("text"), F.lit("\0")).cast("binary"), 256)
-    h = statutes.select(row.alias("h")).withColumn("b", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % buckets)
-    per = h.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    listed = F.array_sort(F.collect_list(F.struct("b", "h")))
-    return per.agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["b"].cast("string"), x["h"])), "").cast("binary"), 256).alias("corpus_id"))
+    depth, n = 1, statutes.count()
+    while buckets**depth * leaf_rows < n:
+        depth += 1
+    levels = [f"b{k}" for k in range(depth)]
+    h = statutes.select(row.alias("h"))
+    h = h.select("h", *((F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int") % buckets).alias(b) for k, b in enumerate(levels)))
+    nodes = h.groupBy(*levels).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
+    for k in reversed(range(depth)):
+        listed = F.array_sort(F.collect_list(F.struct(levels[k], "h")))
+        joined = F.array_join(F.transform(listed, _child(levels[k])), "")
+        nodes = nodes.groupBy(*levels[:k]).agg(F.sha2(joined.cast("binary"), 256).alias("h"))
+    return nodes.select(F.col("h").alias("corpus_id"))
+
+
+def _child(level: str) -> Callable[[Column], Column]:
+    return lambda x: F.concat_ws(":", x[level].cast("string"), x["h"])
 
 
 def corpus_profile(statutes: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -39,6 +40,21 @@ def test_corpus_id(spark):
     of = lambda r: statutes.corpus_id(spark.createDataFrame(r, "canonical_key string, text string")).first()[0]
     assert of(rows) == of(rows[::-1])
     assert len({of(rows), of(rows[:2]), of([("§ 1 WHG", "x"), *rows[1:]]), of([("§ 1 WHGa", ""), *rows[1:]])}) == 4
+    # a tree of three levels: by plain hashing, and the same for any order
+    many = [(f"§ {i} WHG", f"text {i % 7}") for i in range(60)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves = {}
+    for k, t in many:
+        h = sha(f"{k}\0{t}\0")
+        leaves.setdefault(tuple(int(h[4 * j : 4 * j + 4], 16) % 4 for j in range(3)), []).append(h)
+    nodes = {b: sha("".join(sorted(x))) for b, x in leaves.items()}
+    for _ in range(3):
+        above = {}
+        for b, h in nodes.items():
+            above.setdefault(b[:-1], []).append((b[-1], h))
+        nodes = {b: sha("".join(f"{k}:{h}" for k, h in sorted(x))) for b, x in above.items()}
+    deep = lambda r: statutes.corpus_id(spark.createDataFrame(r, "canonical_key string, text string"), 4, 1).first()[0]
+    assert deep(many) == nodes[()] == deep(many[::-1]) != deep(many[:-1])
 
 
 def test_letters_in_and_out(spark, tmp_path):
