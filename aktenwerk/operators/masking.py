@@ -79,7 +79,8 @@ def _within(zone: Column, span: Column) -> Column:
 def anchored(text: Column, names: Column, anchor: Column, signature: Column) -> Column:
     """Words of the names inside the anchor or signature zone of one text, as ``array<SPAN>`` (each place once)."""
     places = F.flatten(F.transform(name_words(names), lambda w: occurrences(text, w)))
-    inside = F.array_distinct(F.filter(places, lambda o: _within(anchor, o) | _within(signature, o)))
+    # the zones are found once a text, not for each place
+    inside = let(F.struct(anchor.alias("a"), signature.alias("b")), lambda z: F.array_distinct(F.filter(places, lambda o: _within(z["a"], o) | _within(z["b"], o))))
     return F.transform(inside, lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"), F.lit("PERSON").alias("entity_type"), F.lit(1.0).alias("score")))
 
 
@@ -88,8 +89,8 @@ def anchor_spans(zones: DataFrame) -> DataFrame:
 
     Occurrences and containment are found in the row, so the containment join needs no shuffle; rows that repeat an id give
     each place once."""
-    found = zones.select("document_id", F.explode(anchored(F.col("text"), F.col("names"), F.col("anchor"), F.col("signature"))).alias("o")).select("document_id", "o.*")
-    return found.dropDuplicates(["document_id", "s", "e"])
+    found = zones.select("document_id", F.explode_outer(anchored(F.col("text"), F.col("names"), F.col("anchor"), F.col("signature"))).alias("o"))
+    return found.where("o is not null").select("document_id", "o.*").dropDuplicates(["document_id", "s", "e"])
 
 
 def _iban_valid(text: Column) -> Column:
@@ -129,7 +130,8 @@ def detected(text: Column, detectors: dict | None = None, plugins: tuple[Callabl
 
 def detect_pii(docs: DataFrame, detectors: dict | None = None, plugins: tuple[Callable[[Column], Column], ...] = ()) -> DataFrame:
     """TXT-5: spans of the built-in detectors and of plug-ins (``text -> array<SPAN>``, see ``register_detector``)."""
-    return docs.select("document_id", F.explode(detected(F.col("text"), detectors, plugins)).alias("x")).select("document_id", "x.*")
+    found = docs.select("document_id", F.explode_outer(detected(F.col("text"), detectors, plugins)).alias("x"))  # outer: see region_rows
+    return found.where("x is not null").select("document_id", "x.*")
 
 
 def register_detector(find: Callable) -> Callable[[Column], Column]:
@@ -210,9 +212,15 @@ def mask(merged: DataFrame) -> DataFrame:
     return merged.withColumn("clean_text", rendered(F.col("text"), F.col("regions"), F.lit(0), F.length("text"))).withColumn("entity_counts", let(names, counted))
 
 
+def region_rows(merged: DataFrame) -> DataFrame:
+    """``(document_id, r)``, a row a region. An outer explode: of an inner one the optimizer would infer a filter, in which
+    the whole row-wise job is computed once more."""
+    return merged.select("document_id", F.explode_outer("regions").alias("r")).where("r is not null")
+
+
 def entity_counts(merged: DataFrame) -> DataFrame:
     """AGG-1 as rows: ``(document_id, label, n)``."""
-    rows = merged.select("document_id", F.explode("regions").alias("r"))
+    rows = region_rows(merged)
     return rows.groupBy("document_id", F.regexp_replace(placeholder(F.col("r.entity_type")), r"[\[\]]", "").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

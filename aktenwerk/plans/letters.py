@@ -172,7 +172,7 @@ def txt5_detect_emails(s: SparkSession, d: str) -> DataFrame:
 SELECT document_id, x[1]::INT AS s, x[2]::INT AS e, entity_type FROM r""")
 def win1_merge_regions(s: SparkSession, d: str) -> DataFrame:
     m = masking.masked_documents(corpus.letters(s, d))
-    return m.select("document_id", F.explode("regions").alias("r")).select("document_id", "r.s", "r.e", "r.entity_type")
+    return masking.region_rows(m).select("document_id", "r.s", "r.e", "r.entity_type")
 
 
 @query(f"""WITH {SQL_LETTERS} SELECT document_id, unnest(['NAME', 'TELEFON', 'EMAIL']) AS label, unnest([2, 1, 1])::BIGINT AS n FROM letters""")

@@ -445,7 +445,7 @@ def win1_mixed_regions(s: SparkSession, d: str) -> DataFrame:
             (3, 0, 3, "PHONE_NUMBER", 0.6), (3, 2, 4, "PERSON", 0.9), (3, 5, 9, "PERSON", 0.7), (4, 0, 4, "PERSON", 0.9), (4, 6, 9, "PERSON", 0.9))
     kinds = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(("form", "s", "e", "entity_type", "score"), r, strict=True))) for r in rows])
     spans = docs.select("document_id", "at", F.explode(F.filter(kinds, lambda x: x["form"] == F.col("form"))).alias("x")).select("document_id", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"), "x.entity_type", "x.score")
-    return masking.merge_regions(docs, spans).select("document_id", F.explode("regions").alias("r")).select("document_id", "r.s", "r.e", "r.entity_type")
+    return masking.region_rows(masking.merge_regions(docs, spans)).select("document_id", "r.s", "r.e", "r.entity_type")
 
 
 def _stream_of(s: SparkSession, df: DataFrame) -> DataFrame:
