@@ -26,7 +26,7 @@ def document_type(docs: DataFrame, arguments: DataFrame) -> DataFrame:
 def argument_norms(arguments: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Adds ``norms`` (array of resolutions in order) to arguments; ``resolutions`` has ``document_id, pos, ord``."""
     entry = F.struct("ord", F.col("canonical").alias("citation"), "paragraph_key", "source_text", "resolved")
-    lists = resolutions.groupBy("document_id", "pos").agg(F.array_sort(F.collect_list(entry)).alias("_n"))
+    lists = resolutions.groupBy("document_id", "pos").agg(F.sort_array(F.collect_list(entry)).alias("_n"))
     none = F.array().cast("array<struct<citation:string,paragraph_key:string,source_text:string,resolved:boolean>>")
     drop = F.transform("_n", lambda x: F.struct(x["citation"], x["paragraph_key"], x["source_text"], x["resolved"]))
     return arguments.join(lists, ["document_id", "pos"], "left").withColumn("norms", F.coalesce(drop, none)).drop("_n")

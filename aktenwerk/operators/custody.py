@@ -197,11 +197,12 @@ def custody_gaps(events: DataFrame, briefings: DataFrame) -> DataFrame:
     return wrong.unionByName(lost)
 
 
-def custody_events(docs: DataFrame, stage: str, payload: Column, ts: Column) -> DataFrame:
-    """CHN-5: one event of a stage for each row of ``docs(document_id, ...)``; ids are hashes, so reruns agree."""
+def custody_events(docs: DataFrame, stage: str | Column, payload: Column, ts: Column) -> DataFrame:
+    """CHN-5: one event of a stage (given, or in a column) for each row of ``docs(document_id, ...)``; ids are hashes, so reruns agree."""
+    stage = F.lit(stage) if isinstance(stage, str) else stage
     return docs.select(
-        F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.lit(stage)), 256).alias("event_id"),
-        F.lit(stage).alias("event_type"),
+        F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), stage), 256).alias("event_id"),
+        stage.alias("event_type"),
         F.col("document_id").cast("string").alias("document_id"),
         ts.alias("ts"),
         payload.alias("payload"),
@@ -214,10 +215,14 @@ def pipeline_events(masked: DataFrame, flags: DataFrame, arguments: DataFrame, r
     a = arguments.groupBy("document_id").agg(F.count(F.lit(1)).alias("_a"))
     r = resolutions.groupBy("document_id").agg(F.count_if("resolved").alias("_r"))
     d = masked.join(flags, "document_id").join(ends, "document_id").join(a, "document_id", "left").join(r, "document_id", "left").fillna(0, ["_a", "_r"])
-    at = lambda k: start + F.expr(f"interval {k} seconds")
-    out = custody_events(d, "eingang", F.to_json(F.struct(F.col("document_id").cast("string").alias("document_id"), F.col("entity_counts").alias("masked_entity_counts"))), at(0))
-    out = out.unionByName(custody_events(d, "triage", F.to_json(F.struct(F.col("_a").alias("argument_count"), "contradiction_detected", "substance_threshold_exceeded")), at(1)))
-    out = out.unionByName(custody_events(d, "retrieval", F.to_json(F.struct(F.col("_r").alias("resolved_norm_count"))), at(2)))
-    for end in TERMINAL[:2]:
-        out = out.unionByName(custody_events(d.where(F.col("terminal_status") == end), end, F.to_json(F.struct(F.col("_a").alias("entry_count"))), at(3)))
-    return out
+    end = F.when(F.col("terminal_status").isin(*TERMINAL[:2]), F.col("terminal_status"))
+    events = (
+        (F.lit("eingang"), F.struct(F.col("document_id").cast("string").alias("document_id"), F.col("entity_counts").alias("masked_entity_counts"))),
+        (F.lit("triage"), F.struct(F.col("_a").alias("argument_count"), "contradiction_detected", "substance_threshold_exceeded")),
+        (F.lit("retrieval"), F.struct(F.col("_r").alias("resolved_norm_count"))),
+        (end, F.struct(F.col("_a").alias("entry_count"))),
+    )
+    # all four in the row, so that a document is processed once; an outer explode for the reason given at masking.region_rows
+    rows = [F.struct(stage.alias("stage"), F.to_json(payload).alias("payload"), (start + F.expr(f"interval {k} seconds")).alias("ts")) for k, (stage, payload) in enumerate(events)]
+    out = d.select("document_id", F.explode_outer(F.array(*rows)).alias("x")).where("x.stage is not null")
+    return custody_events(out, F.col("x.stage"), F.col("x.payload"), F.col("x.ts"))
