@@ -16,9 +16,9 @@ from aktenwerk.functions.shared import stored
 #: Okapi constants, the share of the mean that replaces a negative idf, and the fusion constant.
 K1, B, FLOOR, FUSION = 1.5, 0.75, 0.25, 60
 #: Rows of queries and of vectors that a matrix product takes at once.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
-#: Bytes of query vectors, and terms of queries, that one scan takes; scores that a task holds at once.
-QUERY_BYTES, QUERY_ENTRIES, CELLS = 256 << 20, 2_000_000, 1 << 22
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 2048
+#: Bytes of query vectors with their best items, and terms of queries, that one scan takes; scores that a task holds at once.
+QUERY_BYTES, QUERY_ENTRIES, CELLS = 128 << 20, 2_000_000, 1 << 22
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -121,8 +121,9 @@ def _none(n_queries: int) -> tuple:
 def _merged(best: tuple, s: np.ndarray, items: np.ndarray, k: int) -> tuple:
     """The ``k`` best of each query of what was best so far and the scores ``s`` (queries by items)."""
     of, score, item, least = best
-    # all that tie with the k-th stay until ties are broken by id
-    bar = np.maximum(least, np.partition(s, len(items) - k, axis=1)[:, -k]) if len(items) > k else least
+    # few blocks of items hold more than a few that reach the k-th; all that tie with it stay until ties are broken by id
+    few = np.count_nonzero(s >= least[:, None]) <= k * len(least) and not np.isneginf(least).any()
+    bar = least if few else np.maximum(least, np.partition(s, len(items) - k, axis=1)[:, -k]) if len(items) > k else least
     q, j = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
     of, score = np.concatenate([of, q]), np.concatenate([score, s[q, j]])
     item = np.concatenate([item, items[j]]) if len(item) else items[j]
@@ -145,8 +146,9 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, same_label: boo
     """TOP-1: the ``k`` best items of each partition for every query, then the ``k`` best overall.
 
     ``vectors(item_id, embedding[, label])``, ``queries(query_id, embedding[, label])``, both normalised in the job. The
-    queries are a stated set; one scan takes all blocks of ``QUERY_BLOCK`` queries that fit into ``QUERY_BYTES``, and each task multiplies
-    blocks of matrices and keeps ``k`` rows a query, so no pair of rows is ever emitted.
+    queries are a stated set; one scan takes all blocks of ``QUERY_BLOCK`` queries that fit into ``QUERY_BYTES`` with their ``k`` best items,
+    more queries take more scans, so a task's memory doesn't grow with them. Each task multiplies blocks of matrices and
+    keeps ``k`` rows a query, so no pair of rows is ever emitted.
     """
     spark = vectors.sparkSession
     names = ["query_id", "label"] if same_label else ["query_id"]
@@ -154,7 +156,8 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, same_label: boo
     v = vectors.select("item_id", *(["label"] if same_label else []), normalised("embedding").alias("v"))
     known = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     n_blocks = max(1, -(-known[0] // QUERY_BLOCK))
-    at_once = max(1, QUERY_BYTES // (8 * QUERY_BLOCK * max(1, known[1] or 1)))
+    # a query is its vector and its best: query, score and item
+    at_once = max(1, QUERY_BYTES // (8 * QUERY_BLOCK * (max(1, known[1] or 1) + 3 * k)))
     schema = f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double"
 
     def block(number: int):

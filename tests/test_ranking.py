@@ -74,3 +74,22 @@ def test_upper_median(spark):
     got = upper_median(v, "extractor", "ms")
     assert {x["extractor"]: x["median"] for x in got.collect()} == {k: sorted(xs)[len(xs) // 2] for k, xs in of.items()}
     assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_grow_with_queries_not_a_task(spark, monkeypatch):
+    """Queries that don't fit one scan take more scans, with the same result; what a scan takes counts the best items too."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "item_id long, embedding array<double>").repartition(3)
+    q = v.withColumnRenamed("item_id", "query_id")
+    rows = lambda: sorted(map(tuple, ranking.dense_scores(v, q, 7).collect()))
+    whole = rows()
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(ranking, "VECTOR_BLOCK", 32)
+    monkeypatch.setattr(ranking, "QUERY_BYTES", 8 * 64 * (4 + 3 * 7))
+    scans = []
+    made = type(v).mapInPandas
+    monkeypatch.setattr(type(v), "mapInPandas", lambda self, *a, **b: scans.append(1) or made(self, *a, **b))
+    assert rows() == whole
+    assert len(scans) == -(-300 // 64)
