@@ -1,6 +1,6 @@
 """Language-model scores of whole documents beside an exact add-0.1 unigram base.
 
-*Counts.* Frequent words (``HEAD`` of a bounded sample of training documents) get exact counts from per-task
+*Counts.* The ``HEAD`` most frequent words of all training documents get exact counts from per-task
 histograms over all documents. All other words travel once, as packed (word, document, count) triples, to the bucket of
 their hash, which knows every count of its words and returns one partial sum for each document.
 *Model.* A gated recurrent network (``gru``) over the ``SHORT`` most frequent words, one id for all other words and the
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import kernel
-from llm.common import in_fraction, stored
+from llm.common import stored
 from llm.gru import Gru
 
 FOLDS = 10
-SAMPLE_DOCS, HEAD, SHORT = 16_384, 131_072, 1023
+HEAD, SHORT = 131_072, 1023
 #: Rounds over all training documents, tasks in one, parallel streams and tokens held in a task, partial sums of the parameters.
 ROUNDS, LEARNERS, STREAMS, TASK_TOKENS, SUMS, RATE = 4, 4096, 256, 1 << 19, 32, 1.6e-2
 FLUSH, BUCKET_WORDS = 1_000_000, 4_000_000
@@ -65,8 +65,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return d.withColumn("train", fold != 0).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def head_words(d: DataFrame, n_docs: int) -> np.ndarray:
-    """Hashes of frequent words of a bounded sample of training documents, most frequent first."""
+def head_words(d: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words of all training documents, most frequent first."""
 
     def run(batches):
         def counted(parts):
@@ -84,8 +84,7 @@ def head_words(d: DataFrame, n_docs: int) -> np.ndarray:
         if parts:
             yield counted(parts)
 
-    picked = d.where(F.col("train") & in_fraction(F.col("row"), SAMPLE_DOCS / max(1, n_docs)))
-    top = picked.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAD)
+    top = d.where("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAD)
     return top.select("h").toArrow().column("h").to_numpy().view(np.uint64)
 
 
@@ -236,7 +235,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """The columns of ``op9`` in ``queries`` for every row of ``docs``."""
     d = _prepared(docs)
     n_docs = docs.count()
-    by_rank = head_words(d, n_docs)
+    by_rank = head_words(d)
     order = np.argsort(by_rank)
     head = _Head(by_rank[order])
     counts, rare_tokens, n_train, rare_words, tail = _counts(d, head, n_docs)

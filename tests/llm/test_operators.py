@@ -1207,3 +1207,13 @@ def test_periodic_runs(spark):
     assert periodic_runs(d.limit(0)).count() == 0
     kept = periodic_runs(d, ("doc_id", "text")).where("doc_id = 1064").first()
     assert kept["n_words"] == 0 or kept["collapsed"]
+
+
+def test_op9_head_counts_all_training_documents(spark):
+    """A word of each document and one of all: the head has those of every training document, the common one first."""
+    from llm import kernel, lm_score
+
+    d = lm_score._prepared(spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), "id").alias("text")))
+    head = lm_score.head_words(d)
+    assert len(head) == d.where("train").count() + 1
+    assert head[0] == next(iter(kernel.words(pa.array(["common"])))).hashes[0]
