@@ -84,3 +84,19 @@ def test_coverage_and_evaluation(spark):
     masked = spark.createDataFrame([("a", "[NAME] im Steinbruch, Udo")], "file string, masked_text string")
     r = m.pii_eval(truth, masked).where("file = 'a'").first()
     assert (r["names"], r["leaked"], r["terms"], r["destroyed"], r["recall"], r["precision"]) == (2, 1, 2, 1, 0.5, 0.5)
+
+
+def test_cheap_steps_find_the_same(spark):
+    """Mail addresses are looked for around their signs only, words by their letters first, closings all at once."""
+    from pyspark.sql import functions as F
+
+    from aktenwerk.functions.text import last_index, occurrences
+
+    part = m.DETECTORS["EMAIL_ADDRESS"][3]
+    texts = ("wort " * 50 + "x.y@b.de, c@d.org. " + "wort " * 50, "a@b.de", "@", "ohne", "𝒳 a@b.de@c.de-")
+    rows = [(t, [t[s:e] for s, e in found]) for t, found in zip(texts, ([(250, 268)], [(0, 6)], [(0, 1)], [], [(2, 14)]), strict=True)]
+    d = spark.createDataFrame(rows, "text string, want array<string>").withColumn("p", part(F.col("text")))
+    for r in d.withColumn("got", F.when(F.col("p").isNotNull(), F.array(F.expr("substring(text, p.s + 1, p.e - p.s)"))).otherwise(F.array())).collect():
+        assert r["got"] == r["want"]
+    r = spark.createDataFrame([("b ab a-a ba", "x")], "text string, none string").select(last_index(F.col("text"), "ab", "a", "q").alias("last"), last_index(F.col("none"), "ab").alias("no"), occurrences(F.col("text"), F.lit("a")).alias("w")).first()
+    assert (r["last"], r["no"], [tuple(x) for x in r["w"]]) == (10, -1, [(5, 6), (7, 8)])
