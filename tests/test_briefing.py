@@ -88,3 +88,22 @@ def test_losses_and_ranks(spark):
     r = {x["target"]: x for x in evaluation.rank_eval(truth, ranking).collect()}
     assert (r[1]["hits"], r[1]["wanted"], r[1]["mrr"], r[3]["hits"]) == (0, 2, 0.25, 1)
     assert evaluation.top_per(truth, "query_id", [F.asc("item_id")], 1).count() == 2
+
+
+def test_sets_meet_in_one_shuffle(spark):
+    """Expected, assigned and found pairs meet once, repeats and nulls are treated as the joins of the pairs treated them."""
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "document_id long, item string")
+    e, a, f = pairs((1, "a"), (1, "b"), (1, "b"), (1, None), (None, "a"), (2, "x")), pairs((1, "a"), (1, "x"), (1, None), (None, "a"), (3, "q")), pairs((1, "b"), (1, None), (None, "a"), (2, "y"), (4, "z"))
+    losses = evaluation.loss_breakdown(e, a, f)
+    got = losses.collect()
+    lost = [(1, "b", "lost_by_assignment")]
+    gone = [(1, "a", "truly_missing"), (1, None, "truly_missing"), (None, "a", "truly_missing"), (2, "x", "truly_missing")]
+    odd = [(1, "x", "spurious"), (1, None, "spurious"), (None, "a", "spurious"), (3, "q", "spurious")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, lost + gone + odd))
+    assert losses._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "document_id long")
+    got = {r["document_id"]: tuple(r)[1:] for r in evaluation.coverage_metrics(docs, e, a, f).collect()}
+    # document 1, assigned: a is right, x and null are too many, b and null are missing; found: b is right
+    assert got[1] == (1 / 3, 1 / 3, 1 / 3, 0.5, 1 / 3, 0.4, 0.0)
+    assert got[2] == (None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) and got[3] == (0.0, None, None, None, None, None, None)
+    assert got[4] == (None, None, None, 0.0, None, None, None) and got[5] == (None,) * 7
