@@ -12,36 +12,52 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place, as half a hyperbolic tangent."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+    """In place; an exponential takes less time than a hyperbolic tangent. Its overflow gives the right limit."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, likewise."""
+    x *= -2
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+    x -= 1
     return x
 
 
 def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row of ``z`` at one place; ``z`` is used up."""
-    z -= z.max(1, keepdims=True)
-    rows = np.arange(len(z))
-    own = z[rows, at]
+    """Log of the softmax of each column of ``z`` at one place; ``z`` is used up."""
+    z -= z.max(0)
+    own = z[at, np.arange(len(at))]
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(z.sum(0))
 
 
 def _loss(z: np.ndarray, at: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
-    """Summed loss of the softmax of each row of ``z`` at one place, and its gradient times ``scale``; ``z`` is used up."""
-    z -= z.max(1, keepdims=True)
-    rows = np.arange(len(z))
-    own = z[rows, at]
+    """Summed loss of the softmax of each column of ``z`` at one place, and its gradient times ``scale``; ``z`` is used up."""
+    z -= z.max(0)
+    columns = np.arange(len(at))
+    own = z[at, columns]
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - own).sum())
+    total = z.sum(0)
+    loss = float((np.log(total) - own).sum())
     z *= np.float32(scale) / total
-    z[rows, at] -= np.float32(scale)
+    z[at, columns] -= np.float32(scale)
     return loss, z
 
 
+def _with_ones(states: list[np.ndarray]) -> np.ndarray:
+    """States side by side, and a row of ones for the biases."""
+    d = len(states[0])
+    out = np.ones((d + 1, sum(s.shape[1] for s in states)), states[0].dtype)
+    np.concatenate(states, axis=1, out=out[:d])
+    return out
+
+
 class Gru:
     """Parameters as float32 arrays; ``size`` ids in ``n_classes`` classes of equal width."""
 
@@ -86,77 +102,117 @@ class Gru:
         self.train(np.concatenate([ids, ids[: -len(ids) % n]]), streams=n, epochs=1, rate=rate)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The state after ``h``, one row for each text; ``x`` is the input's part of the gates."""
+        h, cache = self._step(np.ascontiguousarray(x.T), np.ascontiguousarray(h.T), np.ascontiguousarray(self.wh.T))
+        return h.T, cache
+
+    def _step(self, x: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The same with one column for each text and ``wh`` transposed, so that every gate is a whole piece of memory."""
         d = self.hidden
-        u = h @ self.wh
-        gates = _sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
-        z, r = gates[:, :d], gates[:, d:]
-        n = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
-        return h + z * (n - h), (z, r, n, u[:, 2 * d :], h)
+        u = wh @ h
+        gates = _sigmoid(x[: 2 * d] + u[: 2 * d])
+        z, r, un = gates[:d], gates[d:], u[2 * d :]
+        n = r * un
+        n += x[2 * d :]
+        _tanh(n)
+        out = n - h
+        out *= z
+        out += h
+        return out, (z, r, n, un, h)
+
+    def _transposed(self) -> tuple[np.ndarray, ...]:
+        """Inputs with ones, and weights with their biases as a last column: of the inputs, the classes, the words of a class."""
+        return (
+            np.concatenate([self.emb, np.ones((self.size + 1, 1), self.emb.dtype)], axis=1).T.copy(),
+            np.concatenate([self.wx, self.bh[None]]).T.copy(),
+            np.concatenate([self.wc, self.bc[None]]).T.copy(),
+            np.concatenate([self.wo, self.bo[:, None]], axis=1).transpose(0, 2, 1).copy(),
+        )
+
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and each class that occurs with its range in it."""
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=len(self.bc)))]).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural-log probability of each id after each state."""
+        _, _, wc, wo = self._transposed()
+        return self._log_probs(_with_ones([states.T]), ids, wc, wo)
+
+    def _log_probs(self, s: np.ndarray, ids: np.ndarray, wc: np.ndarray, wo: np.ndarray) -> np.ndarray:
+        """The same for states as columns that end with a one."""
         cls = ids // self.width
-        out = _log_at(states @ self.wc + self.bc, cls).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.bc) + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            out[at] += _log_at(states[at] @ self.wo[c] + self.bo[c], ids[at] - c * self.width)
+        order, ranges = self._by_class(cls)
+        s, cls = s.take(order, axis=1, mode="clip"), cls[order]
+        z = np.empty((self.width, len(ids)), s.dtype)
+        for c, a, b in ranges:
+            np.matmul(wo[c], s[:, a:b], out=z[:, a:b])
+        out = np.empty(len(ids))
+        out[order] = _log_at(wc @ s, cls).astype(np.float64) + _log_at(z, ids[order] - cls * self.width)
         return out
 
     def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
         """Mean loss, last state and gradients of one window of shape (time, batch)."""
         time, batch = inputs.shape
         d = self.hidden
-        x = self.emb[inputs] @ self.wx + self.bh
+        emb, wx, wc, wo = self._transposed()
+        wh = np.ascontiguousarray(self.wh.T)
+        h = np.ascontiguousarray(h.T)
         states, caches = [], []
         for t in range(time):
-            h, cache = self.step(x[t], h)
+            h, cache = self._step(wx @ emb.take(inputs[t], axis=1, mode="clip"), h, wh)
             states.append(h)
             caches.append(cache)
-        s, y = np.concatenate(states), targets.ravel()
+        y = targets.ravel()
         scale = 1 / len(y)
+        order, ranges = self._by_class(y // self.width)
+        place = np.empty(len(y), np.int64)
+        place[order] = np.arange(len(y))
+        s, y = _with_ones(states).take(order, axis=1, mode="clip"), y[order]  # by class
         cls = y // self.width
-        g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        loss, dc = _loss(s @ self.wc + self.bc, cls, scale)
-        g["wc"], g["bc"] = s.T @ dc, dc.sum(0)
-        ds = dc @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.bc) + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            own = s[at]
-            part, do = _loss(own @ self.wo[c] + self.bo[c], y[at] - c * self.width, scale)
-            loss += part
-            g["wo"][c], g["bo"][c] = own.T @ do, do.sum(0)
-            ds[at] += do @ self.wo[c].T
-        ds = ds.reshape(time, batch, d)
-        dx = np.zeros((time, batch, 3 * d), np.float32)
-        dh = np.zeros((batch, d), np.float32)
-        du = np.zeros((time, batch, 3 * d), np.float32)
-        back = np.ascontiguousarray(self.wh.T)
+        loss, dc = _loss(wc @ s, cls, scale)
+        do = np.empty((self.width, len(y)), s.dtype)
+        for c, a, b in ranges:
+            np.matmul(wo[c], s[:, a:b], out=do[:, a:b])
+        part, do = _loss(do, y - cls * self.width, scale)
+        gc, go = s @ dc.T, np.zeros((len(wo), d + 1, self.width), s.dtype)
+        ds = self.wc @ dc
+        for c, a, b in ranges:
+            np.matmul(s[:, a:b], do[:, a:b].T, out=go[c])
+            ds[:, a:b] += self.wo[c] @ do[:, a:b]
+        ds = ds.take(place, axis=1, mode="clip")
+        # Gradients before the gates: of the new state, both gates, and the new state's part that the reset gate lets through.
+        # Rows are longer than needed, as those of a power of two share few lines of the cache.
+        grad = np.empty((4 * d, time * batch + 80), s.dtype)
+        dh = np.zeros((d, batch), s.dtype)
         for t in reversed(range(time)):
             z, r, n, un, h0 = caches[t]
-            dh += ds[t]
-            dn, keep = dh * z, 1 - z
-            dz = (n - h0) * keep
-            dz *= dn
-            dn *= 1 - n * n
-            dx[t, :, :d], dx[t, :, 2 * d :] = dz, dn
-            np.multiply(dn * un, r * (1 - r), out=dx[t, :, d : 2 * d])
-            du[t, :, : 2 * d] = dx[t, :, : 2 * d]
-            np.multiply(dn, r, out=du[t, :, 2 * d :])
+            now = slice(t * batch, (t + 1) * batch)
+            dn, dz, dr, dp = (grad[k * d : (k + 1) * d, now] for k in range(4))
+            dh += ds[:, now]
+            keep = 1 - z
+            np.subtract(n, h0, out=dz)
+            dz *= keep
+            z *= dh
+            dz *= z
+            n *= n
+            np.subtract(1, n, out=n)
+            np.multiply(z, n, out=dn)
+            np.multiply(dn, r, out=dp)
+            np.subtract(1, r, out=dr)
+            dr *= dp
+            dr *= un
             dh *= keep
-            dh += du[t] @ back
-        g["wh"] = np.concatenate([c[4] for c in caches]).T @ du.reshape(-1, 3 * d)
-        flat = dx.reshape(-1, 3 * d)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        rows = inputs.ravel()[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        by_id, rows = np.add.reduceat(flat[order], first, axis=0), rows[first]
-        g["wx"], g["bh"] = self.emb[rows].T @ by_id, flat.sum(0)
-        g["emb"][rows] = by_id @ self.wx.T
-        return loss * scale, h, g
+            dh += self.wh @ grad[d:, now]
+        grad = grad[:, : time * batch]
+        before = np.concatenate([c[4] for c in caches], axis=1)
+        ids = np.ascontiguousarray(inputs).ravel()
+        by_id = np.array([np.bincount(ids, row, self.size + 1) for row in grad[: 3 * d]], s.dtype)
+        by_id = np.concatenate([by_id[d:], by_id[:d]])  # in the order of the parameters
+        g = {"emb": by_id.T @ self.wx.T, "wx": self.emb.T @ by_id.T, "wh": before @ grad[d:].T, "bh": by_id.sum(1)}
+        g |= {"wc": gc[:d], "bc": gc[d], "wo": go[:, :d], "bo": go[:, d]}
+        return (loss + part) * scale, h.T, g
 
     def train(self, ids: np.ndarray, streams: int = 64, window: int = 32, epochs: int = 2, rate: float = 4e-3) -> list[float]:
         """Truncated backpropagation over ``ids``, texts in a row that each end with the end token (the last id)."""
@@ -168,6 +224,7 @@ class Gru:
         x = np.concatenate([np.full((1, streams), self.start), np.where(y[:-1] == end, self.start, y[:-1])])
         m1 = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         m2 = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        np.empty(1 << 24, np.uint8)  # once such a block was freed, malloc keeps the windows' memory, which they would ask for page by page
         losses, t = [], 0
         n_steps = epochs * -(-per // window)
         for _ in range(epochs):
@@ -178,7 +235,7 @@ class Gru:
                 losses.append(float(loss))
                 t += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                clip = min(1.0, 1.0 / (norm + 1e-9))
+                clip = min(1.0, 1.0 / (float(norm) + 1e-9))
                 lr = rate * (1 - 0.9 * t / n_steps)
                 for k in self.NAMES:
                     v = g[k] * clip
@@ -193,23 +250,29 @@ class Gru:
         length = np.diff(bounds)
         out = np.zeros(len(length))
         order = np.argsort(-length, kind="stable")
-        table = (self.emb @ self.wx + self.bh).astype(np.float32)
+        emb, wx, wc, wo = self._transposed()
+        wh = np.ascontiguousarray(self.wh.T)
         for first in range(0, len(order), group):
             docs = order[first : first + group]
             docs = docs[length[docs] > 0]
-            h = np.zeros((len(docs), self.hidden), np.float32)
+            if not len(docs):
+                continue
+            starts, most = bounds[docs], int(length[docs[0]])
+            longer = len(docs) - np.searchsorted(length[docs][::-1], np.arange(most), side="right")  # texts longer than t, which come first
+            h = np.zeros((self.hidden, len(docs)), np.float32)
             previous = np.full(len(docs), self.start)
-            for a in range(0, int(length[docs[0]]) if len(docs) else 0, window):
-                states, ys, who = [], [], []
-                for t in range(a, min(a + window, int(length[docs[0]]))):
-                    n = int(np.searchsorted(-length[docs], -t, side="left"))  # texts longer than t, which come first
-                    h, previous = h[:n], previous[:n]
-                    h, _ = self.step(table[previous], h)
-                    y = ids[bounds[docs[:n]] + t]
-                    states.append(h)
-                    ys.append(y)
-                    who.append(docs[:n])
-                    previous = y
-                lp = self.log_probs(np.concatenate(states), np.concatenate(ys))
-                out += np.bincount(np.concatenate(who), lp, len(out))
+            states, ys, who, held = [], [], [], 0
+            for t, n in enumerate(longer.tolist()):
+                if n < len(previous):
+                    h, previous = h[:, :n].copy(), previous[:n]
+                h, _ = self._step(wx @ emb.take(previous, axis=1, mode="clip"), h, wh)
+                previous = ids[starts[:n] + t]
+                states.append(h)
+                ys.append(previous)
+                who.append(docs[:n])
+                held += n
+                if held >= window * 256 or t + 1 == most:
+                    lp = self._log_probs(_with_ones(states), np.concatenate(ys), wc, wo)
+                    out += np.bincount(np.concatenate(who), lp, len(out))
+                    states, ys, who, held = [], [], [], 0
         return out

@@ -41,6 +41,8 @@ SCORED_TOKENS = 1 << 22
 #: Head words of a slice of a task's histogram, and the least number of groups of tasks whose slices are added up first.
 SLICE, LEAST_PARTS = 16_384, 512
 LOG10 = np.log(10)
+#: Leading bits of a hash by which head words are looked up.
+SLOT_BITS = 20
 
 
 class _Head:
@@ -48,14 +50,28 @@ class _Head:
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.hashes = hashes  # sorted
+        self.slots: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "slots": None}  # each process makes its own
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Position of each hash, or the number of head words if it isn't one."""
+        """Position of each hash, or the number of head words if it isn't one.
+
+        A slot of leading bits holds the position of its only head word; where several share one, it is searched for.
+        """
         n = len(self.hashes)
         if not n:
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
-        return np.where(self.hashes[at] == h, at, n)
+        if self.slots is None:
+            own = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            self.slots = np.full(1 << SLOT_BITS, n)
+            self.slots[own] = np.arange(n)
+            self.slots[own[1:][own[1:] == own[:-1]]] = n + 1
+        at = self.slots.take((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), mode="clip")
+        shared = np.flatnonzero(at > n)
+        at[shared] = np.searchsorted(self.hashes, h[shared])
+        return np.where(self.hashes.take(at, mode="clip") == h, at, n)
 
 
 def _prepared(docs: DataFrame) -> DataFrame:

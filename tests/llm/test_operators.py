@@ -664,6 +664,28 @@ def test_gru_scores_are_a_distribution_and_carry_state():
         assert got[k] == pytest.approx(total, rel=1e-4, abs=1e-3)
 
 
+def test_head_words_are_found_in_little_time():
+    """As by binary search, also where many share their leading bits, in less than its time."""
+    import time
+
+    from llm.lm_score import _Head
+
+    def seconds(f):
+        def one():
+            start = time.process_time()
+            f()
+            return time.process_time() - start
+
+        return min(one() for _ in range(4))
+
+    r = np.random.default_rng(3)
+    hashes = np.unique(np.append(r.integers(0, 2**64, 131_072, dtype=np.uint64), r.integers(5 << 44, 6 << 44, 50, dtype=np.uint64)))
+    head, h = _Head(hashes), np.concatenate([r.choice(hashes, 10**6), hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    assert np.array_equal(head.find(h), np.where(hashes[at] == h, at, len(hashes)))
+    assert seconds(lambda: head.find(h)) < 0.6 * seconds(lambda: np.searchsorted(hashes, h))
+
+
 def test_gru_gradients():
     from llm.gru import Gru
 
