@@ -13,9 +13,13 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: All white space, as the pattern ``(?U)\\s`` has it.
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def group(text: Column, pattern: str, number: int) -> Column:
@@ -37,20 +41,32 @@ def groups(text: Column, pattern: str, n: int) -> Column:
 #: Put around matches; a text that has them is split at the pattern instead.
 _OPEN, _CLOSE = "\u0001", "\u0002"
 _FOUND = "array<struct<text:string,s:int,e:int>>"
+_FOUND_WITH_PARTS = "array<struct<text:string,s:int,e:int,parts:array<string>>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, n_groups: int = 0) -> Column:
     """All matches in order as ``array<struct<text, s, e>>`` with 0-based half-open code-point positions.
 
-    One replacement marks the matches, and what lies between the marks gives texts and positions: ``split`` would compile the
+    With ``n_groups``, ``parts`` are the first groups of each match as in ``groups``, from the same run of the pattern. One replacement marks the matches, and what lies between the marks gives texts and positions: ``split`` would compile the
     pattern anew for every text. A text that the replacement leaves as it is has none.
     """
 
+    kind = _FOUND_WITH_PARTS if n_groups else _FOUND
+
     def placed(pieces: Column) -> Column:
-        zero = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(_FOUND).alias("out"))
+        zero = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(kind).alias("out"))
 
         def step(acc: Column, piece: Column) -> Column:
-            """``piece``: a match, the mark, and the gap after it."""
+            """``piece``: a match, the mark (with groups: each group and a mark), and the gap after it."""
+
+            def placed_parted(p: Column) -> Column:
+                m, gap = F.get(p, F.lit(0)), F.get(p, F.lit(n_groups + 1))
+                end = acc["at"] + F.length(m)
+                one = F.struct(m.alias("text"), acc["at"].alias("s"), end.alias("e"), F.slice(p, F.lit(2), F.lit(n_groups)).alias("parts"))
+                return F.struct((end + F.length(gap)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+            if n_groups:
+                return let(F.split(piece, _CLOSE, -1), placed_parted)
 
             def placed_one(m: Column) -> Column:
                 one = F.struct(m.alias("text"), acc["at"].alias("s"), (acc["at"] + F.length(m)).alias("e"))
@@ -62,9 +78,17 @@ def matches(text: Column, pattern: str) -> Column:
 
     def found(marked: Column) -> Column:
         apart = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
-        return F.when(marked == text, F.array().cast(_FOUND)).when(apart, _matches_apart(text, pattern)).otherwise(let(F.split(marked, _OPEN, -1), placed))
+        slow = _matches_apart(text, pattern)
+        if n_groups:
+            slow = F.transform(slow, lambda m: F.struct(m["text"].alias("text"), m["s"].alias("s"), m["e"].alias("e"), _parts(m["text"], pattern, n_groups).alias("parts")))
+        return F.when(marked == text, F.array().cast(kind)).when(apart, slow).otherwise(let(F.split(marked, _OPEN, -1), placed))
+
+    return let(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}" + "".join(f"${i + 1}{_CLOSE}" for i in range(n_groups))), found)
+
 
-    return let(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), found)
+def _parts(text: Column, pattern: str, n: int) -> Column:
+    """The same as ``groups`` for any text."""
+    return F.array(*(F.regexp_extract(text, pattern, i + 1) for i in range(n)))
 
 
 def _matches_apart(text: Column, pattern: str) -> Column:

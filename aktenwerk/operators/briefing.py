@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aktenwerk.functions.fixed import FENCE, SUBSTANCE_CHARS
+from aktenwerk.functions.text import let
+from aktenwerk.operators import citations
 
 
 def triage_flags(docs: DataFrame, cited: DataFrame, arguments: DataFrame) -> DataFrame:
@@ -71,6 +75,31 @@ def assemble(docs: DataFrame, arguments: DataFrame, resolutions: DataFrame, corp
     return d.select("document_id", F.when(F.col("_t"), "TYP_2").otherwise("TYP_1").alias("typ"), F.coalesce("entries", none).alias("entries")).crossJoin(F.broadcast(corpus.select("corpus_id")))  # one row
 
 
+def assemble_dossiers(dossier: DataFrame, statutes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """JON-11 from dossiers (``citations.dossiers``): the same briefings as ``assemble`` gives.
+
+    Only the documents' distinct norms are resolved and come back, in one row for each document; arguments, their norms and
+    status are put together in the row and are neither taken apart nor grouped again.
+    """
+    norms = F.array_distinct(F.flatten(F.transform("arguments", lambda a: a["norms"])))
+    # an outer explode, as in citations.argued_in
+    cited = dossier.select("document_id", F.explode_outer(norms).alias("canonical")).where("canonical is not null")
+    entry = F.struct(F.col("canonical").alias("citation"), "paragraph_key", "source_text", "resolved")
+    lists = citations.resolve(cited, statutes).groupBy("document_id").agg(F.collect_list(entry).alias("_r"))
+
+    def with_status(a: Column) -> Callable[[Column], Column]:
+        own = ("pos", "argument_text", "original_zitat", "catalog_id", "einwendungs_typ", "argument_verified")
+        return lambda n: F.struct(*(a[c].alias(c) for c in own), status(a["argument_verified"], a["catalog_id"], n).alias("status"), n.alias("norms"))
+
+    def entered(a: Column) -> Column:
+        return let(F.flatten(F.transform(a["norms"], lambda c: F.filter("_r", lambda r: r["citation"] == c))), with_status(a))
+
+    d = dossier.select("document_id", F.when(F.col("document_id").isNotNull(), F.col("arguments")).alias("_a")).join(lists, "document_id", "left")
+    d = d.select("document_id", F.coalesce("_a", F.array().cast(dossier.schema["arguments"].dataType)).alias("_a"), F.coalesce("_r", F.array().cast(lists.schema["_r"].dataType)).alias("_r"))
+    typ = F.when(F.exists("_a", lambda a: a["einwendungs_typ"] == "TYP_2"), "TYP_2").otherwise("TYP_1")
+    return d.select("document_id", typ.alias("typ"), F.transform("_a", entered).alias("entries")).crossJoin(F.broadcast(corpus.select("corpus_id")))  # one row
+
+
 def neutral(text: Column) -> Column:
     for mark, plain in FENCE.items():
         text = F.replace(text, F.lit(mark), F.lit(plain))

@@ -542,8 +542,7 @@ def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
 def src8_write_briefings(s: SparkSession, d: str) -> DataFrame:
     """Nested briefings written as JSON and read back."""
     whole = _dossiers(s, d)
-    argued = citations.argued_in(whole)
-    b = briefing.assemble(whole, argued.drop("norms"), _resolutions(s, d, argued), statute_source.corpus_id(corpus.statutes(s, d)))
+    b = briefing.assemble_dossiers(whole, corpus.statutes(s, d), statute_source.corpus_id(corpus.statutes(s, d)))
     path = new_path(s, "briefings")
     letter_source.write_briefings(b, path)
     return s.read.schema(b.schema).json(path).select("document_id", "typ", F.size("entries").alias("entries"))

@@ -107,3 +107,40 @@ def test_sets_meet_in_one_shuffle(spark):
     assert got[1] == (1 / 3, 1 / 3, 1 / 3, 0.5, 1 / 3, 0.4, 0.0)
     assert got[2] == (None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) and got[3] == (0.0, None, None, None, None, None, None)
     assert got[4] == (None, None, None, 0.0, None, None, None) and got[5] == (None,) * 7
+
+
+def test_briefings_from_dossiers(spark):
+    """The same as from separate tables; documents without arguments, arguments without a document, repeated and unknown norms."""
+    from aktenwerk.operators import citations
+
+    text = "Es gilt § 1 WHG und § 2 Abs. 3 i.V.m. § 1 WHG, auch § 9 BauGB.\nNoch einmal § 1 WHG.\x01 Ende"
+    docs = spark.createDataFrame([(1, text), (2, "nichts"), (3, None), (4, "§ 1 WHG")], "document_id long, text string")
+    rows = [
+        (1, 0, "a", "§ 1 WHG und § 2 Abs. 3 i.V.m. § 1 WHG", "whg", "TYP_1"), (1, 1, "b", " § 9 BauGB. ", None, "TYP_2"), (1, 2, "c", "Ende", "whg", None), (1, 3, "d", "§ 9 BauGB", "baugb", "TYP_1"),
+        (4, 0, "e", "§ 1 WHG", "whg", None), (4, 1, "f", "fehlt", "whg", "TYP_1"), (5, 0, "g", "q", "whg", "TYP_1"),
+    ]
+    args = spark.createDataFrame(rows, "document_id long, pos int, argument_text string, original_zitat string, catalog_id string, einwendungs_typ string")
+    statutes = spark.createDataFrame([("§ 1 WHG", "eins"), ("§ 2 WHG", "zwei")], "canonical_key string, text string")
+    corpus = spark.createDataFrame([("k",)], "corpus_id string")
+    whole = citations.dossiers(docs, args)
+    argued = citations.argued_in(whole)
+    resolved = citations.resolve(argued.select("document_id", "pos", F.posexplode("norms").alias("ord", "canonical")), statutes)
+    want, got = b.assemble(whole, argued.drop("norms"), resolved, corpus), b.assemble_dossiers(whole, statutes, corpus)
+    plain = lambda d: sorted(repr(r.asDict(True)) for r in d.collect())
+    assert got.columns == want.columns and plain(got) == plain(want)
+    entries = {r["document_id"]: [(e["status"], [n["citation"] for n in e["norms"]]) for e in r["entries"]] for r in got.collect()}
+    assert entries[1][0] == ("BRIEFING_READY", ["§ 1 WHG", "§ 2 Abs. 3 WHG"]) and entries[1][3] == ("NORM_UNRESOLVED", ["§ 9 BauGB"]) and entries[2] == []
+    # neither arguments nor citations are grouped again
+    grouped = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert grouped(got) < grouped(want)
+
+
+def test_stripped_takes_all_white_space(spark):
+    """Every code point at both ends is taken as the pattern of white space takes it."""
+    from aktenwerk.functions.text import stripped
+
+    d = spark.range(1, 0x11000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    x = F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c")
+    assert d.count() > 60_000 and d.where("length(c) = 1").count() > 60_000
+    assert d.where(stripped(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert d.where(stripped(F.concat("c", "c")) != F.regexp_replace(F.concat("c", "c"), r"(?U)^\s+|\s+$", "")).count() == 0
