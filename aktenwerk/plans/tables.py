@@ -624,10 +624,9 @@ def src10_write_results(s: SparkSession, d: str) -> DataFrame:
 
 
 def _text_files(s: SparkSession, d: str) -> str:
-    """Every document's text as a file in a folder named after its id. The tasks put the files in place (the folder is new, and
-    nobody reads it before the job is over); the driver would rename them one by one."""
+    """Every document's text as a file in a folder named after its id."""
     path = new_path(s, "letters")
-    table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).repartition("doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
+    letter_source.write_documents(table(s, d, "documents").select("doc_id", "text"), path, "doc_id")
     return path
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,51 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.regexp_extract(f, r"([^/]+)\.txt$", 1).alias("document_id"), F.regexp_extract(f, r"([^/]+)/[^/]+$", 1).alias("doc_type"), F.col("value").alias("text"))
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the operating system names it, where it is in a file system that this machine has mounted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
+#: Folders above those of the documents, so that a listing is dealt to tasks.
+FOLDERS = 256
+
+
+def write_documents(docs: DataFrame, path: str, key: str = "document_id") -> None:
+    """Texts of ``docs(key long, text)`` as files in the new folder ``path``: a row a file, with a line end, in
+    ``bucket=../<key>=../``.
+
+    Where ``path`` is a mounted folder, tasks write the files themselves: Hadoop's local file system starts several ``chmod``
+    processes for each file. A file gets its name once it is whole, and a repeated task writes the same names.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int").alias("bucket"), F.col(key).cast("long").alias(key), text.alias("text"))
+    root = _local(docs.sparkSession, path)
+    if root is None:
+        d.repartition(key).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bucket", key).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, n = None, 0
+        for b in batches:
+            for bucket, i, text in zip(*(b.column(c).to_pylist() for c in ("bucket", key, "text")), strict=True):
+                where = f"{root}/bucket={bucket}/{key}={'__HIVE_DEFAULT_PARTITION__' if i is None else i}"
+                if where != before:
+                    os.makedirs(where, exist_ok=True)
+                    before, n = where, 0
+                part = f"{where}/.part-{n}-{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(text + b"\n")
+                os.replace(part, f"{where}/part-{n}.txt")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    os.makedirs(root, exist_ok=True)  # also where there are no documents
+    dealt = d.withColumn("text", F.col("text").cast("binary")).repartition(key).sortWithinPartitions(key)
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def size_guard(spark: SparkSession, path: str, most: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
     """SRC-4: files of at most ``most`` bytes and the others, decided from the listing (contents aren't read)."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

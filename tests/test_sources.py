@@ -57,6 +57,26 @@ def test_corpus_id(spark):
     assert deep(many) == nodes[()] == deep(many[::-1]) != deep(many[:-1])
 
 
+def test_documents_are_written_without_hadoop(spark, tmp_path, monkeypatch):
+    texts = ["a\r\n§ é\n", "", None, "b\x00", "twice", "twice"]
+    docs = spark.createDataFrame([(None if t == "" else min(i, 4), t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kind = lambda i: f"doc_id={'__HIVE_DEFAULT_PARTITION__' if i is None else i}"
+    want = sorted((kind(r["doc_id"]), (r["text"] or "") + "\n") for r in docs.collect())
+    for name in ("mounted", "elsewhere"):
+        if name == "elsewhere":
+            monkeypatch.setattr(letters, "_local", lambda *_: None)
+        letters.write_documents(docs, f"file://{tmp_path}/{name}", "doc_id")
+        assert sorted(tuple(r) for r in letters.read_documents(spark, f"file://{tmp_path}/{name}").select("doc_type", "text").collect()) == want
+        # Hadoop's local file system leaves a hidden sum of each file that it writes
+        sums = [f for f in (tmp_path / name).rglob(".*.crc") if "part-" in f.name]
+        assert bool(sums) == (name == "elsewhere")
+        sizes = [r["length"] for half in letters.size_guard(spark, f"file://{tmp_path}/{name}", 3) for r in half.where("path like '%.txt'").collect()]
+        assert sorted(sizes) == sorted(len(x.encode()) for _, x in want)
+    assert all("bucket=" in str(f) for f in (tmp_path / "mounted").rglob("*.txt"))
+    letters.write_documents(docs.limit(0), f"file://{tmp_path}/none", "doc_id")
+    assert letters.read_documents(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_letters_in_and_out(spark, tmp_path):
     (tmp_path / "in/typ1").mkdir(parents=True)
     (tmp_path / "in/typ1/eins.txt").write_text("Zeile 1\nZeile ü", encoding="utf-8")
