@@ -17,10 +17,13 @@ UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: ``(document_id, doc_type, text)``: one row a text file below ``path``, the folder's name as type."""
+    """SRC-3: ``(document_id, doc_type, text)``: one row a text file below ``path``, the folder's name as type.
+
+    Files are read as bytes: the reader of whole texts copies the job's settings for each file, one task at a time.
+    """
     f = F.col("_metadata.file_path")
-    d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True, pathGlobFilter="*.txt")
-    return d.select(F.regexp_extract(f, r"([^/]+)\.txt$", 1).alias("document_id"), F.regexp_extract(f, r"([^/]+)/[^/]+$", 1).alias("doc_type"), F.col("value").alias("text"))
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return d.select(F.regexp_extract(f, r"([^/]+)\.txt$", 1).alias("document_id"), F.regexp_extract(f, r"([^/]+)/[^/]+$", 1).alias("doc_type"), F.col("content").cast("string").alias("text"))
 
 
 def _local(spark: SparkSession, path: str) -> str | None:
