@@ -541,7 +541,7 @@ def src6_read_raw(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_LETTERS}, k AS (SELECT document_id, count(*) AS n, max(typ) AS typ FROM lines GROUP BY 1) SELECT document_id, coalesce(typ, 'TYP_1') AS typ, coalesce(n, 0)::INT AS entries FROM letters LEFT JOIN k USING (document_id)""")
 def src8_write_briefings(s: SparkSession, d: str) -> DataFrame:
     """Nested briefings written as JSON and read back."""
-    whole = _dossiers(s, d)
+    whole = _dossiers(s, d, "citations")
     b = briefing.assemble_dossiers(whole, corpus.statutes(s, d), statute_source.corpus_id(corpus.statutes(s, d)))
     path = new_path(s, "briefings")
     letter_source.write_briefings(b, path)

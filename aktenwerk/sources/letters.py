@@ -118,9 +118,9 @@ def read_audit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines.where(~bad).select("r.*").drop("_corrupt_record"), lines.where(bad).select(F.col("value").alias("line"))
 
 
-def write_briefings(briefings: DataFrame, path: str) -> None:
-    """SRC-8: nested JSON lines, nulls kept."""
-    briefings.write.mode("overwrite").json(path, ignoreNullFields=False)
+def write_briefings(briefings: DataFrame, path: str, compression: str = "gzip") -> None:
+    """SRC-8: nested JSON lines, nulls kept; compressed, as names and quoted statutes repeat in every row."""
+    briefings.write.mode("overwrite").json(path, compression=compression, ignoreNullFields=False)
 
 
 def write_results(results: DataFrame, head: DataFrame, path: str) -> None:

@@ -57,6 +57,17 @@ def test_corpus_id(spark):
     assert deep(many) == nodes[()] == deep(many[::-1]) != deep(many[:-1])
 
 
+def test_briefings_are_compressed(spark, tmp_path):
+    """Every row of briefings repeats names and quoted statutes, which fill the disk where they aren't compressed."""
+    text = "Die Gewässer sind nachhaltig zu bewirtschaften. " * 20
+    b = spark.range(300).selectExpr("id AS document_id", "CAST(NULL AS STRING) AS typ", f"array(named_struct('pos', 1, 'source_text', '{text}')) AS entries")
+    letters.write_briefings(b, f"file://{tmp_path}/out")
+    files = list((tmp_path / "out").glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files) and sum(f.stat().st_size for f in files) < 300 * len(text) / 10
+    assert sorted(spark.read.schema(b.schema).json(f"file://{tmp_path}/out").collect()) == sorted(b.collect())
+    assert '"typ":null' in spark.read.text(f"file://{tmp_path}/out").first()[0]
+
+
 def test_documents_are_written_without_hadoop(spark, tmp_path, monkeypatch):
     texts = ["a\r\n§ é\n", "", None, "b\x00", "twice", "twice"]
     docs = spark.createDataFrame([(None if t == "" else min(i, 4), t) for i, t in enumerate(texts)], "doc_id long, text string")
