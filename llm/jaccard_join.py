@@ -7,8 +7,11 @@ A document is the set of its distinct 5-word shingles; documents link when 100 *
    only affects cost) last.  Linked sets A, B share at least ``ceil(0.75 |A|)`` shingles, so among the first
    ``|A| - ceil(0.75 |A|) + 1 + s`` shingles of A at least ``1 + s`` also occur in the same part of B (with
    ``s = |A| div 8``, cut back to what the smallest partner of A guarantees).  A set of which fewer are shared cannot
-   link and leaves; the others are joined to the smallest set at each shared shingle, and connected components of
-   these stars hold every possible link.
+   link and leaves. Of the sets that stay, all shingles are compared: one shares ``ceil(0.75 |A|)`` of them with others or
+   leaves. These are put in the order of their exact number of sets, and linked sets meet at one of the rarest
+   ``|A| - ceil(0.75 |A|) + 1`` of both; passages that many sets hold come last there, so they connect sets that consist
+   of them only. The sets are joined to the smallest one at each such shingle, and connected components of these stars hold
+   every possible link.
 3. *Signature trees.* Inside a component sets are sorted by size into leaves; every node holds the OR of its sets'
    token bitmaps and its size range.  A dual traversal drops a node pair when the largest possible overlap is below
    the smallest overlap a link needs, leaf pairs are verified exactly, and pairs that are already connected are
@@ -132,8 +135,14 @@ def _guaranteed(n: Column) -> Column:
     return F.floor(F.ceil(n * (THRESHOLD / 100)) / 8) + 1
 
 
-def _shared_keys(docs: DataFrame, n_keys: int, heavy: Broadcast) -> DataFrame:
-    """``(digest, key)`` for every shingle in the prefixes of two or more different sets; ``heavy`` are frequent shingles."""
+def _least_overlap(n: Column) -> Column:
+    """Shingles that a set of ``n`` shares with any partner, as ``_needed`` has it."""
+    return F.ceil(n * (THRESHOLD / 100))
+
+
+def _shared_keys(docs: DataFrame, n_keys: int, heavy: Broadcast | None) -> DataFrame:
+    """``(digest, key)`` for every shingle in the prefixes of two or more different sets; ``heavy`` are frequent shingles. Without
+    ``heavy``: for every shingle in two or more different sets."""
     n_buckets = int(max(8, n_keys // BUCKET_KEYS + 1))
     shift = np.uint64(32)
 
@@ -169,7 +178,7 @@ def _shared_keys(docs: DataFrame, n_keys: int, heavy: Broadcast) -> DataFrame:
             for _, s in _sets(b):
                 if not len(s):
                     continue
-                p = _prefix(s, heavy.value)
+                p = s if heavy is None else _prefix(s, heavy.value)
                 keys.append(p)
                 owners.append(np.full(len(p), np.array(_digest(s), np.int64).view(np.uint64), np.uint64))
                 held += len(p)
@@ -276,11 +285,18 @@ def _links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     viable = stored(
         counts.join(reps, "digest").where(F.col("k") >= _guaranteed(F.col("n_shingles"))).select("digest", "rep", "n_shingles"), "viable"
     )
-    cells = stored(shared.join(viable, "digest").select("key", "rep"), "cells")
+    docs = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(viable.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    n_whole = viable.agg(F.sum("n_shingles")).first()[0]
+    whole = stored(_shared_keys(docs, int(n_whole or 0), None).distinct(), "whole")
+    near = stored(whole.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).join(viable, "digest").where(F.col("k") >= _least_overlap(F.col("n_shingles"))), "near")
+    often = whole.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    order = F.row_number().over(Window.partitionBy("digest").orderBy("often", "key"))
+    first = whole.join(near, "digest").join(often, "key").withColumn("place", order).where(F.col("place") <= F.col("k") - _least_overlap(F.col("n_shingles")) + 1)
+    cells = stored(first.select("key", "rep"), "cells")
     stars = cells.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
     groups = stored(components(cells.join(stars, "key").select("a", F.col("rep").alias("b"))), "groups")
     n_groups = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    member = groups.join(viable, groups["node"] == viable["rep"]).select(F.col("node").alias("doc_id"), "component", "n_shingles")
+    member = groups.join(near, groups["node"] == near["rep"]).select(F.col("node").alias("doc_id"), "component", "n_shingles")
     # linked sets are in the same or in neighbouring classes of size
     member = member.distinct().withColumn("class", F.floor(F.log("n_shingles") / F.log(F.lit(100 / THRESHOLD))).cast("int"))
     classes = member.groupBy("component", "class").agg(F.count(F.lit(1)).alias("members"), (8 * F.sum("n_shingles")).alias("bytes"))
@@ -313,8 +329,7 @@ def _links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
             blobs = [s.tobytes() for _, s in _sets(b)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "component", "slot", "others")), pa.array(blobs, pa.binary())], ["doc_id", "component", "slot", "others", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one = texts.join(member, "doc_id").mapInArrow(hashed, "doc_id long, component long, slot long, others array<long>, shingles binary")
+    one = docs.join(member, "doc_id").mapInArrow(hashed, "doc_id long, component long, slot long, others array<long>, shingles binary")
     dealt = (
         one.withColumn("other", F.explode("others"))
         .withColumn("x", F.least("slot", "other"))

@@ -1239,3 +1239,27 @@ def test_op9_head_counts_all_training_documents(spark):
     head = lm_score.head_words(d)
     assert len(head) == d.where("train").count() + 1
     assert head[0] == next(iter(kernel.words(pa.array(["common"])))).hashes[0]
+
+
+def test_jaccard_passages_connect_no_candidates(spark, monkeypatch):
+    """Documents that share passages with their neighbours, each less than a link needs, are no candidates, however long the
+    chain; the sample that orders shingles first sees almost nothing here, as it does of a large table."""
+    from llm import jaccard_join
+
+    tables = {}
+    keep = jaccard_join.stored
+
+    def stored(df, tag):
+        tables[tag] = keep(df, tag)
+        return tables[tag]
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DOCS", 1)
+    passage = lambda i: [f"p{i % 60}_{k}" for k in range(44)]
+    docs = [(i, " ".join(passage(i) + [f"u{i}_{k}" for k in range(112)] + passage(i + 1))) for i in range(60)]
+    near = [f"n{k}" for k in range(200)]
+    docs += [(100, " ".join(near)), (101, " ".join([*near[:-4], "a", "b", "c", "d"])), (102, " ".join(near[:100] + [f"x{k}" for k in range(100)]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 100 if i == 101 else i for i, _ in docs}
+    assert tables["viable"].count() > 30  # by their prefixes they might
+    assert {r["node"] for r in tables["groups"].collect()} == {100, 101}
